@@ -119,7 +119,7 @@ def estimate_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
     sample = docs.sparkSession.createDataFrame(rows, "text string").coalesce(1)
     found = []
     for rule in rules:
-        verdict = let(words(F.col("text")), lambda w, rule=rule: rule.rejects(statistics_of(F.col("text"), w)))
+        verdict = _verdict(rule)
         counted = sample.agg(F.count_if(verdict).alias("n"))
         counted.first()
         began = time.perf_counter()
@@ -128,6 +128,10 @@ def estimate_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows:
     return sorted(found, key=lambda e: -e.rank)
 
 
+def _verdict(rule: Rule) -> Column:
+    return let(words(F.col("text")), lambda w: rule.rejects(statistics_of(F.col("text"), w)))
+
+
 def cascade(statistic: Statistic, ordered: Sequence[Rule]) -> Column:
     """Name of the first rule that rejects, null if none does; later rules aren't evaluated."""
     first, *rest = ordered

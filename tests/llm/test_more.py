@@ -1,0 +1,147 @@
+"""Operators without a stated result: brute force, round trips and planted cases."""
+
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from defectflow.llm import decontamination, html_text, licenses, pii, token_counts, token_files
+from tests.llm.helpers import CLASH, EDGES, documents, plain, split, with_clashes
+
+PAGE = "page_id long, url string, html string, text string, low long, host string"
+
+
+def test_html(spark):
+    article = "<article><h1>Ti&amp;tle</h1><p>One <b>bo</b>ld.<br><p>Two\n  &lt;x&gt;</p><div class='comments'>no</div></article>"
+    rows = [
+        (1, "http://a.b/1", f"<html><head><title>t</title><style>p</style><script>var t='</p>';</script></head><body><nav><a>menu</a></nav><!-- x --><div class='ad'>ad</div>{article}<footer>f</footer></body></html>"),
+        (2, None, None), (3, "x", ""), (4, "http://a.b/2", article[:60]), (5, "http://a.b/3", "<p>plain &eacute;</p>  <form>f</form> tail < 3 <di"),
+        (1, "http://a.b/1", article),
+    ]
+    rows += [(100 + i, f"http://same.host/{i}", f"<body><div class=top>Welcome to us</div><div class=x><p>story {i} is new</p></div></body>") for i in range(12)]
+    got = {(r["page_id"], r["text"]) for r in html_text.extract_text(spark.createDataFrame([(*r, "t", 1, "h") for r in rows], PAGE)).collect()}
+    want = {(1, "Ti&tle One bold. Two <x>"), (2, ""), (3, ""), (4, "Ti&tle One bold."), (5, "plain é tail < 3")} | {(100 + i, f"story {i} is new") for i in range(12)}
+    assert {(a, b) for a, b in got if a != 4} == {(a, b) for a, b in want if a != 4}
+    assert html_text.extract_text(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_style_tree_entropy(spark):
+    pages = [(i, "http://h/", f"<body><div class=a>same</div><div class=b>{i}</div></body>", "", 0, "") for i in range(8)]
+    found = {r["path"]: r["importance"] for r in html_text.style_tree(spark.createDataFrame(pages, PAGE)).where("kind = 0").collect()}
+    assert found[html_text.path_hash("/body./div.a")] == pytest.approx(0) and found[html_text.path_hash("/body./div.b")] == pytest.approx(1)
+
+
+def test_pages_keep_their_article(spark, sf_dir):
+    for r in html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
+        text = html_text.html.unescape(re.sub(r"</?(p|h1|br)>", " ", inner).replace("<b>", ""))
+        assert r["text"] == " ".join(re.sub(r"<[^<>]*\Z", "", text).split()) and r["n_chars"] == len(r["text"])
+
+
+def test_licenses(spark, sf_dir):
+    planted = [(900 + i, f"some words before it {t} and some after it", "s") for i, t in enumerate(licenses.TEMPLATES.values())]
+    rows = EDGES + planted + documents(sf_dir, spark)
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan_licenses(with_clashes(spark, rows)).collect()}
+    want = {}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for d, text, _ in rows:
+        w = licenses.template_words(text or "")
+        for name, t in licenses.TEMPLATES.items():
+            g = grams(licenses.template_words(t))
+            if g and len(g & grams(w)) >= 0.8 * len(g):
+                want[d, name] = len(g & grams(w)) / len(g)
+    assert got == pytest.approx(want) and len(got) > len(planted)
+    assert licenses.scan_licenses(spark.createDataFrame([], CLASH)).count() == 0
+
+
+def test_search_equals_brute_force(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    index = next(decontamination.build_indexes(items, 0.05))
+    for _, text, _ in documents(sf_dir, spark)[:60]:
+        query = sorted({index.vocabulary[w] for w in decontamination.terms(text)[:80] if w in index.vocabulary})
+        score = Counter()
+        for t in query:
+            for item, x in zip(index.items[t], index.impacts[t], strict=True):
+                score[item] += x
+        want = {i: s for i, s in score.items() if s >= index.threshold}
+        assert dict(index.search(query)) == pytest.approx(want)
+
+
+def test_leaks(spark, sf_dir):
+    items = [(i, t) for i, t in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    planted = [(7000 + i, "lead in words " * 30 + t + " trailing words" * 40, "s") for i, t in items[:20]]
+    rows = EDGES + planted + documents(sf_dir, spark)
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items] + [(None, None, 1), (5, "", 1)], "item_id long, text string, row int")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(with_clashes(spark, rows), bench).collect()}
+    want = {(d, i) for d, t, _ in rows for i, item in items if t and item in t}
+    assert want <= got
+    for d, i in got - want:
+        text = next(t for x, t, _ in rows if x == d)
+        g = decontamination.shingles(decontamination.terms(dict(items)[i]))
+        assert len(g & decontamination.shingles(decontamination.terms(text))) >= 0.7 * len(g)
+    kept = decontamination.decontaminate(with_clashes(spark, rows), bench)
+    assert kept.columns == with_clashes(spark, rows).columns
+    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter(d for d, _, _ in rows if d not in {x for x, _ in got})
+    assert decontamination.find_leaks(spark.createDataFrame([], CLASH), bench).count() == 0
+    assert decontamination.decontaminate(plain(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def test_token_counts(spark):
+    scores = token_counts.piece_scores()
+
+    def brute(word):
+        word = token_counts.MARK + word
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            n = len(word[end - 1].encode())
+            options = [(best[end - 1][0] + token_counts.UNKNOWN * n, -(-best[end - 1][1] + n))]
+            options += [(best[s][0] + scores[word[s:end]], best[s][1] - 1) for s in range(end) if word[s:end] in scores]
+            best.append(max(options))
+        return -best[-1][1]
+
+    rows = EDGES + [(30, "unbelievable 漢字 tokens token tokenization ☃ the theory", "a")]
+    rows = [r for r in rows if r[0] not in (5, 8)]
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_tokens"]) for r in token_counts.count_tokens(with_clashes(spark, rows)).collect())
+    assert got == sorted((d or -1, len(split(t)), sum(map(brute, split(t)))) for d, t, _ in rows)
+    assert math.isclose(sum(math.exp(s) for s in scores.values()), 1)
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pii(spark):
+    values = ["4111111111111111", "+1 (017) 555-7713", "97.51.17.173", "1999-12-31", "123-45-6789", "a.b34@mail7.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    bad = ["4111111111111112", "300.1.2.3", "1999-13-31", "000-45-6789", "12 3456"]
+    rows = [(i, f"x {v}, y {v}!", "s") for i, v in enumerate(values + bad)] + [(90, " and ".join(values), "s"), (91, None, "s"), (92, "", "s")]
+    out = {r["doc_id"]: r["text"] for r in pii.protect(with_clashes(spark, rows), "k").collect()}
+    new = []
+    for i, v in enumerate(values):
+        m = re.fullmatch(r"x (.*), y (.*)!", out[i])
+        assert m[1] == m[2] != v and re.sub("[0-9a-f]", "9", m[1]) == re.sub("[0-9a-f]", "9", v) or "@" in v and m[1] == m[2] and m[1].endswith("@mail7.example.com") and m[1] != v
+        new.append(m[1])
+    assert luhn(new[0]) and max(map(int, new[2].split("."))) <= 255
+    assert out[90] == " and ".join(new) and out[91] is None and out[92] == ""
+    for i, v in enumerate(bad, len(values)):
+        assert out[i] == f"x {v}, y {v}!"
+    assert pii.protect(spark.createDataFrame([], CLASH)).count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    n = spark.range(281 * 26).select(pii.feistel(F.col("id"), 281, 26, "k", "t").alias("v"))
+    assert n.distinct().count() == 281 * 26 and n.agg(F.min("v"), F.max("v")).first()[:] == (0, 281 * 26 - 1)
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = token_files and corpus_pipeline.common.materialize(stage(spark, at, sf_dir), name.replace(" ", "-"))
+        assert at.columns == docs.columns
+        seen.append(at.count())
+    assert seen[0] >= seen[1] >= seen[2] > 0
+    final = corpus_pipeline.run(spark, sf_dir)
+    assert final.count() == seen[3] and final.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
