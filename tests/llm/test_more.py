@@ -121,7 +121,7 @@ def test_pii(spark):
     new = []
     for i, v in enumerate(values):
         m = re.fullmatch(r"x (.*), y (.*)!", out[i])
-        assert m[1] == m[2] != v and re.sub("[0-9a-f]", "9", m[1]) == re.sub("[0-9a-f]", "9", v) or "@" in v and m[1] == m[2] and m[1].endswith("@mail7.example.com") and m[1] != v
+        assert m[1] == m[2] != v and re.sub("[0-9a-f]+" if i == 2 else "[0-9a-f]", "9", m[1]) == re.sub("[0-9a-f]+" if i == 2 else "[0-9a-f]", "9", v) or "@" in v and m[1] == m[2] and m[1].endswith("@mail7.example.com") and m[1] != v
         new.append(m[1])
     assert luhn(new[0]) and max(map(int, new[2].split("."))) <= 255
     assert out[90] == " and ".join(new) and out[91] is None and out[92] == ""
