@@ -6,8 +6,8 @@ end offsets within it as an Elias-Fano sequence: for n offsets up to u, the low
 vector in unary with a one for each offset. ``select`` finds the i-th one through samples of the vector's bytes (every 64th one), so an offset is read
 without a table of 64-bit offsets: about 2 + log2(u/n) bits a document.
 
-Encoding runs in tasks that each hold a range of ``doc_id``. Texts are cut where the tokenizer's own split always falls (a lone blank between
-two other characters), and each distinct piece is encoded once for a bounded cache, by the tokenizers library. The cuts are used only for a
+Encoding runs in tasks that each hold a range of ``doc_id``. Texts are cut where the tokenizer's own split always falls (at
+white space), and each distinct piece is encoded once for a bounded cache, by the tokenizers library. The cuts are used only for a
 byte-level tokenizer with its usual split and without normalizer; texts with a special token's string, and other tokenizers, are encoded whole.
 
 Defined results: a null or empty text is one end id; documents of the same ``doc_id`` follow by text; null ids come first; an empty table gives no
@@ -16,8 +16,12 @@ blocks and no rows; further columns don't matter.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,10 @@ from defectflow.llm.common import pieces, shared_dir
 END_ID = 0
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
-CACHE = 300_000
+CACHE = 400_000
+#: Pieces as the byte-level split has them, but for splits inside of a run without white space.
+_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
 BLOCK = "part int, block int, base long, doc_ids array<long>, bits int, ids binary, n long, low_bits int, low binary, high binary, samples binary"
 
 
@@ -86,9 +93,10 @@ class EliasFano:
 
 
 class Encoder:
-    """Texts to arrays of ids; one for each task."""
+    """Texts to ids as bytes. A Python worker keeps one, with its cache, for all its tasks."""
 
     def __init__(self, tokenizer: str, cache: int = CACHE):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
@@ -97,34 +105,35 @@ class Encoder:
         self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not about.get("normalizer")
         self.special = [t["content"] for t in about.get("added_tokens", [])]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.cache: dict[str, bytes] = {}
         self.most = cache
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, text: str) -> list[str] | None:
-        """Cuts before a lone blank with other characters on both sides; None if the text must stay whole."""
-        if not self.cuts or any(s in text for s in self.special):
-            return None
-        parts = text.split(" ")
-        out = [parts[0]]
-        for part in parts[1:]:
-            if part and out[-1] and not part[0].isspace() and not out[-1][-1].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-        return out
+        """None if the text must stay whole."""
+        return None if not self.cuts or _ODD.search(text) or any(s in text for s in self.special) else _PIECES.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The first pieces seen stay cached, the frequent ones among them; once the cache is full, new ones last for this call."""
         cut = [self._pieces(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
         known = self.cache
-        new = list({p for one in cut if one for p in one if p not in known})
-        known.update(zip(new, self._ids(new), strict=True))
+        new = list(set().union(*(one for one in cut if one)).difference(known))
+        fresh = dict(zip(new, self._ids(new), strict=True))
+        if len(known) + len(fresh) <= self.most:
+            known.update(fresh)
+            find = known.__getitem__
+        else:
+            find = lambda p: known.get(p) or fresh[p]
         whole = iter(self._ids([t for t, one in zip(texts, cut, strict=True) if one is None]))
-        return [next(whole) if one is None else b"".join(map(known.__getitem__, one)) for one in cut]
+        return [next(whole) if one is None else b"".join(map(find, one)) for one in cut]
+
+
+@functools.lru_cache(1)
+def encoder_of(tokenizer: str) -> Encoder:
+    return Encoder(tokenizer)
 
 
 def _block(part: int, number: int, base: int, docs: list, ids: list[bytes], kind: type) -> dict:
@@ -139,11 +148,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         width, part = len(end), TaskContext.get().partitionId()
         number, base, held, ids, names = 0, 0, 0, [], []
-        for frame in pieces(frames, limit=2_000_000):
+        for frame in pieces(frames, limit=1_000_000):
             coded = encoder.encode(frame["text"].fillna("").tolist())
             for name, one in zip(frame["doc_id"], coded, strict=True):
                 names.append(None if pd.isna(name) else int(name))
