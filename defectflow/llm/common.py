@@ -44,7 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     del df
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.folder)
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

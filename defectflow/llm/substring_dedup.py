@@ -26,7 +26,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from defectflow.llm.common import materialize, pieces, window_hashes, word_bytes, word_hashes
+from defectflow.llm.common import materialize, pieces, release, window_hashes, word_bytes, word_hashes
 
 WINDOW = 35
 ANCHOR = 16
@@ -138,16 +138,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     texts = keyed.select("key", "text")
 
-    found = texts.mapInPandas(_find_anchors(window, anchor), "anchor long, key long, n long")
-    found = materialize(found, "anchors")
+    found = materialize(texts.mapInPandas(_find_anchors(window, anchor), "anchor long, key long, n long"), "anchors")
     repeated = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    anchors = found.join(repeated, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-
-    phrases = texts.join(anchors, "key").mapInPandas(_find_phrases(window, anchor), "phrase long, key long, n long")
-    phrases = materialize(phrases, "phrases")
-    index = phrases.groupBy("phrase").agg(F.sum("n").alias("n"), F.min("key").alias("ref")).where("n > 1").select("phrase", "ref")
-    index = phrases.select("phrase", "key").join(index, "phrase").groupBy("key").agg(F.flatten(F.collect_set(F.array("phrase", "ref"))).alias("index"))
-    index = materialize(index, "phrase-index")
+    anchors = materialize(found.join(repeated, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
+    release(found)
+
+    phrases = materialize(texts.join(anchors, "key").mapInPandas(_find_phrases(window, anchor), "phrase long, key long, n long"), "phrases")
+    release(anchors)
+    known = phrases.groupBy("phrase").agg(F.sum("n").alias("n"), F.min("key").alias("ref")).where("n > 1").select("phrase", "ref")
+    index = materialize(phrases.select("phrase", "key").join(known, "phrase").groupBy("key").agg(F.flatten(F.collect_set(F.array("phrase", "ref"))).alias("index")), "phrase-index")
+    release(phrases)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, starts array<long>, lengths array<long>, refs array<long>"
     return keyed.join(index, "key", "left").select("doc_id", "text", "index").mapInPandas(_parse(window), schema)
