@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from defectflow.llm.common import let, materialize
+
 BANDS, ROWS, SHINGLE, CONTAINED = 20, 2, 5, 0.8
 
 #: Wording of public license notices.
@@ -66,9 +68,9 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataF
     known = templates(spark, texts)
     grams = [r["g"] for r in known.select(F.explode("grams").alias("g")).distinct().collect()]  # of the fixed templates
     sizes = sorted({len(set(zip(*(w[j:] for j in range(SHINGLE)), strict=False))) for w in map(template_words, texts.values()) if len(w) >= SHINGLE})
-    w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tokens(F.col("text")).alias("w"))
-    hashed = w.select("doc_id", _shingles(F.col("w")).alias("all"), F.size("w").alias("n"))
-    hashed = hashed.where(F.arrays_overlap("all", F.lit(grams))).withColumn("row", F.monotonically_increasing_id())
+    # let(): the filter repeats the column, and must not split the text anew for each shingle.
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(_tokens(F.col("text")), _shingles).alias("all")).where(F.arrays_overlap("all", F.lit(grams)))
+    hashed = materialize(hashed.withColumn("row", F.monotonically_increasing_id()), "shingles")
     windows = []
     for s in sizes:
         step = max(1, s // 2)
