@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ def prefix_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
         return df.withColumns({name: F.sum(value).over(w) for name, value in sums.items()})
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range's number must not change between the two uses below, so it is written down with the rows.
-    dealt = df.repartitionByRange(n, *order).withColumn("__bucket", F.spark_partition_id()).checkpoint() if _can_checkpoint(df) else df.withColumn("__bucket", F.lit(0))
+    dealt = _checkpoints(df).repartitionByRange(n, *order).withColumn("__bucket", F.spark_partition_id()).checkpoint()
     w = W.partitionBy("__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inside = dealt.withColumns({name: F.sum(value).over(w) for name, value in sums.items()})
     totals = dealt.groupBy("__bucket").agg(*(F.sum(v).alias(f"__{k}") for k, v in sums.items()))
@@ -28,10 +29,9 @@ def prefix_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
     return joined.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__bucket", *(f"__{k}" for k in sums))
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    """Sets the session's shared checkpoint folder where Spark doesn't have it yet; without one, a single bucket is used."""
+def _checkpoints(df: DataFrame) -> DataFrame:
+    """``df``, after the session has its shared checkpoint folder; only a session without that setting gets a temporary one."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None and folder:
-        spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() is not None
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="defectflow-"))
+    return df
