@@ -3,8 +3,8 @@
 The test items are the indexed documents, every training passage is a query. Impacts are BM25 weights divided by the item's score of itself, so a
 score of 1 is a passage with all of the item's words, whatever its length, and one threshold serves all items. Document frequencies and the mean length
 come from all items, counted by Spark. Passages are windows of two strides, a stride apart, where a stride is the longest item's length: each place of an
-item lies whole in some passage. A passage whose terms' highest impacts sum below the threshold can't reach it and isn't searched; the
-others go through block-max WAND, which skips blocks of items by their highest impact. All items at or above the threshold are verified in the passage: of the question's
+item lies whole in some passage. Bounds come first: a passage whose terms' highest impacts, over all items and
+then over each of at most ``COARSE`` ranges of items, sum below the threshold can't reach it and isn't searched; the others go through block-max WAND, which skips blocks of items by their highest impact. All items at or above the threshold are verified in the passage: of the question's
 five-word shingles at least 0.8, and of the answer's words at least 0.8. The answer is an item's last sentence, the question what is before it
 (an item of one sentence: its last quarter).
 
@@ -34,6 +34,8 @@ SHINGLE = 5
 OVERLAP = 0.8
 BLOCK_CHARS = 16_000_000
 POSTING_BLOCK = 32
+#: Ranges of items for which a passage's bound is summed first.
+COARSE = 64
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _MARKS = bytes(32 if chr(c) in "\"'`.,;:!?()[]{}<>#*$%&|/\\-_=+~^@" else c for c in range(256))
 
@@ -70,10 +72,15 @@ class Index:
     threshold: float
     tops: np.ndarray = field(init=False)
     blocks: list[list[float]] = field(init=False)
+    coarse: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.tops = np.array([max(x) for x in self.impacts] + [0.0])  # the last: terms that no item has
         self.blocks = [[max(x[i : i + POSTING_BLOCK]) for i in range(0, len(x), POSTING_BLOCK)] for x in self.impacts]
+        width = -(-len(self.names) // COARSE)
+        self.coarse = np.zeros((len(self.tops), -(-len(self.names) // width)), np.float32)
+        for t, (places, weights) in enumerate(zip(self.items, self.impacts, strict=True)):
+            np.maximum.at(self.coarse[t], np.array(places) // width, np.array(weights, np.float32))
         split = [parts(t) for t in self.texts]
         self.questions, self.answers = [shingles(q) for q, _ in split], [set(a) for _, a in split]
 
@@ -132,7 +139,7 @@ class Index:
             if sums[b] - sums[a] < self.threshold - 1e-6:
                 continue
             distinct = np.unique(ids[a:b])
-            if self.tops[distinct].sum() < self.threshold - 1e-6:
+            if self.coarse[distinct].sum(axis=0).max() < self.threshold - 1e-4:
                 continue
             hits = self.search([int(t) for t in distinct if t != none])
             if not hits:
