@@ -57,7 +57,7 @@ def _letters(text: Column, alphabet: str, key: str, what: str) -> Column:
 
     def shift(part: Column, other: Column, r: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            at = F.locate("\u0000", F.lit("")) if False else F.instr(F.lit(alphabet), c)
+            at = F.instr(F.lit(alphabet), c)
             moved = F.pmod(at - 1 + F.pmod(F.xxhash64(F.lit(key), F.lit(what), r, i, other), F.lit(n)), F.lit(n)).cast("int")
             return F.when((at > 0) & (c != ""), F.substring(F.lit(alphabet), moved + 1, F.lit(1))).otherwise(c)
 
