@@ -37,8 +37,9 @@ END_ID = 0
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
 CACHE = 400_000
-#: Pieces as the byte-level split has them, but for splits inside of a run without white space.
-_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+JOINED = 2000
+#: Pieces as the byte-level split has them, but for most splits inside of a run without white space: cut is only between a letter or digit and a mark.
+_PIECES = re.compile(r" ?[^\W_]++(?![^\s,.;:!?])| ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
 BLOCK = "part int, block int, base long, doc_ids array<long>, bits int, ids binary, n long, low_bits int, low binary, high binary, samples binary"
 
@@ -106,12 +107,32 @@ class Encoder:
         self.special = [t["content"] for t in about.get("added_tokens", [])]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
+        #: Bytes of each id's token, to find pieces in an encoding of many; a special token with a blank might arise between two pieces.
+        self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())]) if self.cuts else None
+        self.joins = self.cuts and not any(re.search(r"\s", s) for s in self.special)
         self.cache: dict[str, bytes] = {}
         self.most = cache
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece_ids(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces. Words with a blank before them are encoded many at a time: the split falls at each blank."""
+        plain = [p for p in new if p[0] == " " and not p[1:2].isspace() and len(p) > 1] if self.joins else []
+        out, size = {}, np.dtype(self.kind).itemsize
+        for at in range(0, len(plain), JOINED):
+            group = plain[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, self.kind)
+            reached = np.cumsum(self.widths[ids])
+            ends = np.cumsum([len(p.encode("utf-8", "replace")) for p in group])
+            cut = np.searchsorted(reached, ends)
+            if len(ids) and reached[-1] == ends[-1] and (reached[cut] == ends).all():
+                data, b = ids.tobytes(), ((cut + 1) * size).tolist()
+                out.update(zip(group, (data[x:y] for x, y in zip([0, *b], b, strict=False)), strict=True))
+        rest = [p for p in new if p not in out]
+        out.update(zip(rest, self._ids(rest), strict=True))
+        return out
+
     def _pieces(self, text: str) -> list[str] | None:
         """None if the text must stay whole."""
         return None if not self.cuts or _ODD.search(text) or any(s in text for s in self.special) else _PIECES.findall(text)
@@ -120,15 +141,15 @@ class Encoder:
         """The first pieces seen stay cached, the frequent ones among them; once the cache is full, new ones last for this call."""
         cut = [self._pieces(t) for t in texts]
         known = self.cache
-        new = list(set().union(*(one for one in cut if one)).difference(known))
-        fresh = dict(zip(new, self._ids(new), strict=True))
-        if len(known) + len(fresh) <= self.most:
-            known.update(fresh)
-            find = known.__getitem__
-        else:
-            find = lambda p: known.get(p) or fresh[p]
+        fresh = self._piece_ids(list(set().union(*(one for one in cut if one)).difference(known)))
+        full = len(known) + len(fresh) > self.most
+        known.update(fresh)
         whole = iter(self._ids([t for t, one in zip(texts, cut, strict=True) if one is None]))
-        return [next(whole) if one is None else b"".join(map(find, one)) for one in cut]
+        out = [next(whole) if one is None else b"".join(map(known.__getitem__, one)) for one in cut]
+        if full:
+            for piece in fresh:
+                del known[piece]
+        return out
 
 
 @functools.lru_cache(1)
