@@ -145,3 +145,10 @@ def test_pipeline(spark, sf_dir):
     assert seen[0] >= seen[1] >= seen[2] > 0
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.count() == seen[3] and final.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pieces_encode_like_whole_texts():
+    encoder = token_files.Encoder(token_files.tokenizer_text(), cache=4)
+    odd = ["it's, isn't! 's 'll", "a,b.c;d:e?f", "x-, y-.z _, __;", " ,lead  two\t\ttabs\n\nlines \n end ", "été, naïve. 日本語、 ٣٤, x²; ½.", " nb　wide, \u0085n", "é, ä.b", "", " ", "12,345.67 v1.2: ok"]
+    for _ in range(2):  # the second time with a full cache
+        assert encoder.encode(odd) == encoder._ids(odd)
