@@ -8,7 +8,7 @@ grow with the square of n; the three-position keys lose no pair.
 
 A posting with more than ``HOT`` distinct fingerprints isn't paired. Its fingerprints instead list every value within two bits of themselves
 (2,081 each): two values differ in at most four bits exactly if some value is within two bits of both. Grouping by these values links them,
-with work in proportion to the group. Exact copies share one fingerprint and are joined only at the end. Components come from
+with work in proportion to the group. Fewer bits take smaller balls; for an odd number, a value's ball meets the other's, which is one bit wider. Exact copies share one fingerprint and are joined only at the end. Components come from
 alternating large-star and small-star rounds over the links; nothing is collected.
 
 Defined results: a null or empty text (or one without words) has fingerprint zero and is linked like any other; repeated rows are one group;
@@ -87,11 +87,18 @@ def _postings(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("posting"))
 
 
-def _ball(fps: DataFrame) -> DataFrame:
-    """Every value within two bits of ``fp``."""
+def _ball(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Every value within half of ``max_bits`` bits of ``fp`` (``inner``); for an odd ``max_bits`` also those one bit further."""
     one = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
-    masks = [0, *one, *(a ^ b for a, b in combinations(one, 2))]
-    return fps.select("fp", F.explode(F.transform(F.lit(np.array(masks, np.int64)), lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
+    rings = [[0], one, [a ^ b for a, b in combinations(one, 2)]]
+
+    def around(masks: list[int], inner: bool) -> DataFrame:
+        centres = F.transform(F.lit(np.array(masks, np.int64)), lambda m: F.col("fp").bitwiseXOR(m))
+        return fps.select("fp", F.explode(centres).alias("centre"), F.lit(inner).alias("inner"))
+
+    half = max_bits // 2
+    ball = around(sum(rings[: half + 1], []), True)
+    return ball.unionByName(around(rings[half + 1], False)) if max_bits % 2 else ball
 
 
 def links(fps: DataFrame, hot: int = HOT, max_bits: int = MAX_BITS) -> DataFrame:
@@ -105,13 +112,9 @@ def links(fps: DataFrame, hot: int = HOT, max_bits: int = MAX_BITS) -> DataFrame
     pairs = small.select("posting", F.col("fp").alias("a")).join(small.select("posting", F.col("fp").alias("b")), "posting").where(a < b)
     pairs = pairs.where((_shared_bytes(a, b) >= 4) & (_bits_apart(a, b) <= max_bits)).select("a", "b")
     large = placed.where(F.col("n") > hot).select("fp").distinct()
-    if max_bits == 4:
-        ball = _ball(large)
-        centres = ball.groupBy("centre").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top")
-        dense = ball.join(centres.select("centre", "a"), "centre").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
-    else:
-        wide = placed.where(F.col("n") > hot).select("posting", "fp")
-        dense = wide.select("posting", F.col("fp").alias("a")).join(wide.select("posting", F.col("fp").alias("b")), "posting").where((a < b) & (_bits_apart(a, b) <= max_bits)).select("a", "b")
+    ball = _ball(large, max_bits)
+    centres = ball.groupBy("centre").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("n")).where("a is not null and n > 1")
+    dense = ball.join(centres.select("centre", "a"), "centre").where(F.col("a") != F.col("fp")).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
     return pairs.unionByName(dense).distinct()
 
 

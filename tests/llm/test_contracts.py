@@ -128,8 +128,8 @@ def test_simhash(spark, sf_dir, hot):
     assert got == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_links_keep_all_components(spark, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(64, 4), (3, 4), (3, 3), (3, 2), (2, 1), (2, 0)])
+def test_links_keep_all_components(spark, hot, bits):
     rng = np.random.default_rng(1)
     prints = [0]
     for _ in range(300):
@@ -138,9 +138,9 @@ def test_links_keep_all_components(spark, hot):
             v ^= 1 << int(b)
         prints.append(v)
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
-    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), hot)
+    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), hot, bits)
     found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
-    want = brute_components([p & (1 << 64) - 1 for p in signed])
+    want = brute_components([p & (1 << 64) - 1 for p in signed], bits)
     groups = defaultdict(set)
     for p in signed:
         groups[want[p & (1 << 64) - 1]].add(p)
