@@ -5,7 +5,7 @@ that stand in it (content). A node's importance is the entropy of these counts o
 all differ. Branches of low importance (both entropies below ``LOW``, on ``MIN_PAGES`` pages or more) are boilerplate and are removed from each page.
 
 Entropy alone can't give right results: menus and adverts may differ on every page, hosts may have one page, and copies of an article on a host look like
-boilerplate. So elements whose tag, class, id or role says what they are decide first: within ``article`` or ``main`` everything stays but named boilerplate, and the style tree
+boilerplate. So elements whose tag, role or whole class or id says what they are decide first (a wrapper named so never takes an article or main inside with it): within ``article`` or ``main`` everything stays but named boilerplate, and the style tree
 judges the branches outside them, for pages without such an element.
 
 Counts are summed by Spark before the shuffle (a host with a third of all pages is one row for each node and value a task); the removed branches of a host are joined to its pages,
@@ -38,14 +38,25 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"}
 MAIN = {"article", "main"}
+#: Whole names of a class or an id; a compound one counts only if it is listed here, as `no-sidebar` or `entry-header` says nothing of the kind.
 WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "footer", "gdpr", "header",
     "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar",
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad-banner", "ad-container", "ad-slot", "ad-unit", "ad-wrapper", "comment-form", "comment-list", "comments-area", "cookie-banner", "cookie-bar", "cookie-consent", "cookie-notice", "footer-menu",
+    "footer-nav", "footer-widgets", "global-nav", "left-sidebar", "login-form", "main-menu", "main-nav", "main-navigation", "nav-bar", "nav-menu", "nav-links", "newsletter-signup", "page-footer", "post-navigation",
+    "related-articles", "related-posts", "right-sidebar", "search-box", "search-form", "share-buttons", "sidebar-left", "sidebar-right", "side-bar", "side-nav", "site-footer", "site-header", "site-nav",
+    "site-navigation", "skip-link", "social-links", "social-share", "top-bar", "top-nav", "widget-area",
 }
+ROLES = {"alertdialog", "banner", "complementary", "contentinfo", "dialog", "menu", "menubar", "navigation", "search", "toolbar"}
+#: What stands in such an element isn't the page's main text even if it is an article (a teaser card, a comment).
+ASIDE = {"nav", "aside", "footer", "dialog", "menu", "head", "select", "button"}
+UNITS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "comment-list", "comments-area", "promo", "promotion", "related", "related-articles", "related-posts", "replies", "respond", "sponsor", "sponsored"}
+#: How an element is dropped: a layout's name is not passed on to an article or main inside; an ASIDE one only to articles, which then are SPARE: kept if the page has no other main text.
+KEPT, NAMED, BESIDE, SPARE = range(4)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
@@ -57,14 +68,38 @@ def host(url: str | None) -> str:
 class Element:
     __slots__ = ("tag", "path", "dropped", "main", "children")
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool):
+    def __init__(self, tag: str, path: str, dropped: int, main: bool):
         self.tag, self.path, self.dropped, self.main, self.children = tag, path, dropped, main, []
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[Element]]:
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-case name, the first of each name; values are skipped whole, so that no word within one is a name."""
+    out = {}
+    for name, x, y, z in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), x or y or z)
+    return out
+
+
+def _dropped(tag: str, names: dict[str, str], top: Element, start: bool) -> int:
+    """The state of an element; ``start``: it is an article or main itself."""
+    roles = set(names.get("role", "").lower().split())
+    whole = tag in ("html", "body", "main") or "main" in roles
+    words = set() if whole else set(names.get("class", "").lower().split()) | {names.get("id", "").strip().lower()}
+    if top.main:  # a headline's own header
+        words.discard("header")
+    if tag in ASIDE or "hidden" in names or names.get("aria-hidden", "").strip().lower() == "true" or words & UNITS:
+        return BESIDE
+    if tag in BOILERPLATE or (tag == "header" and not top.main) or words & WORDS or (not whole and roles & ROLES):
+        return NAMED if top.dropped in (KEPT, NAMED) else BESIDE
+    if not start or top.dropped == KEPT:
+        return top.dropped
+    return KEPT if whole or top.dropped == NAMED else SPARE
+
+
+def parse(page: str) -> tuple[list[tuple[str, str, int, bool, bool]], list[Element]]:
     """Pieces of text in order (text, path, dropped, in main, breaks a block), and the elements."""
     page = _CUT.sub("", page)
-    out, root = [], Element("", "", False, False)
+    out, root = [], Element("", "", KEPT, False)
     stack, all_elements, raw = [root], [root], ""
     for token in _TOKEN.finditer(page):
         closing, tag, attributes = token[1], token[2], token[3]
@@ -101,10 +136,10 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[Elem
             continue
         if tag in VOID:
             continue
-        names = {a.lower(): (x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = set(re.split(r"[^a-z0-9]+", " ".join(names.values()).lower())) if names else set()
-        main = top.main or tag in MAIN or "main" in names.get("role", "").split()
-        drop = top.dropped or tag in BOILERPLATE or (tag == "header" and not top.main) or "hidden" in names or bool(words & WORDS and tag not in ("html", "body", "main"))
+        names = _attributes(attributes) if attributes else {}
+        start = tag in MAIN or "main" in names.get("role", "").lower().split()
+        main = top.main or start
+        drop = _dropped(tag, names, top, start)
         stack.append(Element(tag, f"{top.path}/{tag}.{names.get('class', '')}" if tag not in INLINE else top.path, drop, main))
         all_elements.append(stack[-1])
     return out, all_elements
@@ -118,8 +153,9 @@ def main_text(page: str | None, low: set[int]) -> str:
     if not page:
         return ""
     found, _ = parse(page)
-    in_main = any(main and not dropped and text.strip() for text, _, dropped, main, _ in found)
-    return _squeeze([text if not dropped and (main or not in_main and path_hash(path) not in low) else " " for text, path, dropped, main, _ in found])
+    kept = {KEPT} if any(main and dropped == KEPT and text.strip() for text, _, dropped, main, _ in found) else {KEPT, SPARE}
+    in_main = any(main and dropped in kept and text.strip() for text, _, dropped, main, _ in found)
+    return _squeeze([text if dropped in kept and (main or not in_main and path_hash(path) not in low) else " " for text, path, dropped, main, _ in found])
 
 
 def path_hash(path: str) -> int:

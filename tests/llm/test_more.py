@@ -28,6 +28,21 @@ def test_html(spark):
     assert html_text.extract_text(spark.createDataFrame([], PAGE)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='no-sidebar'><article>A b</article></div>", "<div id=page class='has-sidebar'><main>A b</main></div>", "<div class='sidebar wide'><article>A b</article></div>",
+        "<form><main>A b</main></form>", "<div class=widget><div><main>A b</main></div></div>", "<aside><article>A b</article></aside>",
+        "<article><header class='entry-header'><h1>A</h1></header>b</article>", "<article>A<section id='related-work'>b</section></article>",
+        "<article><div style='overflow:hidden'>A</div><p aria-hidden=\"false\" data-hidden=1 title='a hidden one'>b</p></article>",
+        "<main>A b<div class='related'><article>teaser</article></div><p hidden>no</p><p aria-hidden=true>no</p><div class='cookie-banner'>no</div></main>",
+        "<aside><article>teaser</article></aside><div role=navigation>no</div><main>A b</main>", "<aside><div class=widget><article>teaser</article></div></aside><main>A b</main>", "<article>A b<ol class=comments><li><article>no</article></li></ol></article>",
+    ],
+)
+def test_wrappers_and_attributes(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>", set()).split() == ["A", "b"]
+
+
 def test_style_tree_entropy(spark):
     pages = [(i, "http://h/", f"<body><div class=a>same</div><div class=b>{i}</div></body>", "", 0, "") for i in range(8)]
     found = {r["path"]: r["importance"] for r in html_text.style_tree(spark.createDataFrame(pages, PAGE)).where("kind = 0").collect()}
