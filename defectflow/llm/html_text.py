@@ -6,7 +6,7 @@ all differ. Branches of low importance (both entropies below ``LOW``, on ``MIN_P
 
 Entropy alone can't give right results: menus and adverts may differ on every page, hosts may have one page, and copies of an article on a host look like
 boilerplate. So elements whose tag, role or whole class or id says what they are decide first (a wrapper named so never takes an article or main inside with it): within ``article`` or ``main`` everything stays but named boilerplate, and the style tree
-judges the branches outside them, for pages without such an element.
+judges the branches outside them on every page: those of high importance stay too (a lede before the article, a body beside a teaser card).
 
 Counts are summed by Spark before the shuffle (a host with a third of all pages is one row for each node and value a task); the removed branches of a host are joined to its pages,
 by broadcast only if their measured size is at most ``BROADCAST_PATHS`` paths.
@@ -154,8 +154,7 @@ def main_text(page: str | None, low: set[int]) -> str:
         return ""
     found, _ = parse(page)
     kept = {KEPT} if any(main and dropped == KEPT and text.strip() for text, _, dropped, main, _ in found) else {KEPT, SPARE}
-    in_main = any(main and dropped in kept and text.strip() for text, _, dropped, main, _ in found)
-    return _squeeze([text if dropped in kept and (main or not in_main and path_hash(path) not in low) else " " for text, path, dropped, main, _ in found])
+    return _squeeze([text if dropped in kept and (main or path_hash(path) not in low) else " " for text, path, dropped, main, _ in found])
 
 
 def path_hash(path: str) -> int:

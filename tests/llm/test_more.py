@@ -43,6 +43,13 @@ def test_wrappers_and_attributes(page):
     assert html_text.main_text(f"<html><body>{page}</body></html>", set()).split() == ["A", "b"]
 
 
+def test_branches_beside_the_article_are_judged(spark):
+    page = "<body><div class=top>Welcome to us</div><div class=lede>lede {0}</div><div class=sidebar>no {0}</div><article>story {0}</article></body>"
+    pages = [(i, "http://h/", page.format(i), "", 0, "") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, PAGE)).collect()}
+    assert got == {i: f"lede {i} story {i}" for i in range(12)}
+
+
 def test_style_tree_entropy(spark):
     pages = [(i, "http://h/", f"<body><div class=a>same</div><div class=b>{i}</div></body>", "", 0, "") for i in range(8)]
     found = {r["path"]: r["importance"] for r in html_text.style_tree(spark.createDataFrame(pages, PAGE)).where("kind = 0").collect()}
