@@ -1,15 +1,15 @@
 """Main text of web pages with site style trees.
 
 The pages of a host are merged into a style tree: a node is a path of elements (tag and class), counted by the ways its children are arranged (presentation) and by the texts
-that stand in it (content). A node's importance is the entropy of these counts over the host's pages, with the number of pages as base: 0 if all pages agree, 1 if
-all differ. Branches of low importance (both entropies below ``LOW``, on ``MIN_PAGES`` pages or more) are boilerplate and are removed from each page.
+that stand in it (content). A node's importance is the entropy of these counts over the host's distinct pages, with their number as base: 0 if all pages agree, 1 if
+all differ. Pages are distinct if their texts without named boilerplate are, so copies of a page count once. In branches of low importance (both entropies below ``LOW``, on ``MIN_PAGES``
+distinct pages or more) the texts that stand on two distinct pages or more are boilerplate and are removed from each page; a text found on one page stays.
 
-Entropy alone can't give right results: menus and adverts may differ on every page, hosts may have one page, and copies of an article on a host look like
-boilerplate. So elements whose tag, role or whole class or id says what they are decide first (a wrapper named so never takes an article or main inside with it): within ``article`` or ``main`` everything stays but named boilerplate, and the style tree
+Entropy alone can't give right results: menus and adverts may differ on every page, and hosts may have one page. So elements whose tag, role or whole class or id says what they are decide first (a wrapper named so never takes an article or main inside with it): within ``article`` or ``main`` everything stays but named boilerplate, and the style tree
 judges the branches outside them on every page: those of high importance stay too (a lede before the article, a body beside a teaser card).
 
-Counts are summed by Spark before the shuffle (a host with a third of all pages is one row for each node and value a task); the removed branches of a host are joined to its pages,
-by broadcast only if their measured size is at most ``BROADCAST_PATHS`` paths.
+Distinct pages are counted by node, value and page, so a host with a third of all pages is spread over tasks, and summed by Spark before the next shuffle. The removed texts are hashes; they go to
+every task if they are at most ``BROADCAST_TEXTS``, else each distinct page is joined with its own ones.
 
 Defined results: a null or empty page has the empty text; a null url is a host of its own; unfinished tags at the end of a cut page are dropped; repeated rows each get their row;
 an empty table gives an empty result; further columns don't matter.
@@ -30,7 +30,7 @@ from defectflow.llm.common import materialize, pieces
 
 LOW = 0.3
 MIN_PAGES = 5
-BROADCAST_PATHS = 50_000
+BROADCAST_TEXTS = 50_000
 
 #: Element names of HTML by what they do.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title"}
@@ -149,59 +149,111 @@ def _squeeze(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def main_text(page: str | None, low: set[int]) -> str:
-    if not page:
-        return ""
-    found, _ = parse(page)
-    kept = {KEPT} if any(main and dropped == KEPT and text.strip() for text, _, dropped, main, _ in found) else {KEPT, SPARE}
-    return _squeeze([text if dropped in kept and (main or path_hash(path) not in low) else " " for text, path, dropped, main, _ in found])
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 def path_hash(path: str) -> int:
-    return xxhash.xxh3_64_intdigest(path) - (1 << 63)
+    return _hash(path)
+
+
+def _branches(found: list[tuple[str, str, int, bool, bool]], kept: set[int]) -> dict[str, str]:
+    """The text of each path outside article and main, without named boilerplate."""
+    texts = {}
+    for text, path, dropped, main, _ in found:
+        if not main and dropped in kept:
+            texts.setdefault(path, []).append(text)
+    return {path: t for path, parts in texts.items() if (t := _squeeze(parts))}
+
+
+def _states(found: list[tuple[str, str, int, bool, bool]]) -> set[int]:
+    return {KEPT} if any(main and dropped == KEPT and text.strip() for text, _, dropped, main, _ in found) else {KEPT, SPARE}
+
+
+def main_text(page: str | None, low: set[tuple[int, int]]) -> str:
+    """``low``: (path, text) hashes that are removed."""
+    if not page:
+        return ""
+    found, _ = parse(page)
+    kept = _states(found)
+    poor = {path for path, text in _branches(found, kept).items() if (path_hash(path), _hash(text)) in low} if low else set()
+    return _squeeze([text if dropped in kept and (main or path not in poor) else " " for text, path, dropped, main, _ in found])
 
 
 def _nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Style-tree nodes outside the main elements: (host, path, kind, value)."""
+    """Style-tree nodes outside the main elements: (host, path, kind, value, page, key); ``page``: hash of the page's text, ``key``: of its HTML."""
     for frame in pieces(frames, "html"):
         rows = []
-        for url, page in zip(frame["url"], frame["html"], strict=True):
-            name, texts = host(url), {}
+        for url, page, key in zip(frame["url"], frame["html"], frame["key"], strict=True):
+            name = host(url)
             found, elements = parse(page or "")
-            for text, path, _, main, _ in found:
-                if not main:
-                    texts.setdefault(path, []).append(text)
-            rows += [(name, path_hash(p), 0, xxhash.xxh3_64_intdigest(t) - (1 << 63)) for p, parts in texts.items() if (t := _squeeze(parts))]
-            rows += [(name, path_hash(e.path), 1, xxhash.xxh3_64_intdigest(" ".join(dict.fromkeys(e.children))) - (1 << 63)) for e in elements if not e.main and e.tag not in INLINE]
-        yield pd.DataFrame(rows, columns=["host", "path", "kind", "value"])
+            kept = _states(found)
+            whole = _hash(_squeeze([text if dropped in kept else " " for text, _, dropped, _, _ in found]))
+            rows += [(name, path_hash(p), 0, _hash(t), whole, key) for p, t in _branches(found, kept).items()]
+            rows += [(name, path_hash(e.path), 1, _hash(" ".join(dict.fromkeys(e.children))), whole, key) for e in elements if not e.main and e.dropped in kept and e.tag not in INLINE]
+        yield pd.DataFrame(rows, columns=["host", "path", "kind", "value", "page", "key"])
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, path, kind`` (0 content, 1 presentation), ``n``, ``importance`` of each node of each host."""
-    nodes = pages.select(F.col("url").alias("url"), F.col("html").alias("html")).mapInPandas(_nodes, "host string, path long, kind int, value long")
-    counts = nodes.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+def nodes(pages: DataFrame) -> DataFrame:
+    asked = pages.select(F.col("url").alias("url"), F.col("html").alias("html"), F.xxhash64("html").alias("key"))
+    return asked.mapInPandas(_nodes, "host string, path long, kind int, value long, page long, key long")
+
+
+def value_counts(pages: DataFrame) -> DataFrame:
+    """``host, path, kind, value, n``: the distinct pages of each value."""
+    return nodes(pages).select("host", "path", "kind", "value", "page").distinct().groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def importances(counts: DataFrame) -> DataFrame:
     c = F.col("n").cast("double")
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum(c * F.log(c)).alias("clogc"))
     entropy = (F.log(F.col("n").cast("double")) - F.col("clogc") / F.col("n")) / F.log(F.col("n").cast("double"))
     return sums.select("host", "path", "kind", "n", F.when(F.col("n") > 1, entropy).otherwise(1.0).alias("importance"))
 
 
-def extract_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def style_tree(pages: DataFrame) -> DataFrame:
+    """``host, path, kind`` (0 content, 1 presentation), ``n``, ``importance`` of each node of each host."""
+    return importances(value_counts(pages))
+
+
+def extract_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages`` (``page_id``, ``url``, ``html``)."""
-    both = style_tree(pages).groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max("n").alias("n"), F.min("kind").alias("kind"))
-    poor = both.where((F.col("importance") < low) & (F.col("n") >= min_pages) & (F.col("kind") == 0))
-    removed = materialize(poor.groupBy(F.col("host").alias("__host")).agg(F.collect_set("path").alias("low")), "branches")
-    size = removed.agg(F.coalesce(F.sum(F.size("low") + 10), F.lit(0))).first()[0]
+    counts = materialize(value_counts(pages), "values")
+    tree = importances(counts)
+    content = tree.where((F.col("kind") == 0) & (F.col("importance") < low) & (F.col("n") >= min_pages)).select("host", "path")
+    poor = content.join(tree.where((F.col("kind") == 1) & (F.col("importance") >= low)).select("host", "path"), ["host", "path"], "left_anti")
+    repeated = counts.where((F.col("kind") == 0) & (F.col("n") > 1)).select("host", "path", "value")
+    removed = materialize(repeated.join(poor, ["host", "path"]), "removed")
+    mine = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").alias("html"))
+    schema = "page_id long, url string, text string, n_chars long"
+
+    def result(frame: pd.DataFrame, lows: Iterator[set]) -> pd.DataFrame:
+        texts = [main_text(page, some) for page, some in zip(frame["html"], lows, strict=True)]
+        return pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+    listed = removed.limit(broadcast_texts + 1).collect()
+    if len(listed) <= broadcast_texts:
+        by_host: dict[str, set] = {}
+        for r in listed:
+            by_host.setdefault(r["host"], set()).add((r["path"], r["value"]))
+        known = pages.sparkSession.sparkContext.broadcast(by_host)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield result(frame, (known.value.get(host(url), set()) for url in frame["url"]))
+
+        return mine.mapInPandas(run, schema)
+
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][\w+.-]*://([^/?#\s]*)", 1))
-    mine = pages.select("page_id", "url", F.col("html").alias("html"), name.alias("host"))
-    joined = mine.join(F.broadcast(removed) if size <= BROADCAST_PATHS else removed, F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "low")
+    hits = nodes(pages).where(F.col("kind") == 0).join(removed, ["host", "path", "value"]).groupBy(F.col("host").alias("__host"), F.col("key").alias("__key"))
+    marks = hits.agg(F.collect_set(F.struct("path", "value")).alias("low"))
+    joined = mine.join(marks, (name == F.col("__host")) & (F.xxhash64("html") == F.col("__key")), "left").select("page_id", "url", "html", "low")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run_own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [main_text(page, set(low.tolist()) if low is not None else set()) for page, low in zip(frame["html"], frame["low"], strict=True)]
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield result(frame, ({(x["path"], x["value"]) for x in some} if some is not None else set() for some in frame["low"]))
 
-    return joined.withColumn("page_id", F.col("page_id").cast("long")).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInPandas(run_own, schema)
 
 
 def op2_html_text(spark, sf_dir: str) -> DataFrame:

@@ -50,6 +50,17 @@ def test_branches_beside_the_article_are_judged(spark):
     assert got == {i: f"lede {i} story {i}" for i in range(12)}
 
 
+@pytest.mark.parametrize("broadcast_texts", [1000, 0])
+def test_copies_of_a_page_do_not_remove_texts(spark, broadcast_texts):
+    page = "<body><div class=content>{0}</div><nav>{1}</nav></body>"
+    pages = [(i, "http://h/", page.format("a copied article" if i < 80 else f"article {i}", i), "", 0, "") for i in range(100)]
+    side = "<body><div class=top>{0}</div><div class=x>new {1}</div></body>"
+    pages += [(200 + i, "http://Side/", side.format("rare" if i == 39 else "Welcome", i), "", 0, "") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, PAGE), broadcast_texts=broadcast_texts).collect()}
+    want = {i: "a copied article" if i < 80 else f"article {i}" for i in range(100)} | {200 + i: f"rare new {i}" if i == 39 else f"new {i}" for i in range(40)}
+    assert got == want
+
+
 def test_style_tree_entropy(spark):
     pages = [(i, "http://h/", f"<body><div class=a>same</div><div class=b>{i}</div></body>", "", 0, "") for i in range(8)]
     found = {r["path"]: r["importance"] for r in html_text.style_tree(spark.createDataFrame(pages, PAGE)).where("kind = 0").collect()}
