@@ -90,6 +90,27 @@ def test_licenses(spark, sf_dir):
     assert licenses.scan_licenses(spark.createDataFrame([], CLASH)).count() == 0
 
 
+def test_notices_of_versions_differ():
+    words = lambda name: licenses.template_words(licenses.TEMPLATES[name])
+    grams = lambda name: {tuple(words(name)[i : i + 5]) for i in range(len(words(name)) - 4)}
+    for found, other in [("GPL-2.0-notice", "GPL-3.0-notice"), ("GPL-2.0-or-later-notice", "GPL-3.0-or-later-notice"), ("CC-BY-4.0-notice", "CC-BY-SA-4.0-notice"), ("CC-BY-SA-4.0-notice", "CC-BY-4.0-notice")]:
+        assert len(grams(found) & grams(other)) < 0.8 * len(grams(found))
+
+
+def test_license_parts_and_edits(spark):
+    text = licenses.TEMPLATES
+    warranty = "THE SOFTWARE IS PROVIDED 'AS IS', WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    whole = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "MPL-2.0", "Apache-2.0", "LGPL-3.0", "GPL-3.0", "CC-BY-SA-4.0"]
+    rows = [(i, "Copyright 2020 somebody. " + text[f"{n}-text"].lower(), "s") for i, n in enumerate(whole)] + [(100, f"x y z {warranty} x y", "s")]
+    notice = text["Apache-2.0"].split()
+    for i in range(40):  # ten words put in, at every phase of the windows
+        rows.append((200 + i, " ".join([f"w{j}" for j in range(i)] + notice[:15] + [f"n{j}" for j in range(10)] + notice[15:] + [f"v{j}" for j in range(60)]), "s"))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(with_clashes(spark, rows)).collect()}
+    assert {(i, f"{n}-text") for i, n in enumerate(whole)} <= got
+    assert any(d == 100 and n.startswith("MIT/part") for d, n in got)
+    assert {(200 + i, "Apache-2.0") for i in range(40)} <= got
+
+
 def test_search_equals_brute_force(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     index = next(decontamination.build_indexes(items, 0.05))
