@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectflow.prefix import prefix_sum
+from defectflow.shared import materialize
 
 PERCENTS = tuple(range(10, 101, 10))
 
@@ -51,17 +52,23 @@ def attach_loc(preds: DataFrame, features: DataFrame) -> DataFrame:
     return keep(preds).join(loc, "commit_hash")
 
 
+def _buggy() -> Column:
+    return F.when(F.col("real_label") == 1, 1).otherwise(0)
+
+
+def _density(value: Column) -> Column:
+    return F.when(F.col("loc") > 0, value / F.col("loc")).when(value > 0, F.lit(float("inf")))
+
+
 def effort_curve(preds: DataFrame, order: str = "predicted", group_cols: Sequence[str] = ()) -> DataFrame:
-    """``preds`` (``commit_hash, prob, real_label, loc``) with ``cum_loc``, the lines inspected up to each commit."""
-    value = F.col("prob") if order == "predicted" else F.col("real_label").cast("double")
-    density = F.when(F.col("loc") > 0, value / F.col("loc")).when(value > 0, F.lit(float("inf")))
-    ordered = preds.withColumn("density", density)
+    """``preds`` (``commit_hash, prob, real_label, loc``) with ``cum_loc`` and ``found``, the lines inspected and buggy commits found up to each commit."""
+    ordered = preds.withColumn("density", _density(F.col("prob") if order == "predicted" else F.col("real_label").cast("double")))
     first = F.col("density").asc_nulls_last() if order == "worst" else F.col("density").desc_nulls_last()
-    return prefix_sum(ordered, [first, F.col("commit_hash")], {"cum_loc": F.col("loc")}, list(group_cols))
+    return prefix_sum(ordered, [first, F.col("commit_hash")], {"cum_loc": F.col("loc"), "found": _buggy()}, list(group_cols))
 
 
 def _totals(curve: DataFrame, keys: list[str]) -> DataFrame:
-    return curve.groupBy(*keys).agg(F.sum("loc").alias("total_loc"), F.sum(F.when(F.col("real_label") == 1, 1).otherwise(0)).alias("n_buggy"))
+    return curve.groupBy(*keys).agg(F.sum("loc").alias("total_loc"), F.sum(_buggy()).alias("n_buggy"))
 
 
 def _with_totals(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,47 +76,60 @@ def _with_totals(curve: DataFrame, keys: list[str]) -> DataFrame:
     return curve.join(totals, keys) if keys else curve.crossJoin(F.broadcast(totals))  # one row
 
 
+def _recall(pct: float) -> Column:
+    inside = F.sum(F.when((F.col("real_label") == 1) & (F.col("cum_loc") <= F.lit(pct / 100.0) * F.col("total_loc")), 1).otherwise(0))
+    return F.try_divide(inside, F.max("n_buggy"))
+
+
+def _effort(pct: float) -> Column:
+    at = (F.col("real_label") == 1) & (F.col("found") == F.ceil(F.lit(pct / 100.0) * F.col("n_buggy")))
+    return F.try_divide(F.max(F.when(at, F.floor("cum_loc"))), F.max("total_loc"))
+
+
 def recall_at_effort(curve: DataFrame, pct: float = 20, group_cols: Sequence[str] = ()) -> DataFrame:
     """Share of buggy commits found within ``pct`` percent of the lines."""
     keys = list(group_cols)
-    inside = F.sum(F.when((F.col("real_label") == 1) & (F.col("cum_loc") <= F.lit(pct / 100.0) * F.col("total_loc")), 1).otherwise(0))
-    return _with_totals(curve, keys).groupBy(*keys).agg(F.try_divide(inside, F.max("n_buggy")).alias("recall_at_effort"))
+    return _with_totals(curve, keys).groupBy(*keys).agg(_recall(pct).alias("recall_at_effort"))
 
 
 def effort_at_recall(curve: DataFrame, pct: float = 20, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Share of the lines to inspect until ``pct`` percent of the buggy commits are found.
-
-    Buggy commits are counted along the curve by the same two-step sums as the lines."""
+    """Share of the lines to inspect until ``pct`` percent of the buggy commits are found; ``curve`` as ``effort_curve`` gives it."""
     keys = list(group_cols)
-    buggy = F.when(F.col("real_label") == 1, 1).otherwise(0)
-    first = F.col("density").desc_nulls_last()
-    counted = prefix_sum(curve, [first, F.col("commit_hash")], {"found": buggy}, keys)
-    at = (F.col("real_label") == 1) & (F.col("found") == F.ceil(F.lit(pct / 100.0) * F.col("n_buggy")))
-    reached = F.max(F.when(at, F.floor("cum_loc")))
-    return _with_totals(counted, keys).groupBy(*keys).agg(F.try_divide(reached, F.max("total_loc")).alias("effort_at_recall"))
+    return _with_totals(curve, keys).groupBy(*keys).agg(_effort(pct).alias("effort_at_recall"))
+
+
+ORDERS = ("predicted", "optimal", "worst")
+
+
+def _curve_figures(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each group: the area below each order's curve, and recall and effort at 20 percent of the predicted one. One pass sums the three orders."""
+    prob, real = _density(F.col("prob")), _density(F.col("real_label").cast("double"))
+    ranks = {"predicted": -prob, "optimal": -real, "worst": real}
+    each = F.explode(F.array(*(F.struct(F.lit(o).alias("order"), ranks[o].alias("by")) for o in ORDERS)))
+    rows = _with_totals(preds, keys).select(*keys, "commit_hash", "real_label", "loc", "total_loc", "n_buggy", each.alias("__o")).select("*", F.col("__o.order").alias("__order"), F.col("__o.by").alias("__by")).drop("__o")
+    curves = prefix_sum(rows, [F.col("__by").asc_nulls_last(), F.col("commit_hash")], {"cum_loc": F.col("loc"), "found": _buggy()}, [*keys, "__order"])
+    one = curves.groupBy(*keys, "__order").agg(*(_recall(p).alias(f"r{p}") for p in PERCENTS), _effort(20).alias("effort"))
+    area = sum(((F.col(f"r{a}") + F.col(f"r{b}")) * 0.05 for a, b in zip(PERCENTS[1:-1], PERCENTS[2:], strict=True)), (F.col("r10") + F.col("r20")) * 0.05)
+    of = lambda order, value: F.max(F.when(F.col("__order") == order, value))
+    return one.groupBy(*keys).agg(*(of(o, area).alias(o) for o in ORDERS), of("predicted", F.col("r20")).alias("recall_at_effort"), of("predicted", F.col("effort")).alias("effort_at_recall"))
+
+
+def _p_opt() -> Column:
+    o = F.col("optimal")
+    return 1 - F.try_divide(o - F.col("predicted"), o - F.col("worst"))
 
 
 def p_opt(preds: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """1 - (A_optimal - A_predicted) / (A_optimal - A_worst), areas by trapezoids over recall at 10, 20, ... 100 % effort."""
-    keys = list(group_cols)
-    areas = None
-    for order in ("predicted", "optimal", "worst"):
-        t = _with_totals(effort_curve(preds, order, keys), keys)
-        recalls = [F.try_divide(F.sum(F.when((F.col("real_label") == 1) & (F.col("cum_loc") <= F.lit(p / 100.0) * F.col("total_loc")), 1).otherwise(0)), F.max("n_buggy")) for p in PERCENTS]
-        one = t.groupBy(*keys).agg(*(r.alias(f"r{p}") for r, p in zip(recalls, PERCENTS, strict=True)))
-        area = sum(((F.col(f"r{a}") + F.col(f"r{b}")) * 0.05 for a, b in zip(PERCENTS[1:-1], PERCENTS[2:], strict=True)), (F.col("r10") + F.col("r20")) * 0.05)
-        one = one.select(*keys, area.alias(order))
-        areas = one if areas is None else areas.join(one, keys) if keys else areas.crossJoin(one)
-    o = F.col("optimal")
-    return areas.select(*keys, (1 - F.try_divide(o - F.col("predicted"), o - F.col("worst"))).alias("p_opt"))
+    return _curve_figures(preds, list(group_cols)).select(*group_cols, _p_opt().alias("p_opt"))
 
 
 def commit_report(preds: DataFrame, group_cols: Sequence[str] = (), t: float = 0.5) -> DataFrame:
-    """F1, AUC, recall at 20 % effort, effort at 20 % recall and POpt, a row for each group."""
+    """F1, AUC, recall at 20 % effort, effort at 20 % recall and POpt, a row for each group. The predictions are computed once and written down."""
     keys = list(group_cols)
-    curve = effort_curve(preds, "predicted", keys)
-    reports = [confusion(threshold(preds, t), keys).select(*keys, "f1"), roc_auc(preds, keys), recall_at_effort(curve, 20, keys), effort_at_recall(curve, 20, keys), p_opt(preds, keys)]
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.join(r, keys) if keys else out.crossJoin(r)
+    once = materialize(preds.select(*keys, "commit_hash", "prob", "real_label", "loc"), "predictions")
+    figures = _curve_figures(once, keys).select(*keys, "recall_at_effort", "effort_at_recall", _p_opt().alias("p_opt"))
+    out = confusion(threshold(once, t), keys).select(*keys, "f1")
+    for r in (roc_auc(once, keys), figures):
+        out = out.join(r, keys) if keys else out.crossJoin(F.broadcast(r))  # one row
     return out
