@@ -2,60 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from defectflow.shared import look_up, materialize, release, shared_dir  # noqa: F401  (for the operators)
+
 #: What separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; removed when the driver's JVM ends.
-
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="defectflow-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: the lineage ends there, and a lost executor costs only its own tasks.
-
-    The collection afterwards lets Spark delete the shuffle files that only the finished job needed."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
-    out.folder = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes the files of materialized frames that nothing reads any more."""
-    for df in frames:
-        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.folder)
-        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,15 +1,13 @@
 """SimHash near-duplicates through an inverted index on byte positions.
 
-A fingerprint has eight bytes. Fingerprints that differ in at most four bits differ in at most four bytes, so they share at least four bytes
-at their positions, and at least three of any seven. The postings are therefore keyed by three of the first seven positions with their bytes
-(35 keys for each distinct fingerprint); a pair that meets in a posting is tallied over all eight positions, retained if it shares the
-guaranteed four, then verified by its differing bits. Postings by a single position would hold n/256 fingerprints each, and their pairs
-grow with the square of n; the three-position keys lose no pair.
+A fingerprint has eight bytes. Fingerprints that differ in at most four bits differ in at most four bytes, so they share at least four of the eight
+positions. The index is keyed by four positions with their bytes (70 keys for each distinct fingerprint): a posting by one position would hold n/256 fingerprints, one by four
+holds n/2^32. Pairs that meet in a posting are tallied over all eight positions; those that share the guaranteed four, of which the posting's are the first, are verified by
+their differing bits. So each pair is judged in one posting.
 
-A posting with more than ``HOT`` distinct fingerprints isn't paired. Its fingerprints instead list every value within two bits of themselves
-(2,081 each): two values differ in at most four bits exactly if some value is within two bits of both. Grouping by these values links them,
-with work in proportion to the group. Fewer bits take smaller balls; for an odd number, a value's ball meets the other's, which is one bit wider. Exact copies share one fingerprint and are joined only at the end. Components come from
-alternating large-star and small-star rounds over the links; nothing is collected.
+A posting is dealt into tiles of about ``TILE`` fingerprints by their hash, and each pair of tiles is a cell of its own: no task holds more of a posting than two tiles, however many fingerprints it
+has. A cell gives each fingerprint at most one link, to the smallest one that it reaches there; pairs are never listed. Exact copies share one fingerprint and are joined only at the end.
+Components come from large-star and small-star rounds over the links, all joins with hubs by ``look_up``; nothing is collected.
 
 Defined results: a null or empty text (or one without words) has fingerprint zero and is linked like any other; repeated rows are one group;
 a null ``doc_id`` gets its row, and counts for ``component_id`` only if nothing else is in its component (then null); an empty table gives an empty
@@ -27,11 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectflow.llm.common import materialize, word_bytes
+from defectflow.llm.common import look_up, materialize, release, word_bytes
 
 SHINGLE = 4
 MAX_BITS = 4
-HOT = 64
+TILE = 128
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -56,115 +54,164 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) of each row."""
+    """``doc_id``, ``h`` (hash of the text) and ``fp`` (the fingerprint as a signed long) of each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": _signed([fingerprint(t, size) for t in frame["text"]])})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "h": frame["h"], "fp": _signed([fingerprint(t, size) for t in frame["text"]])})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("h"), F.col("text").alias("text")).mapInPandas(run, "doc_id long, h long, fp long")
 
 
 def _byte(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255).cast("long"))
 
 
-def _bits_apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def _shared_bytes(a: Column, b: Column) -> Column:
-    return sum((F.when(_byte(a, i) == _byte(b, i), 1).otherwise(0) for i in range(1, 8)), F.when(_byte(a, 0) == _byte(b, 0), 1).otherwise(0))
+#: The guaranteed four of eight byte positions, in every way.
+CHOICES = list(combinations(range(8), 4))
+#: For each set of shared positions (a bit each), the number of its first four in ``CHOICES``; -1 below four.
+FIRST = np.array([CHOICES.index(tuple(i for i in range(8) if s >> i & 1)[:4]) if s.bit_count() >= 4 else -1 for s in range(256)])
 
 
 def _postings(fps: DataFrame) -> DataFrame:
-    """(posting, fp): the posting packs which three of seven positions, and their bytes."""
-    fp = F.col("fp")
-    keys = []
-    for c, (i, j, k) in enumerate(combinations(range(7), 3)):
-        keys.append(F.lit(c << 24).cast("long") + F.shiftleft(_byte(fp, i), 16) + F.shiftleft(_byte(fp, j), 8) + _byte(fp, k))
-    return fps.select("fp", F.explode(F.array(*keys)).alias("posting"))
-
+    """(posting, fp): the posting packs which four of eight positions, and their bytes."""
+    split = fps.select("fp", *(_byte(F.col("fp"), i).alias(f"b{i}") for i in range(8)))
+    packed = lambda c, at: sum((F.shiftleft(F.col(f"b{i}"), 24 - 8 * k) for k, i in enumerate(at)), F.lit(c << 32).cast("long"))
+    return split.select("fp", F.explode(F.array(*(packed(c, at) for c, at in enumerate(CHOICES)))).alias("posting"))
+
+
+def _near(posting: int, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs of two lists are links of this posting: tallied over all eight positions, four or more shared, these four the first of them, then verified by bits."""
+    apart = a[:, None] ^ b[None, :]
+    shared = np.packbits(apart.view(np.uint8).reshape(*apart.shape, 8) == 0, axis=-1, bitorder="little")[..., 0]
+    return (FIRST[shared] == posting >> 32) & (np.bitwise_count(apart) <= max_bits)
+
+
+def _forest(fps: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each fingerprint with the smallest one that it reaches: at most one for each."""
+    order = np.argsort(fps, kind="stable")
+    fps, near = fps[order], near[np.ix_(order, order)] | np.eye(len(fps), dtype=bool)
+    label = np.arange(len(fps))
+    while True:
+        new = np.where(near, label[None, :], len(fps)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    moved = label < np.arange(len(fps))
+    return fps[label[moved]], fps[moved]
 
-def _ball(fps: DataFrame, max_bits: int) -> DataFrame:
-    """Every value within half of ``max_bits`` bits of ``fp`` (``inner``); for an odd ``max_bits`` also those one bit further."""
-    one = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
-    rings = [[0], one, [a ^ b for a, b in combinations(one, 2)]]
 
-    def around(masks: list[int], inner: bool) -> DataFrame:
-        centres = F.transform(F.lit(np.array(masks, np.int64)), lambda m: F.col("fp").bitwiseXOR(m))
-        return fps.select("fp", F.explode(centres).alias("centre"), F.lit(inner).alias("inner"))
+def _pairs(frame: pd.DataFrame, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of cells with two fingerprints, all at once."""
+    x = np.sort(np.stack(frame["first"].to_numpy()), axis=1)
+    apart = x[:, 0] ^ x[:, 1]
+    shared = np.packbits(apart.view(np.uint8).reshape(-1, 8) == 0, axis=-1, bitorder="little")[:, 0]
+    near = (FIRST[shared] == frame["posting"].to_numpy() >> 32) & (np.bitwise_count(apart.view(np.uint64)) <= max_bits)
+    return x[near, 0], x[near, 1]
 
-    half = max_bits // 2
-    ball = around(sum(rings[: half + 1], []), True)
-    return ball.unionByName(around(rings[half + 1], False)) if max_bits % 2 else ball
 
+def _cell_links(max_bits: int):
+    """Links within cells: (posting, lo, hi, two lists of fingerprints). A cell of one tile compares its list with itself, one of two tiles compares across."""
 
-def links(fps: DataFrame, hot: int = HOT, max_bits: int = MAX_BITS) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            two = (frame["lo"] == frame["hi"]) & (frame["first"].str.len() == 2)
+            found = [_pairs(frame[two], max_bits)] if two.any() else []
+            for c in frame[~two].itertuples():
+                x = np.asarray(c.first, np.int64)
+                if c.lo == c.hi:
+                    near = _near(c.posting, x.view(np.uint64), x.view(np.uint64), max_bits)
+                else:
+                    y = np.asarray(c.second, np.int64)
+                    across = _near(c.posting, x.view(np.uint64), y.view(np.uint64), max_bits)
+                    near = np.zeros((len(x) + len(y),) * 2, bool)
+                    near[: len(x), len(x) :], near[len(x) :, : len(x)] = across, across.T
+                    x = np.concatenate([x, y])
+                if near.any():
+                    found.append(_forest(x, near))
+            none = np.zeros(0, np.int64)
+            yield pd.DataFrame({"a": np.concatenate([none, *(f[0] for f in found)]), "b": np.concatenate([none, *(f[1] for f in found)])})
+
+    return run
+
+
+def links(fps: DataFrame, tile: int = TILE, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b), a < b, over distinct fingerprints: their components are those of all pairs within ``max_bits`` (at most four) bits."""
     assert max_bits <= 4, "four shared bytes are guaranteed up to four bits"
     postings = _postings(fps)
-    sizes = postings.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = materialize(postings.join(sizes, "posting"), "postings")
-    small = placed.where(F.col("n") <= hot).select("posting", "fp")
-    a, b = F.col("a"), F.col("b")
-    pairs = small.select("posting", F.col("fp").alias("a")).join(small.select("posting", F.col("fp").alias("b")), "posting").where(a < b)
-    pairs = pairs.where((_shared_bytes(a, b) >= 4) & (_bits_apart(a, b) <= max_bits)).select("a", "b")
-    large = placed.where(F.col("n") > hot).select("fp").distinct()
-    ball = _ball(large, max_bits)
-    centres = ball.groupBy("centre").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("n")).where("a is not null and n > 1")
-    dense = ball.join(centres.select("centre", "a"), "centre").where(F.col("a") != F.col("fp")).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
-    return pairs.unionByName(dense).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a, b) reaches. Large-star and small-star rounds until nothing changes."""
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = materialize(edges.select("a", "b"), "links")
-    seen = None
+    met = postings.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    placed = postings.join(met.hint("merge"), "posting").select("posting", "fp", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("tile"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = placed.select("posting", "fp", "tile", other.alias("other")).select("posting", "fp", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile")
+    mine = lambda part: F.collect_list(F.when(F.col("tile") == F.col(part), F.col("fp")))
+    cells = dealt.groupBy("posting", "lo", "hi").agg(mine("lo").alias("first"), F.collect_list(F.when(F.col("tile") != F.col("lo"), F.col("fp"))).alias("second"))
+    return cells.mapInPandas(_cell_links(max_bits), "a long, b long").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root): the smallest node that each node of ``edges`` (a, b), a < b, reaches.
+
+    Rounds of large star (each node's larger neighbours go to its smallest one) and small star (its smaller ones do) until every tree is a star, which the count of neighbours tells."""
+    edges = materialize(edges.select("a", "b"), "links", n=F.count(F.lit(1)))
+    total = 2 * (edges.totals.get("n") or 0)
+    u, v = F.col("u"), F.col("v")
     for _ in range(rounds):
-        near = both(edges)
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("b"), F.col("m").alias("a")).distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        star = down.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("m")).unionByName(low.select(F.col("u").alias("x"), "m"))
-        edges = materialize(star.where("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == seen:
+        near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        about = near.groupBy("u").agg(F.least(u, F.min(v)).alias("m"), F.count(F.lit(1)).alias("n"), F.count_if(v < u).alias("below"))
+        middle = F.count_if((F.col("below") > 1) | (F.col("below") == 1) & (F.col("n") > 1))
+        low = materialize(about, "lowest", middle=middle)
+        if not low.totals.get("middle"):
             break
-        seen = state
+        large = materialize(look_up(near.where(v > u), low.drop("below"), "u", total).select(v.alias("u"), F.col("m").alias("v")).distinct(), "large-star", n=F.count(F.lit(1)))
+        lowest = large.groupBy("u").agg(F.min(v).alias("m"), F.count(F.lit(1)).alias("n"))
+        star = look_up(large, lowest, "u", large.totals["n"]).select(v.alias("b"), F.col("m").alias("a")).unionByName(lowest.select(u.alias("b"), F.col("m").alias("a")))
+        new = materialize(star.where("a <> b").distinct(), "links", n=F.count(F.lit(1)))
+        release(edges, low, large)
+        edges, total = new, 2 * new.totals["n"]
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    return low.select(u.alias("node"), F.col("m").alias("root"))
+
+
+def _rooted(docs: DataFrame, size: int, max_bits: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows (``doc_id, h, fp``, ``h``: hash of the text), and each distinct one with its number of rows, first row (id, then text) and component's ``root``."""
+    prints = materialize(fingerprints(docs, size), "fingerprints", n=F.count(F.lit(1)))
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")
+    values = materialize(prints.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")), "values", n=F.count(F.lit(1)))
+    found = components(links(values.select("fp"), tile, max_bits))
+    rooted = values.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialize(rooted, "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("smallest"), F.count(F.lit(1)).alias("fps"))
+    return prints, materialize(look_up(rooted, smallest, "root", values.totals.get("n") or 0, "fps"), "named")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of each row of ``docs``."""
-    prints = materialize(fingerprints(docs, size), "fingerprints")
-    values = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(values.select("fp"), hot, max_bits))
-    rooted = values.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """The documents with the smallest ``doc_id`` of their component, with their own columns.
-
-    Rows of one ``doc_id`` are one document: it goes if a row of it is near a document with a smaller id, and stays as one row otherwise.
-    Rows without a ``doc_id`` stay."""
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), size, max_bits, hot)
-    found = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") != F.col("component_id")).alias("__goes"), F.count(F.lit(1)).alias("__rows"))
-    found = materialize(found.where(F.col("__goes") | (F.col("__rows") > 1)), "copies")
-    joined = docs.join(found, F.col("doc_id") == F.col("__id"), "left").where(~F.coalesce("__goes", F.lit(False)))
-    if found.where("not __goes").isEmpty():
-        return joined.select(*(docs[c] for c in docs.columns))
-    once = joined.where("__rows > 1").select(*(docs[c] for c in docs.columns)).dropDuplicates(["doc_id"])
-    return joined.where("__rows is null").select(*(docs[c] for c in docs.columns)).unionByName(once)
+    prints, named = _rooted(docs, size, max_bits, tile)
+    return look_up(prints, named.select("fp", "n", F.col("smallest.doc_id").alias("component_id")), "fp", prints.totals.get("n") or 0).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
+    """One row of each component, with its own columns: the one with the smallest ``doc_id`` (null ids last), then by the text's hash. Of rows that agree in both one stays."""
+    prints, named = _rooted(docs, size, max_bits, tile)
+    total = prints.totals.get("n") or 0
+    first = F.col("smallest")
+    judged = look_up(prints, named.select("fp", "n", "smallest"), "fp", total).select("doc_id", "h", (F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("h") == first["h"])).alias("stays"))
+    groups = judged.groupBy("doc_id", "h").agg(F.bool_and("stays").alias("__stays"), F.count(F.lit(1)).alias("__rows")).where(~F.col("__stays") | (F.col("__rows") > 1))
+    groups = materialize(groups.withColumnsRenamed({"doc_id": "__id", "h": "__h"}), "copies", stay=F.count_if("__stays"))
+    mine = docs.withColumn("__text", text_hash(F.col("text")))
+    joined = mine.join(groups, mine["doc_id"].cast("long").eqNullSafe(groups["__id"]) & (mine["__text"] == groups["__h"]), "left")
+    kept = joined.where(F.col("__rows").isNull()).select(*(docs[c] for c in docs.columns))
+    if not groups.totals.get("stay"):
+        return kept
+    once = joined.where(F.col("__stays") & (F.col("__rows") > 1)).dropDuplicates(["__id", "__h"]).select(*(docs[c] for c in docs.columns))
+    return kept.unionByName(once)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
