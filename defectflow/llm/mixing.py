@@ -1,15 +1,16 @@
 """Mixing sources to target weights by blocks and pseudorandom index permutations.
 
-The words of each source are packed, in a fixed order of documents, into blocks of ``block_words``. The mix has as many slots as the targets have blocks, dealt
-over output shards: for each source the counts a shard are multinomial draws, conditional on the source's total (so totals meet the targets
-and a shard's share varies as in free draws). A source's slots are numbered through the shards; slot j of pass j div B maps through that pass's
-permutation of the source's B blocks: a keyed Feistel network over index bits with cycle walking, so no table is held. Blocks join documents by index.
+The words of each source are packed, in a fixed order of documents, into blocks of ``block_words``. The mix has as many slots as the targets have blocks, in output shards of
+``shard_slots`` slots. All slots of all sources are dealt over the places of the shards by one keyed permutation of their numbers: each shard's counts of sources are then a multinomial draw
+conditional on the sources' totals, so shards have a fixed size and totals meet the targets (``shard_counts`` lists the draws). A source's slots are numbered through; slot j of turn j div B maps
+through that turn's permutation of the source's B blocks. Permutations are keyed Feistel networks over index bits with cycle walking, so no table is held and each slot is made by itself, in
+any task. Blocks join documents by index.
 
-A document's place in its source comes from two sums: within salted groups of the source (a hot source is many groups), and over the groups.
-The targets stop at twice the size, so a block is used at most twice. The same rows and seed give the same mix.
+A document's place in its source is a running sum by ranges of (source, document), so a hot source is spread like the others. The targets stop at twice the size, so a block is used at most twice.
+Targets are found by passes over the table of sources, of which only sums reach the driver. The same rows and seed give the same mix.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its own, last by order; documents are placed by
-``doc_id``, then size; repeated rows each have their words; an empty table gives an empty result; further columns don't matter.
+``doc_id``, then size, then the text's hash; repeated rows each have their words; an empty table gives an empty result; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,38 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from defectflow.llm.common import SPACE, let, materialize, mix, n_words, words
+from defectflow.llm.common import let, look_up, materialize, mix, n_words, words
+from defectflow.prefix import prefix_sum
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-GROUP_ROWS = 20_000
-#: More sources than this aren't expected on the driver: it holds one row (name, size) for each.
-MAX_SOURCES = 1_000_000
-
-
-def capped_targets(sizes: list[float], weights: list[float], total: float, most: float = MOST) -> list[float]:
-    """Shares of ``total`` by weight; what exceeds ``most`` times a size is shared anew by weight among the others, until none is above."""
-    target, full = [0.0] * len(sizes), [s == 0 for s in sizes]
-    left = total
-    while not all(full):
-        weight = sum(w for w, f in zip(weights, full, strict=True) if not f)
-        share = {i: left * weights[i] / weight for i, f in enumerate(full) if not f}
-        over = [i for i, x in share.items() if x > most * sizes[i]]
-        if not over:
-            for i, x in share.items():
-                target[i] = x
-            break
-        for i in over:
-            target[i], full[i] = most * sizes[i], True
-            left -= most * sizes[i]
-    return target
+#: Slots that a task makes at a time.
+RUN_SLOTS = 20_000
+MOST_TASKS = 100_000
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -69,71 +53,82 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``source, source_size, target, place``: a row for each source by code point, null last. The driver holds a row for each source."""
-    spark = sized.sparkSession
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [r["size"] for r in rows]
-    targets = capped_targets([float(s) for s in sizes], [weights[i % len(weights)] for i in range(len(rows))], share * sum(sizes), most)
-    data = [(r["source"], s, t, i) for i, (r, s, t) in enumerate(zip(rows, sizes, targets, strict=True))]
-    return spark.createDataFrame(data, "source string, source_size long, target double, place long")
+    """``source, source_size, target, place, n``: a row for each source by code point, null last; ``n``: its rows.
+
+    Shares are level * weight, stopped at ``most`` sizes. The level rises from pass to pass, as sources stop and leave their excess, until none is above; each pass is a sum over sources."""
+    named = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    order = [F.col("source").isNull(), F.col("source")]
+    placed = prefix_sum(named, order, {"place": F.lit(1).cast("long")}).withColumn("place", F.col("place") - 1)
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("place", F.lit(len(weights))).cast("int"))
+    table = materialize(placed.withColumns({"weight": weight, "cap": F.col("source_size") * F.lit(float(most))}), "sources", size=F.sum("source_size"))
+    total, level = share * (table.totals.get("size") or 0), 0.0
+    while True:
+        stopped = F.col("cap") <= F.lit(level) * F.col("weight")
+        held, free = table.agg(F.coalesce(F.sum(F.when(stopped, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~stopped, F.col("weight"))), F.lit(0.0))).first()
+        new = (total - held) / free if free else level
+        if new <= level:
+            break
+        level = new
+    return table.withColumn("target", F.least("cap", F.lit(level) * F.col("weight"))).select("source", "source_size", "target", "place", "n")
+
 
+def _key(*parts: int) -> int:
+    out = 0
+    for p in parts:
+        out = int(mix(np.array([(out * 0x9E3779B97F4A7C15 + p + 1) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+    return out
 
-def _slots(seed: int, block_words: int, shard_slots: int):
-    """(place, shard, slot, block, pass) of each slot of a run of shards."""
+
+def _slots(seed: int, total: int, shard_slots: int):
+    """Shard, slot, block and turn of runs of a source's slots, numbered among all slots."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for s in frame.itertuples():
-                blocks = -(-s.source_size // block_words)
-                slots = np.arange(s.first, s.first + s.n)
-                block = np.empty(len(slots), np.int64)
-                for turn in range(s.first // blocks, (s.first + s.n - 1) // blocks + 1):
-                    here = slots // blocks == turn
-                    block[here] = permute(slots[here] % blocks, blocks, seed * 1_000_003 + s.place * 131 + turn)
-                yield pd.DataFrame({"place": s.place, "shard": s.shard, "slot": slots, "block": block, "turn": slots // blocks})
+                own = np.arange(s.begin, s.end)
+                at = permute(own + s.first, total, _key(seed))
+                block = np.empty(len(own), np.int64)
+                for turn in range(s.begin // s.blocks, (s.end - 1) // s.blocks + 1):
+                    here = own // s.blocks == turn
+                    block[here] = permute(own[here] % s.blocks, s.blocks, _key(seed, s.place + 1, turn + 1))
+                yield pd.DataFrame({"place": s.place, "shard": at // shard_slots, "slot": at % shard_slots, "block": block, "turn": own // s.blocks})
 
     return run
 
 
-def _draws(seed: int, block_words: int, shards: int):
-    """Slots of a source in each shard: a multinomial draw, as running first slots."""
+def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
+    """The mix: ``place`` (source), ``shard``, ``slot``, ``block``, ``turn``. Runs of ``RUN_SLOTS`` slots of a source are dealt over the tasks."""
+    blocks = F.ceil(F.col("source_size") / block_words)
+    wanted = targets.where("source_size > 0").select("place", blocks.alias("blocks"), F.round(F.col("target") / F.col("source_size") * blocks).cast("long").alias("slots")).where("slots > 0")
+    first = prefix_sum(wanted, [F.col("place")], {"through": F.col("slots")})
+    first = materialize(first.select("place", "blocks", "slots", (F.col("through") - F.col("slots")).alias("first")), "slots", n=F.sum("slots"))
+    total = first.totals.get("n") or 0
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(RUN_SLOTS).cast("long")))
+    runs = first.withColumn("begin", begin).withColumn("end", F.least("slots", F.col("begin") + RUN_SLOTS))
+    tasks = max(1, min(-(-total // RUN_SLOTS), MOST_TASKS))
+    return runs.repartition(tasks, "place", "begin").mapInPandas(_slots(seed, total, shard_slots), "place long, shard long, slot long, block long, turn long")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for s in frame.itertuples():
-                blocks = -(-s.source_size // block_words)
-                total = round(s.target / s.source_size * blocks) if s.source_size else 0
-                n = np.random.default_rng([seed, s.place]).multinomial(total, np.full(shards, 1 / shards))
-                first = np.cumsum(n) - n
-                used = np.flatnonzero(n)
-                for at in range(0, len(used), 100_000):
-                    u = used[at : at + 100_000]
-                    yield pd.DataFrame({"place": s.place, "source_size": s.source_size, "shard": u, "first": first[u], "n": n[u]})
 
-    return run
+def shard_counts(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
+    """``shard, place, n``: the drawn counts of each source in each output shard."""
+    return slots(targets, block_words, shard_slots, seed).groupBy("shard", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
-def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
-    """The mix: ``place`` (source), ``shard``, ``slot``, ``block``, ``turn``."""
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
-    shards = max(1, round(total / block_words / shard_slots))
-    draws = targets.select("place", "source_size", "target").mapInPandas(_draws(seed, block_words, shards), "place long, source_size long, shard long, first long, n long")
-    return draws.repartition("place", "shard").mapInPandas(_slots(seed, block_words, shard_slots), "place long, shard long, slot long, block long, turn long")
+def placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """``sized`` (with ``h``, the text's hash, and ``row``) with its source's row of ``targets`` and ``begin``: the words of its source before it."""
+    summed = prefix_sum(sized, [F.col(c) for c in ("doc_id", "size", "h", "row")], {"through": F.col("size")}, ["source"])
+    found = summed.withColumn("begin", F.col("through") - F.col("size")).drop("through")
+    # A null source is told apart by a flag, so that the join has one plain key.
+    key = F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))
+    named = targets.select(key.alias("__source"), "source_size", "target", "place", "n")
+    found = materialize(found.withColumn("__source", key), "placed", n=F.count(F.lit(1)))
+    return look_up(found, named, "__source", found.totals.get("n") or 0).drop("__source")
 
 
-def placed(sized: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """``sized`` with its source's row of ``targets`` and ``begin``: the words of its source before it."""
-    groups = max(1, -(-sized.count() // GROUP_ROWS))
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    within = salted.withColumn("inside", F.sum("size").over(W.partitionBy("source", "salt").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    sums = salted.groupBy("source", "salt").agg(F.sum("size").alias("here"))
-    starts = sums.withColumn("before", F.sum("here").over(W.partitionBy("source").orderBy("salt").rowsBetween(W.unboundedPreceding, 0)) - F.col("here"))
-    starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), F.col("salt").alias("t"), "before", "source_size", "target", "place")
-    joined = within.join(starts, within["source"].eqNullSafe(starts["s"]) & (within["salt"] == starts["t"]))
-    return joined.withColumn("begin", F.col("inside") + F.col("before")).drop("inside", "before", "salt", "s", "t")
+def _sized(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, h`` (hash of the whole row: rows that agree in it are interchangeable) and ``row``."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64(*(docs[c] for c in docs.columns)).alias("h"))
+    return materialize(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
 
 
 def _spans(at: DataFrame, block_words: int) -> DataFrame:
@@ -147,46 +142,40 @@ def _spans(at: DataFrame, block_words: int) -> DataFrame:
 
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of each row of ``docs`` (``doc_id`` integer, ``text``, ``source``)."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"))
-    sized = materialize(sized, "sizes")
+    sized = _sized(docs)
     targets = source_targets(sized, weights, share)
     used = slots(targets, block_words, seed=seed).groupBy("place", "block").agg(F.count(F.lit(1)).alias("uses"))
-    at = materialize(placed(sized, targets, ["doc_id", "size"]).withColumn("row", F.monotonically_increasing_id()), "placed")
+    at = materialize(placed(sized, targets), "targets")
     taken = _spans(at.select("row", "place", "begin", "size"), block_words).join(used, ["place", "block"]).groupBy("row").agg(F.sum(F.col("n_here") * F.col("uses")).alias("taken"))
     return at.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shard_column: str | None = None) -> DataFrame:
     """The mix as documents with their own columns: for each turn through a source, the words of each document that this turn took, in order.
 
-    A document that a turn takes whole keeps its text as it is; of others the taken words remain, joined by blanks. ``n_chars``, if there, is the new length."""
-    text = F.col("text")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), n_words(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
-    sized = materialize(sized, "sizes")
+    A document that a turn takes whole keeps its text as it is; of others the taken words remain, joined by blanks. ``n_chars``, if there, is the new length.
+    ``shard_column``: a further column with the output shard of the document's first taken block."""
+    sized = _sized(docs)
     targets = source_targets(sized, weights, share)
-    chosen = slots(targets, block_words, seed=seed).select("place", "block", "turn")
-    spans = _spans(placed(sized, targets, ["doc_id", "size", "h"]).select("doc_id", "source", "h", "place", "begin", "size"), block_words)
-    same = ["doc_id", "source", "h"]
-    runs = spans.join(chosen, ["place", "block"]).groupBy(*same, "begin", "size", "turn").agg(F.sum("n_here").alias("n"), F.sort_array(F.collect_list(F.struct("from_word", "n_here"))).alias("runs"))
-    mine = docs.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit(""))))
-    if sized.groupBy(*same).count().where("count > 1").isEmpty():
-        runs, mine = runs.withColumn("copy", F.lit(1)), mine.withColumn("__mine", F.lit(1))
-    else:  # rows that agree in all three are told apart by a number
-        runs = runs.withColumn("copy", F.dense_rank().over(W.partitionBy(*same).orderBy("begin")))
-        mine = mine.withColumn("__mine", F.row_number().over(W.partitionBy("doc_id", "source", "__key").orderBy("__key")))
-    runs = runs.select(*(F.col(c).alias(f"__{c}") for c in [*same, "copy", "n", "size", "runs"]))
-    equal = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source"))
-    joined = mine.join(runs, equal & (F.col("__key") == F.col("__h")) & (F.col("__mine") == F.col("__copy")))
-    return _cut(joined, docs.columns)
-
-
-def _cut(joined: DataFrame, columns: list[str]) -> DataFrame:
+    chosen = slots(targets, block_words, seed=seed).select("place", "block", "turn", "shard")
+    spans = _spans(placed(sized, targets).select("doc_id", "h", "row", "place", "begin", "size"), block_words)
+    piece = F.struct("from_word", "n_here")
+    runs = spans.join(chosen, ["place", "block"]).groupBy("doc_id", "h", "row", "size", "turn").agg(F.sum("n_here").alias("n"), F.sort_array(F.collect_list(piece)).alias("runs"), F.min_by("shard", "from_word").alias("shard"))
+    runs = runs.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "h", "n", "size", "runs", "shard")))
+    mine = docs.withColumn("__key", F.xxhash64(*(docs[c] for c in docs.columns)))
+    if not sized.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # equal rows: one of them meets the runs of all
+        mine = mine.dropDuplicates(["doc_id", "__key"])
+    joined = mine.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__key") == F.col("__h")))
+    return _cut(joined, docs.columns, shard_column)
+
+
+def _cut(joined: DataFrame, columns: list[str], shard_column: str | None) -> DataFrame:
     taken = let(words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform(F.col("__runs"), lambda r: F.slice(w, (r["from_word"] + 1).cast("int"), r["n_here"].cast("int")))), " "))
     new = F.when(F.col("__n") == F.col("__size"), F.col("text")).otherwise(taken)
     out = joined.withColumn("text", new)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    return out.select(*columns, *([F.col("__shard").alias(shard_column)] if shard_column else []))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
