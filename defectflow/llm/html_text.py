@@ -2,16 +2,19 @@
 
 The pages of a host are merged into a style tree: a node is a path of elements (tag and class), counted by the ways its children are arranged (presentation) and by the texts
 that stand in it (content). A node's importance is the entropy of these counts over the host's distinct pages, with their number as base: 0 if all pages agree, 1 if
-all differ. Pages are distinct if their texts without named boilerplate are, so copies of a page count once. In branches of low importance (both entropies below ``LOW``, on ``MIN_PAGES``
-distinct pages or more) the texts that stand on two distinct pages or more are boilerplate and are removed from each page; a text found on one page stays.
+all differ. Pages are distinct if their texts without named boilerplate are, so copies of a page count once. In branches of low importance (content below ``LOW``, presentation not above it, on ``MIN_PAGES``
+distinct pages or more) the texts that stand on two distinct pages or more are boilerplate and are removed from each page, wherever they stand; a text found on one page stays. Where this would leave
+nothing of a page's ``article`` or ``main``, these stay (copies of one article with different surroundings).
 
-Entropy alone can't give right results: menus and adverts may differ on every page, and hosts may have one page. So elements whose tag, role or whole class or id says what they are decide first (a wrapper named so never takes an article or main inside with it): within ``article`` or ``main`` everything stays but named boilerplate, and the style tree
-judges the branches outside them on every page: those of high importance stay too (a lede before the article, a body beside a teaser card).
+Entropy alone can't give right results: menus and adverts may differ on every page, and hosts may have one page. So elements whose tag, role or whole class or id says what they are go first (a wrapper named so never
+takes an article or main inside with it), and the tree judges what is left. Hosts with fewer than ``MIN_PAGES`` distinct pages give no evidence: there, only names decide.
+
+Pages are scanned by the rules of HTML in one pass, in time linear in their length: raw elements end at their own closing tag, quotes count only in an attribute's value, what is unfinished at the end is dropped.
 
 Distinct pages are counted by node, value and page, so a host with a third of all pages is spread over tasks, and summed by Spark before the next shuffle. The removed texts are hashes; they go to
 every task if they are at most ``BROADCAST_TEXTS``, else each distinct page is joined with its own ones.
 
-Defined results: a null or empty page has the empty text; a null url is a host of its own; unfinished tags at the end of a cut page are dropped; repeated rows each get their row;
+Defined results: a null or empty page has the empty text; a null url is a host of its own; repeated rows each get their row;
 an empty table gives an empty result; further columns don't matter.
 """
 
@@ -33,7 +36,7 @@ MIN_PAGES = 5
 BROADCAST_TEXTS = 50_000
 
 #: Element names of HTML by what they do.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"}
@@ -55,9 +58,23 @@ UNITS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments
 #: How an element is dropped: a layout's name is not passed on to an article or main inside; an ASIDE one only to articles, which then are SPARE: kept if the page has no other main text.
 KEPT, NAMED, BESIDE, SPARE = range(4)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+#: Elements whose start ends an open paragraph.
+ENDS_P = {
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
+    "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
+}
+#: What an element's start ends if it is open, and what it doesn't look beyond.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+} | {tag: ({"p"}, {"table", "td", "th", "caption", "button", "object"}) for tag in ENDS_P}
+
+#: A tag in plain form; all others are read attribute by attribute.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'<>/=]++(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'<>=]++))?+)*+)\s*+(/?)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_GAP = re.compile(r"[\s/]*+")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|(?=>)|([^\s>"'][^\s>]*+)))?""")
+_CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 def host(url: str | None) -> str:
@@ -68,16 +85,30 @@ def host(url: str | None) -> str:
 class Element:
     __slots__ = ("tag", "path", "dropped", "main", "children")
 
-    def __init__(self, tag: str, path: str, dropped: int, main: bool):
+    def __init__(self, tag: str, path: int, dropped: int, main: bool):
         self.tag, self.path, self.dropped, self.main, self.children = tag, path, dropped, main, []
 
 
-def _attributes(text: str) -> dict[str, str]:
-    """Values by lower-case name, the first of each name; values are skipped whole, so that no word within one is a name."""
-    out = {}
-    for name, x, y, z in _ATTRIBUTE.findall(text):
-        out.setdefault(name.lower(), x or y or z)
-    return out
+def _tag(page: str, at: int) -> tuple[bool, str, dict[str, str], bool, int] | None:
+    """Closing, name, attributes (the first of each name), self-closing and end of the tag at ``at``; None if it has no end."""
+    plain = _PLAIN.match(page, at)
+    names: dict[str, str] = {}
+    if plain:
+        if plain[3]:
+            for name, x, y, z in _ATTRIBUTE.findall(plain[3]):
+                names.setdefault(name.lower(), x or y or z)
+        return bool(plain[1]), plain[2].lower(), names, bool(plain[4]), plain.end()
+    head = _NAME.match(page, at)
+    here = head.end()
+    while True:
+        here = _GAP.match(page, here).end()
+        if here >= len(page):
+            return None
+        if page[here] == ">":
+            return bool(head[1]), head[2].lower(), names, page[here - 1] == "/", here + 1
+        one = _ATTRIBUTE.match(page, here)
+        names.setdefault(one[1].lower(), one[2] or one[3] or one[4] or "")
+        here = one.end()
 
 
 def _dropped(tag: str, names: dict[str, str], top: Element, start: bool) -> int:
@@ -96,53 +127,73 @@ def _dropped(tag: str, names: dict[str, str], top: Element, start: bool) -> int:
     return KEPT if whole or top.dropped == NAMED else SPARE
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, int, bool, bool]], list[Element]]:
-    """Pieces of text in order (text, path, dropped, in main, breaks a block), and the elements."""
-    page = _CUT.sub("", page)
-    out, root = [], Element("", "", KEPT, False)
-    stack, all_elements, raw = [root], [root], ""
-    for token in _TOKEN.finditer(page):
-        closing, tag, attributes = token[1], token[2], token[3]
-        if raw:
-            if tag and closing and tag.lower() == raw:
-                raw = ""
-            continue
+def _end(stack: list[Element], count: dict[str, int], tags: set[str], stops: set[str] | None = None) -> None:
+    """Ends the nearest open element of ``tags`` with all inside it."""
+    if not any(count.get(t) for t in tags):
+        return
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in tags:
+            for e in stack[i:]:
+                count[e.tag] -= 1
+            del stack[i:]
+            return
+        if stops and stack[i].tag in stops:
+            return
+
+
+def parse(page: str) -> tuple[list[tuple[str, int, int, bool]], list[Element]]:
+    """Pieces of text in order (text, path, dropped, in main), a blank where a block begins or ends, and the elements."""
+    root = Element("", 0, KEPT, False)
+    out, stack, elements, count = [], [root], [root], {}
+    at, size = 0, len(page)
+    while at < size:
         top = stack[-1]
-        if tag is None:
-            text = token[0]
-            if text[0] != "<" or text == "<":
-                out.append((html.unescape(text) if "&" in text else text, top.path, top.dropped, top.main, False))
+        less = page.find("<", at)
+        if less < 0:
+            less = size
+        mark = page[less + 1 : less + 2]
+        if less < size and (not mark or not (mark.isascii() and mark.isalpha()) and mark not in "/!?"):  # a plain sign
+            less += 1
+        if less > at:
+            text = page[at:less]
+            out.append((html.unescape(text) if "&" in text else text, top.path, top.dropped, top.main))
+            at = less
+            continue
+        if mark in "!?" or mark == "/" and not _NAME.match(page, at):
+            end = "-->" if page.startswith("<!--", at) else ">"
+            at = page.find(end, at + 2)
+            if at < 0:
+                break
+            at += len(end)
             continue
-        tag = tag.lower()
+        found = _tag(page, at)
+        if found is None:
+            break
+        closing, tag, names, alone, at = found
         if tag not in INLINE:
-            out.append((" ", top.path, top.dropped, top.main, True))
+            out.append((" ", top.path, top.dropped, top.main))
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            _end(stack, count, {tag})
             continue
-        if tag == "p":  # a paragraph ends the one before it
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+        if tag in ENDS:
+            _end(stack, count, *ENDS[tag])
             top = stack[-1]
         top.children.append(tag)
         if tag in RAW:
-            raw = tag if not attributes.rstrip().endswith("/") else ""
+            if not (alone and tag in ("svg", "math")):
+                closed = _CLOSING[tag].search(page, at)
+                if not closed:
+                    break
+                at = closed.start()
             continue
         if tag in VOID:
             continue
-        names = _attributes(attributes) if attributes else {}
         start = tag in MAIN or "main" in names.get("role", "").lower().split()
-        main = top.main or start
-        drop = _dropped(tag, names, top, start)
-        stack.append(Element(tag, f"{top.path}/{tag}.{names.get('class', '')}" if tag not in INLINE else top.path, drop, main))
-        all_elements.append(stack[-1])
-    return out, all_elements
+        path = top.path if tag in INLINE else path_hash((tag, names.get("class", "")), top.path)
+        stack.append(Element(tag, path, _dropped(tag, names, top, start), top.main or start))
+        count[tag] = count.get(tag, 0) + 1
+        elements.append(stack[-1])
+    return out, elements
 
 
 def _squeeze(parts: list[str]) -> str:
@@ -150,24 +201,25 @@ def _squeeze(parts: list[str]) -> str:
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def path_hash(path: str) -> int:
-    return _hash(path)
+def path_hash(element: tuple[str, str], above: int = 0) -> int:
+    """Hash of a path from its last element (tag, class) and the path above it: deep pages need no long strings."""
+    return xxhash.xxh3_64_intdigest(f"{element[0]}.{element[1]}".encode("utf-8", "replace"), above)
 
 
-def _branches(found: list[tuple[str, str, int, bool, bool]], kept: set[int]) -> dict[str, str]:
-    """The text of each path outside article and main, without named boilerplate."""
+def _branches(found: list[tuple[str, int, int, bool]], kept: set[int]) -> dict[int, str]:
+    """The text of each path, without named boilerplate."""
     texts = {}
-    for text, path, dropped, main, _ in found:
-        if not main and dropped in kept:
+    for text, path, dropped, _ in found:
+        if dropped in kept:
             texts.setdefault(path, []).append(text)
     return {path: t for path, parts in texts.items() if (t := _squeeze(parts))}
 
 
-def _states(found: list[tuple[str, str, int, bool, bool]]) -> set[int]:
-    return {KEPT} if any(main and dropped == KEPT and text.strip() for text, _, dropped, main, _ in found) else {KEPT, SPARE}
+def _states(found: list[tuple[str, int, int, bool]]) -> set[int]:
+    return {KEPT} if any(main and dropped == KEPT and not text.isspace() for text, _, dropped, main in found) else {KEPT, SPARE}
 
 
 def main_text(page: str | None, low: set[tuple[int, int]]) -> str:
@@ -176,21 +228,27 @@ def main_text(page: str | None, low: set[tuple[int, int]]) -> str:
         return ""
     found, _ = parse(page)
     kept = _states(found)
-    poor = {path for path, text in _branches(found, kept).items() if (path_hash(path), _hash(text)) in low} if low else set()
-    return _squeeze([text if dropped in kept and (main or path not in poor) else " " for text, path, dropped, main, _ in found])
+    poor = {path for path, text in _branches(found, kept).items() if (_signed(path), _hash(text)) in low} if low else set()
+    in_main = [(text, path) for text, path, dropped, main in found if main and dropped in kept and not text.isspace()]
+    spare = bool(poor) and bool(in_main) and all(path in poor for _, path in in_main)
+    return _squeeze([text if dropped in kept and (path not in poor or main and spare) else " " for text, path, dropped, main in found])
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 63)
 
 
 def _nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Style-tree nodes outside the main elements: (host, path, kind, value, page, key); ``page``: hash of the page's text, ``key``: of its HTML."""
+    """Style-tree nodes: (host, path, kind, value, page, key); ``page``: hash of the page's text, ``key``: of its HTML."""
     for frame in pieces(frames, "html"):
         rows = []
         for url, page, key in zip(frame["url"], frame["html"], frame["key"], strict=True):
             name = host(url)
             found, elements = parse(page or "")
             kept = _states(found)
-            whole = _hash(_squeeze([text if dropped in kept else " " for text, _, dropped, _, _ in found]))
-            rows += [(name, path_hash(p), 0, _hash(t), whole, key) for p, t in _branches(found, kept).items()]
-            rows += [(name, path_hash(e.path), 1, _hash(" ".join(dict.fromkeys(e.children))), whole, key) for e in elements if not e.main and e.dropped in kept and e.tag not in INLINE]
+            whole = _hash(_squeeze([text if dropped in kept else " " for text, _, dropped, _ in found]))
+            rows += [(name, _signed(p), 0, _hash(t), whole, key) for p, t in _branches(found, kept).items()]
+            rows += [(name, _signed(e.path), 1, _hash(" ".join(dict.fromkeys(e.children))), whole, key) for e in elements if e.dropped in kept and e.tag not in INLINE]
         yield pd.DataFrame(rows, columns=["host", "path", "kind", "value", "page", "key"])
 
 

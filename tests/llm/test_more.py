@@ -2,7 +2,8 @@
 
 import math
 import re
-from collections import Counter
+import time
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,7 +65,86 @@ def test_copies_of_a_page_do_not_remove_texts(spark, broadcast_texts):
 def test_style_tree_entropy(spark):
     pages = [(i, "http://h/", f"<body><div class=a>same</div><div class=b>{i}</div></body>", "", 0, "") for i in range(8)]
     found = {r["path"]: r["importance"] for r in html_text.style_tree(spark.createDataFrame(pages, PAGE)).where("kind = 0").collect()}
-    assert found[html_text.path_hash("/body./div.a")] == pytest.approx(0) and found[html_text.path_hash("/body./div.b")] == pytest.approx(1)
+    at = lambda name: html_text.path_hash(("div", name), html_text.path_hash(("body", ""))) - (1 << 63)
+    assert found[at("a")] == pytest.approx(0) and found[at("b")] == pytest.approx(1)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<script>if(a<b){x()}</script><article><p>Hello world</p></article>", "Hello world"), ("<script>for(i=0;i<n;i++){}</script><p>Hello", "Hello"), ("<script>x='<!--';</script><p>Hello</p>", "Hello"),
+        ("<p title=don't>Hello world</p><p>more text it's here</p><p>end</p>", "Hello world more text it's here end"), ("<p>if a <b and c> d</p>", "if a d"), ("a < b <3 x <", "a < b <3 x <"),
+        ("<!--> a <!---> b <!-- <p>c --> d <!x> e <?y> f </ z> g", "a b d e f g"), ("<p class=ad>no<div>A</div><ul><li class=promo>no<li>B</ul>", "A B"), ("<p a='b", ""), ("<textarea><p>no</textarea>k", "k"),
+        ("<IMG alt='a>b' src=x>ok<br/>fine<svg/>s<svg><path/></svg>t", "ok fine s t"), ("<style>p > a { }</style><STYLE>x</Style >y", "y"), ("<p>x &amp; y &#233; &lt;b&gt;</p>", "x & y é <b>"), ("<p>one<!-- never ended", "one"),
+    ],
+)
+def test_scanner(page, text):
+    assert html_text.main_text(page, set()) == text
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<div>", "<p>x", "</b>", "<!--", "<script>", "<li><b>", "<a x='", "<", "<a b=c ", "<td>", "</p><i>", "&amp;", "a b", "<p class='ad'>x</p>", "<![CDATA[ "])
+def test_long_pages_take_linear_time(piece):
+    def seconds(size):
+        page, began = piece * (size // len(piece)), time.process_time()
+        html_text.main_text(page, set())
+        return time.process_time() - began
+
+    seconds(10_000)
+    assert seconds(1_000_000) < 12 * max(seconds(250_000), 0.05)
+
+
+def brute_tree(pages, low, least):
+    """Texts to remove by host and path: entropies from counts of whole pages, without any of the operator's steps but the scanner."""
+    content, shape = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set))
+    for url, page in pages:
+        found, elements = html_text.parse(page)
+        whole = " ".join("".join(t if d == html_text.KEPT else " " for t, _, d, _ in found).split())
+        texts = defaultdict(str)
+        for t, path, d, _ in found:
+            if d == html_text.KEPT:
+                texts[path] += t
+        for path, t in texts.items():
+            if t.strip():
+                content[html_text.host(url), path][" ".join(t.split())].add(whole)
+        for e in elements:
+            if e.dropped == html_text.KEPT and e.tag not in html_text.INLINE:
+                shape[html_text.host(url), e.path][tuple(dict.fromkeys(e.children))].add(whole)
+
+    def importance(values):
+        n = [len(x) for x in values.values()]
+        return 1.0 if sum(n) < 2 else -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(sum(n))
+
+    out = set()
+    for key, values in content.items():
+        if sum(map(len, values.values())) >= least and importance(values) < low and (key not in shape or importance(shape[key]) < low):
+            out |= {(*key, t) for t, where in values.items() if len(where) > 1}
+    return out
+
+
+def test_tree_decides_everywhere(spark):
+    """Unnamed boilerplate inside and outside of main goes by importance alone; with too few pages or without the tree it stays. Against brute force."""
+    shapes = [
+        "<body><div class=c0>Welcome</div><main><div class=c1><a>Home</a></div><p>Story {0}</p><div class=c2>Buy shoes now</div></main><div class=c3>{1}</div></body>",
+        "<body><div class=x><h2>Story {0}</h2><p>text {0} it is</p></div><div class=y><span>About</span> us</div><table><tr><td>{1}<td>rest {0}</table></body>",
+    ]
+    pages = [(100 * h + i, f"http://host{h}/{i}", shapes[h % 2].format(f"{h}-{i}", "one" if i % 9 else f"v{i}"), "", 0, "") for h in range(4) for i in range(40 if h < 2 else 3)]
+    gone = brute_tree([(u, p) for _, u, p, *_ in pages], html_text.LOW, html_text.MIN_PAGES)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, PAGE)).collect()}
+    for i, url, page, *_ in pages:
+        low = {(path - (1 << 63), html_text._hash(t)) for host, path, t in gone if host == html_text.host(url)}
+        assert got[i] == html_text.main_text(page, low)
+    off = {i: html_text.main_text(page, set()) for i, _, page, *_ in pages}
+    assert got[5] == "Story 0-5" and off[5] == "Welcome Home Story 0-5 Buy shoes now one"
+    assert got[105] == "Story 1-5 text 1-5 it is one rest 1-5" and "About us" in off[105]
+    assert all(got[i] == off[i] for i in got if i >= 200)
+
+
+def test_copies_of_an_article_stay(spark):
+    """An article that many pages share among different surroundings is no boilerplate."""
+    page = "<body><div class=side>side {0}</div><article><p>{1}</p></article></body>"
+    pages = [(i, "http://h/", page.format(i, "the shared article" if i < 90 else f"own {i}"), "", 0, "") for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, PAGE)).collect()}
+    assert got == {i: f"side {i} " + ("the shared article" if i < 90 else f"own {i}") for i in range(100)}
 
 
 def test_pages_keep_their_article(spark, sf_dir):
