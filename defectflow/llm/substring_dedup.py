@@ -1,18 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 Every text is at once a document to parse and a reference block. The index holds each phrase of ``window`` words (production: 35) that the
-collection has more than once, with a reference text that contains it. A document is factored greedily against the index: from the first
-phrase that is found, the factor grows word by word as long as the next phrase is found in the same reference text; where it ends, at a factor
-boundary, the next phrase is looked up by itself, so that passages straddling two references aren't lost. Factors have at least ``window``
-words; the words that they cover are the duplicate spans.
+collection has more than once, with the places (text, word) of its first and last occurrence by the texts' order of hash. A document is factored greedily: a phrase that is found starts a
+factor with a place elsewhere (never the document's own), and the factor grows word by word as long as the next phrase is found at the reference's next place; where it ends, at a factor
+boundary, the next phrase is looked up by itself, so that passages straddling two references aren't lost. A phrase that stands again in the document itself refers to its
+nearest earlier place there. Factors have at least ``window`` words; the words that they cover are the duplicate spans, which are removed.
 
 How the index stays small: of any ``window`` words the smallest hash of ``ANCHOR`` consecutive words is an anchor, so equal phrases
 share their anchor. Only phrases around an anchor that occurs twice are looked up; all others can't repeat. Steps, each one shuffle by hash
-with map-side sums (a passage of a third of all documents is one row a task): count anchors; send repeated anchors to their texts;
-count the phrases around them; send repeated phrases to their texts; parse. Phrases are compared by 64-bit hashes.
+with map-side sums: count anchors; send repeated anchors to their texts; count the phrases around them; send repeated phrases to their texts; parse. What is sent back goes by ``look_up``, so an anchor or
+phrase of a third of all documents is spread over the tasks. Phrases are compared by 64-bit hashes.
 
 Defined results: a null or empty text has no words, removes nothing and keeps the empty text; each copy of a repeated row loses what
-the others have; a null ``doc_id`` is kept as it is; an empty table gives an empty result; further columns don't matter.
+the others have (its reference is another copy); a null ``doc_id`` is kept as it is; an empty table gives an empty result; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from defectflow.llm.common import materialize, pieces, release, window_hashes, word_bytes, word_hashes
+from defectflow.llm.common import look_up, materialize, pieces, release, window_hashes, word_bytes, word_hashes
 
 WINDOW = 35
 ANCHOR = 16
@@ -55,13 +55,13 @@ class Batch:
         return np.unique((lowest + np.arange(len(lowest)))[inside]), grams
 
 
-def _counted(owner: np.ndarray, h: np.ndarray, keys: np.ndarray, name: str) -> pd.DataFrame:
-    """One row for each text and hash, with the number of times."""
-    order = np.lexsort((h, owner))
-    o, h = owner[order], h[order]
+def _counted(owner: np.ndarray, h: np.ndarray, at: np.ndarray, keys: np.ndarray, name: str) -> pd.DataFrame:
+    """One row for each text and hash, with its first and last place in the text."""
+    order = np.lexsort((at, h, owner))
+    o, h, at = owner[order], h[order], at[order]
     first = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
-    times = np.diff(np.r_[first, len(h)])
-    return pd.DataFrame({name: h[first].view(np.int64), "key": keys[o[first]], "n": times.astype(np.int64)})
+    last = np.r_[first[1:], len(h)][: len(first)] - 1
+    return pd.DataFrame({name: h[first].view(np.int64), "key": keys[o[first]], "first": at[first].astype(np.int32), "last": at[last].astype(np.int32)})
 
 
 def _find_anchors(window: int, k: int):
@@ -69,7 +69,8 @@ def _find_anchors(window: int, k: int):
         for part in pieces(frames):
             batch = Batch(part["text"].tolist())
             at, grams = batch.anchors(window, k)
-            yield _counted(batch.owner[at], grams[at], part["key"].to_numpy(), "anchor")
+            found = _counted(batch.owner[at], grams[at], at, part["key"].to_numpy(), "anchor")
+            yield found.assign(twice=found["first"] < found["last"]).drop(columns=["first", "last"])
 
     return run
 
@@ -90,41 +91,55 @@ def _find_phrases(window: int, k: int):
             np.add.at(near, np.clip(at[hit] - (window - k), 0, len(phrases)), 1)
             np.add.at(near, np.clip(at[hit] + 1, 0, len(phrases)), -1)
             chosen = np.flatnonzero((np.cumsum(near)[:-1] > 0) & inside)
-            yield _counted(batch.owner[chosen], phrases[chosen], part["key"].to_numpy(), "phrase")
+            owner = batch.owner[chosen]
+            yield _counted(owner, phrases[chosen], chosen - starts[owner], part["key"].to_numpy(), "phrase")
 
     return run
 
 
-def factor(phrases: np.ndarray, index: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy parse of one document. ``index``: rows (phrase, reference). Starts, lengths and references of the factors; which phrases were found."""
+def elsewhere(phrases: np.ndarray) -> np.ndarray:
+    """For each place the nearest earlier place of the same phrase, for the first one the next; the place itself if there is no other."""
+    order = np.argsort(phrases, kind="stable")
+    same = phrases[order][1:] == phrases[order][:-1]
+    out = np.arange(len(phrases))
+    out[order[:-1][same]] = order[1:][same]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def factor(phrases: np.ndarray, index: np.ndarray, window: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy parse of one document. ``index``: rows (phrase, reference, place). Starts, lengths, references and their places of the factors."""
     index = index[np.argsort(index[:, 0], kind="stable")]
-    at = np.searchsorted(index[:, 0], phrases)
-    at[at == len(index)] = 0
-    found = index[at, 0] == phrases if len(index) else np.zeros(len(phrases), bool)
-    ref = index[at, 1] if len(index) else np.zeros(len(phrases), np.int64)
-    grows = np.r_[False, found[1:] & found[:-1] & (ref[1:] == ref[:-1])][: len(found)]
+    row = np.searchsorted(index[:, 0], phrases)
+    row[row == len(index)] = 0
+    found, here = index[row, 0] == phrases, np.arange(len(phrases))
+    own = elsewhere(phrases)
+    # Copies of the document refer to each other at the same place.
+    inside = (own != here) | (index[row, 1] == key)
+    ref, place = np.where(inside, key, index[row, 1]), np.where(inside, own, index[row, 2])
+    grows = np.r_[False, found[1:] & found[:-1] & (ref[1:] == ref[:-1]) & (place[1:] == place[:-1] + 1)][: len(found)]
     starts = np.flatnonzero(found & ~grows)
     lasts = np.flatnonzero(found & ~np.r_[grows[1:], False][: len(found)])
-    return starts, lasts - starts + window, ref[starts], found
+    return starts, lasts - starts + window, ref[starts], place[starts]
 
 
 def _parse(window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(frames):
             rows = []
-            for doc_id, text, index in zip(part["doc_id"], part["text"], part["index"], strict=True):
+            for doc_id, text, key, index in zip(part["doc_id"], part["text"], part["key"], part["index"], strict=True):
                 tokens = word_bytes(text)
-                kept, starts, lengths, refs = tokens, [], [], []
+                kept, factors = tokens, ([], [], [], [])
                 if index is not None and len(index) and len(tokens) >= window:
                     phrases = window_hashes(word_hashes(tokens), window).view(np.int64)
-                    starts, lengths, refs, _ = factor(phrases, np.asarray(index, np.int64).reshape(-1, 2), window)
+                    factors = factor(phrases, np.asarray(index, np.int64).reshape(-1, 3), window, key)
                     edge = np.zeros(len(tokens) + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + lengths, -1)
+                    np.add.at(edge, factors[0], 1)
+                    np.add.at(edge, factors[0] + factors[1], -1)
                     kept = [tokens[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
                 joined = b" ".join(kept)
-                rows.append((doc_id, len(tokens), len(tokens) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace"), list(starts), list(lengths), list(refs)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "starts", "lengths", "refs"])
+                rows.append((doc_id, len(tokens), len(tokens) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace"), *map(list, factors)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "starts", "lengths", "refs", "ref_starts"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
@@ -132,25 +147,31 @@ def _parse(window: int):
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """A row for each row of ``docs`` (``doc_id`` integer, ``text``): word counts, the kept text and its digest, and the factors."""
+    """A row for each row of ``docs`` (``doc_id`` integer, ``text``): word counts, the kept text and its digest, and the factors (``refs``: hashes of the reference texts)."""
     anchor = min(anchor, window)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     texts = keyed.select("key", "text")
+    n = F.count(F.lit(1))
 
-    found = materialize(texts.mapInPandas(_find_anchors(window, anchor), "anchor long, key long, n long"), "anchors")
-    repeated = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    anchors = materialize(found.join(repeated, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
+    found = materialize(texts.mapInPandas(_find_anchors(window, anchor), "anchor long, key long, twice boolean"), "anchors", n=n)
+    repeated = found.groupBy("anchor").agg(n.alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").drop("twice")
+    mine = look_up(found.select("anchor", "key"), repeated, "anchor", found.totals.get("n") or 0)
+    anchors = materialize(mine.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
     release(found)
 
-    phrases = materialize(texts.join(anchors, "key").mapInPandas(_find_phrases(window, anchor), "phrase long, key long, n long"), "phrases")
+    phrases = materialize(texts.join(anchors, "key").mapInPandas(_find_phrases(window, anchor), "phrase long, key long, first int, last int"), "phrases", n=n)
     release(anchors)
-    known = phrases.groupBy("phrase").agg(F.sum("n").alias("n"), F.min("key").alias("ref")).where("n > 1").select("phrase", "ref")
-    index = materialize(phrases.select("phrase", "key").join(known, "phrase").groupBy("key").agg(F.flatten(F.collect_set(F.array("phrase", "ref"))).alias("index")), "phrase-index")
+    low, high = (F.min("key").alias("low"), F.min_by("first", "key").alias("low_at")), (F.max("key").alias("high"), F.max_by("last", "key").alias("high_at"))
+    known = phrases.groupBy("phrase").agg(n.alias("n"), *low, *high, F.max(F.col("first") < F.col("last")).alias("twice")).where("n > 1 or twice").drop("twice")
+    own = F.col("low") == F.col("key")
+    entry = F.array("phrase", F.when(own, F.col("high")).otherwise(F.col("low")), F.when(own, F.col("high_at")).otherwise(F.col("low_at")).cast("long"))
+    sent = look_up(phrases.select("phrase", "key"), known, "phrase", phrases.totals.get("n") or 0)
+    index = materialize(sent.select("key", entry.alias("entry")).groupBy("key").agg(F.flatten(F.collect_set("entry")).alias("index")), "phrase-index")
     release(phrases)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, starts array<long>, lengths array<long>, refs array<long>"
-    return keyed.join(index, "key", "left").select("doc_id", "text", "index").mapInPandas(_parse(window), schema)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, starts array<long>, lengths array<long>, refs array<long>, ref_starts array<long>"
+    return keyed.join(index, "key", "left").select("doc_id", "text", "key", "index").mapInPandas(_parse(window), schema)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -88,6 +88,38 @@ def test_factors_cover_what_is_removed(spark):
         assert len(covered) == r["n_removed"]
 
 
+@pytest.mark.parametrize("window", [35, 4])
+def test_factors_are_a_relative_parse(spark, sf_dir, window):
+    """Each factor equals its reference at its place, which is elsewhere; neighbours in text and reference are one factor; a plain parse by sets covers the same words."""
+    rows = EDGES + documents(sf_dir, spark) + [(800, "a b c d e " * 30, "x"), (801, "q a b c d e a b c d e z", "x"), (802, " ".join(f"u{i % 50}" for i in range(130)), "x")]
+    keyed = {r["k"]: split(r["t"]) for r in plain(spark, rows).selectExpr("xxhash64(coalesce(text, '')) k", "coalesce(text, '') t").collect()}
+    copies, seen = Counter(), set()
+    for _, t, _ in rows:
+        w = split(t)
+        copies[t or ""] += 1
+        seen.update(tuple(w[i : i + window]) for i in range(len(w) - window + 1))
+    key_of = {" ".join(w): k for k, w in keyed.items()}
+    texts = defaultdict(list)
+    for d, t, _ in rows:
+        texts[d].append(t or "")
+    n_factors = 0
+    for r in substring_dedup.dedup_substrings(plain(spark, rows), window, min(16, window)).collect():
+        if len(texts[r["doc_id"]]) > 1 and len(set(texts[r["doc_id"]])) > 1:
+            continue
+        text = texts[r["doc_id"]][0]
+        w, own = split(text), key_of[" ".join(split(text))]
+        factors = list(zip(r["starts"], r["lengths"], r["refs"], r["ref_starts"], strict=True))
+        n_factors += len(factors)
+        for start, length, ref, place in factors:
+            assert length >= window and w[start : start + length] == keyed[ref][place : place + length]
+            assert (ref, place) != (own, start) or copies[text] > 1
+        for (s0, n0, f0, p0), (s1, _, f1, p1) in zip(factors, factors[1:], strict=False):
+            assert s1 > s0 and not (f0 == f1 and s1 - s0 == p1 - p0 and s1 <= s0 + n0 - window + 1)
+        if r["doc_id"] == 800:
+            assert len(factors) <= 7, "a periodic text refers to itself"
+    assert n_factors > 20
+
+
 # simhash
 
 
