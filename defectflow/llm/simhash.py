@@ -143,7 +143,8 @@ def _cell_links(max_bits: int):
 def links(fps: DataFrame, tile: int = TILE, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b), a < b, over distinct fingerprints: their components are those of all pairs within ``max_bits`` (at most four) bits."""
     assert max_bits <= 4, "four shared bytes are guaranteed up to four bits"
-    postings = _postings(fps)
+    wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = _postings(fps.repartition(wide, "fp"))  # seventy rows for each: a small table is dealt out first
     met = postings.groupBy("posting").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     placed = postings.join(met.hint("merge"), "posting").select("posting", "fp", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("tile"))
