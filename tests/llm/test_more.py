@@ -1,10 +1,12 @@
 """Operators without a stated result: brute force, round trips and planted cases."""
 
 import math
+import pickle
 import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,9 +193,13 @@ def test_license_parts_and_edits(spark):
     assert {(200 + i, "Apache-2.0") for i in range(40)} <= got
 
 
+def loaded(items, threshold=decontamination.THRESHOLD, block_bytes=decontamination.BLOCK_BYTES):
+    return [decontamination.Index(*pickle.loads(r["packed"]), threshold) for r in decontamination.index_blocks(items, block_bytes).collect()]
+
+
 def test_search_equals_brute_force(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    index = next(decontamination.build_indexes(items, 0.05))
+    (index,) = loaded(items, 0.05)
     for _, text, _ in documents(sf_dir, spark)[:60]:
         query = sorted({index.vocabulary[w] for w in decontamination.terms(text)[:80] if w in index.vocabulary})
         score = Counter()
@@ -202,25 +208,72 @@ def test_search_equals_brute_force(spark, sf_dir):
                 score[item] += x
         want = {i: s for i, s in score.items() if s >= index.threshold}
         assert dict(index.search(query)) == pytest.approx(want)
-
-
-def test_leaks(spark, sf_dir):
+        ranges = np.flatnonzero(index.coarse[query].sum(axis=0) >= index.threshold - 1e-4).tolist()
+        assert dict(index.search(query, ranges)) == pytest.approx(want)
+
+
+def brute_leaks(rows, items, threshold=decontamination.THRESHOLD):
+    """Every window against every item, by plain counts: (document, item) above the threshold, and by overlap alone."""
+    words = [(i, decontamination.terms(t), t) for i, t in items if t and decontamination.terms(t)]
+    mean, df = sum(len(w) for _, w, _ in words) / max(len(words), 1), Counter(x for _, w, _ in words for x in set(w))
+    out, overlap = set(), set()
+    for item, w, text in words:
+        tf, q, answer = Counter(w), *decontamination.parts(text)
+        k = 1.2 * (1 - 0.75 + 0.75 * len(w) / mean)
+        weight = {x: math.log(1 + (len(words) - df[x] + 0.5) / (df[x] + 0.5)) * n * 2.2 / (n + k) for x, n in tf.items()}
+        grams = decontamination.shingles(q)
+        stride = max(64, 1 << (len(w) - 1).bit_length())
+        for d, doc, _ in rows:
+            terms = decontamination.terms(doc)
+            for a in range(0, max(len(terms) - stride, 1), stride) if terms else ():
+                part = terms[a : a + 2 * stride]
+                here = set(part)
+                if len(set(answer) & here) < 0.8 * len(set(answer)):
+                    continue
+                held = {g for g in grams if any(tuple(part[i : i + len(g)]) == g for i in range(len(part) - len(g) + 1))} if len(q) < 5 else grams & decontamination.shingles(part)
+                if len(held) >= 0.8 * len(grams):
+                    overlap.add((d, item))
+                    if sum(weight[x] for x in here & set(tf)) >= threshold * sum(weight.values()) - 1e-9:
+                        out.add((d, item))
+    return out, overlap
+
+
+def edited(text, rng, edits):
+    """A copy with words replaced, dropped and put in."""
+    w = text.split()
+    for _ in range(edits):
+        at, kind = int(rng.integers(len(w))), rng.integers(3)
+        w[at : at + (kind < 2)] = [f"new{rng.integers(100)}"] if kind != 1 else []
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("block_bytes", [decontamination.BLOCK_BYTES, 3000])
+def test_leaks(spark, sf_dir, block_bytes):
+    """Both ways against brute force, in one pass and in many; edited copies; an item's verdict doesn't depend on its neighbours' length."""
+    rng = np.random.default_rng(5)
     items = [(i, t) for i, t in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    items += [(9001, "short one. Yes."), (9002, " ".join(f"long{i % 300}" for i in range(700)) + ". The end of it."), (9002, "what is said twice here, and again? It is."), (9003, "uno dos tres")]
     planted = [(7000 + i, "lead in words " * 30 + t + " trailing words" * 40, "s") for i, t in items[:20]]
-    rows = EDGES + planted + documents(sf_dir, spark)
+    planted += [(8000 + 10 * k + e, "before it " * 20 + edited(t, rng, e) + " after it" * 30, "s") for k, (_, t) in enumerate(items) for e in range(1, 6)]
+    question, answer = decontamination.parts(items[0][1])
+    apart = b" ".join(question).decode() + " filler" * 1500 + " " + b" ".join(answer).decode()
+    rows = EDGES + planted + documents(sf_dir, spark) + [(7900, apart, "s"), (7901, " ".join(f"long{i % 300}" for i in range(700)) + " the end of it", "s"), (7902, "Uno, dos tres", "s")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items] + [(None, None, 1), (5, "", 1)], "item_id long, text string, row int")
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(with_clashes(spark, rows), bench).collect()}
-    want = {(d, i) for d, t, _ in rows for i, item in items if t and item in t}
-    assert want <= got
-    for d, i in got - want:
-        text = next(t for x, t, _ in rows if x == d)
-        g = decontamination.shingles(decontamination.terms(dict(items)[i]))
-        assert len(g & decontamination.shingles(decontamination.terms(text))) >= 0.7 * len(g)
-    kept = decontamination.decontaminate(with_clashes(spark, rows), bench)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(with_clashes(spark, rows), bench, block_bytes=block_bytes).collect()}
+    want, overlap = brute_leaks(rows, items)
+    assert got == want
+    assert len([x for x in got if x[0] and 8000 <= x[0] < 9000]) >= 40 and (7901, 9002) in got and not any(d == 7900 for d, _ in got)
+    assert len(got & overlap) >= 0.9 * len(overlap), "the threshold loses few of those with the overlap"
+    kept = decontamination.decontaminate(with_clashes(spark, rows), bench, block_bytes=block_bytes)
     assert kept.columns == with_clashes(spark, rows).columns
     assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter(d for d, _, _ in rows if d not in {x for x, _ in got})
+
+
+def test_leaks_of_nothing(spark, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert decontamination.find_leaks(spark.createDataFrame([], CLASH), bench).count() == 0
-    assert decontamination.decontaminate(plain(spark, rows), bench.limit(0)).count() == len(rows)
+    assert decontamination.decontaminate(plain(spark, EDGES), bench.limit(0)).count() == len(EDGES)
+    assert decontamination.find_leaks(plain(spark, EDGES), bench.limit(0)).count() == 0
 
 
 def test_token_counts(spark):
