@@ -146,8 +146,8 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7,
     targets = source_targets(sized, weights, share)
     used = slots(targets, block_words, seed=seed).groupBy("place", "block").agg(F.count(F.lit(1)).alias("uses"))
     at = materialize(placed(sized, targets), "targets")
-    taken = _spans(at.select("row", "place", "begin", "size"), block_words).join(used, ["place", "block"]).groupBy("row").agg(F.sum(F.col("n_here") * F.col("uses")).alias("taken"))
-    return at.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = _spans(at.select("row", "place", "begin", "size"), block_words).join(used.hint("merge"), ["place", "block"]).groupBy("row").agg(F.sum(F.col("n_here") * F.col("uses")).alias("taken"))
+    return at.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shard_column: str | None = None) -> DataFrame:
@@ -160,12 +160,12 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     chosen = slots(targets, block_words, seed=seed).select("place", "block", "turn", "shard")
     spans = _spans(placed(sized, targets).select("doc_id", "h", "row", "place", "begin", "size"), block_words)
     piece = F.struct("from_word", "n_here")
-    runs = spans.join(chosen, ["place", "block"]).groupBy("doc_id", "h", "row", "size", "turn").agg(F.sum("n_here").alias("n"), F.sort_array(F.collect_list(piece)).alias("runs"), F.min_by("shard", "from_word").alias("shard"))
+    runs = spans.join(chosen.hint("merge"), ["place", "block"]).groupBy("doc_id", "h", "row", "size", "turn").agg(F.sum("n_here").alias("n"), F.sort_array(F.collect_list(piece)).alias("runs"), F.min_by("shard", "from_word").alias("shard"))
     runs = runs.select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "h", "n", "size", "runs", "shard")))
     mine = docs.withColumn("__key", F.xxhash64(*(docs[c] for c in docs.columns)))
     if not sized.groupBy("doc_id", "h").count().where("count > 1").isEmpty():  # equal rows: one of them meets the runs of all
         mine = mine.dropDuplicates(["doc_id", "__key"])
-    joined = mine.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__key") == F.col("__h")))
+    joined = mine.join(runs.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__key") == F.col("__h")))
     return _cut(joined, docs.columns, shard_column)
 
 
