@@ -12,6 +12,7 @@ from defectflow.commit_metrics import confusion, roc_auc
 from defectflow.text import flatten_newlines, match_key, squeeze_whitespace
 
 EVIDENCE = "evidence array<struct<diff_code:string,reason:string,severity:string,confidence:string>>"
+# Fixed value: the reason of a commit without context.
 NO_CONTEXT = "No valid context to analyze.(only no semantic diff)"
 
 

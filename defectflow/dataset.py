@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,31 +69,26 @@ def token_ids(rows: DataFrame, vocabulary: DataFrame, keys: list[str], unknown:
     return at.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))))["id"].alias("ids"))
 
 
-def mean_pool(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``vector``: mean of the ``embedding`` of tokens whose ``mask`` is 1; zeros if there are none."""
-    at = rows.select(*keys, "mask", F.posexplode("embedding").alias("dim", "x")).groupBy(*keys, "dim").agg((F.sum(F.col("x") * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1e-9))).alias("x"))
-    return _vectors(at, keys)
+def _by_dimension(rows: DataFrame, keys: list[str], dims: int, value: Callable[[Column], Column]) -> DataFrame:
+    """``vector``: an aggregate for each dimension, so that rows are combined before the shuffle and never multiplied."""
+    return rows.groupBy(*keys).agg(F.array(*(value(F.get("vector", F.lit(i)).cast("double")) for i in range(dims))).alias("vector"))
 
 
-def _vectors(at: DataFrame, keys: list[str]) -> DataFrame:
-    return at.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("vector"))
+def mean_pool(rows: DataFrame, keys: list[str], dims: int) -> DataFrame:
+    """``vector``: mean of the ``embedding`` of tokens whose ``mask`` is 1; zeros if there are none."""
+    masked = rows.select(*keys, "mask", F.col("embedding").alias("vector"))
+    return _by_dimension(masked, keys, dims, lambda x: F.sum(x * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1e-9)))
 
 
 def typed_neighbor_sum(vectors: DataFrame, edges: DataFrame, type_weights: dict[int, list[float]]) -> DataFrame:
     """One message round: source vectors times their edge type's weights, summed at the target; zeros without edges.
 
     ``vectors``: ``commit_hash, node_ix, vector``; ``edges``: ``commit_hash, src_ix, dst_ix, type_code``."""
-    weights = {k: np.array(v) for k, v in type_weights.items()}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["vector"] = [np.asarray(v) * weights[t] for v, t in zip(frame["vector"], frame["type_code"], strict=True)]
-            yield frame.drop(columns="type_code")
-
-    kind = vectors.schema["commit_hash"].dataType.simpleString()
-    sent = edges.join(vectors.withColumnRenamed("node_ix", "src_ix"), ["commit_hash", "src_ix"]).select("commit_hash", F.col("dst_ix").alias("node_ix"), "type_code", "vector")
-    sent = sent.mapInPandas(run, f"commit_hash {kind}, node_ix int, vector array<double>")
-    got = _vectors(sent.select("commit_hash", "node_ix", F.posexplode("vector").alias("dim", "x")).groupBy("commit_hash", "node_ix", "dim").agg(F.sum("x").alias("x")), ["commit_hash", "node_ix"])
+    dims = len(next(iter(type_weights.values())))
+    weights = F.create_map(*(x for k, w in type_weights.items() for x in (F.lit(k), F.lit(list(map(float, w))))))
+    sent = edges.join(vectors.withColumnRenamed("node_ix", "src_ix"), ["commit_hash", "src_ix"])
+    product = F.zip_with(F.col("vector"), F.element_at(weights, F.col("type_code")), lambda x, w: x * w)
+    got = _by_dimension(sent.select("commit_hash", F.col("dst_ix").alias("node_ix"), product.alias("vector")), ["commit_hash", "node_ix"], dims, F.sum)
     zeros = F.transform(F.col("own"), lambda _: F.lit(0.0).cast("double"))
     return vectors.withColumnRenamed("vector", "own").join(got, ["commit_hash", "node_ix"], "left").select("commit_hash", "node_ix", F.coalesce("vector", zeros).alias("vector"))
 
@@ -103,7 +96,7 @@ def typed_neighbor_sum(vectors: DataFrame, edges: DataFrame, type_weights: dict[
 def max_pool_marked(vectors: DataFrame, marks: DataFrame, commits: DataFrame, dims: int) -> DataFrame:
     """Element-wise maximum over each commit's marked nodes (``commit_hash, node_ix``); zeros for a commit without one."""
     mine = vectors.join(marks.select("commit_hash", "node_ix").distinct(), ["commit_hash", "node_ix"], "left_semi")
-    top = _vectors(mine.select("commit_hash", F.posexplode("vector").alias("dim", "x")).groupBy("commit_hash", "dim").agg(F.max("x").cast("double").alias("x")), ["commit_hash"])
+    top = _by_dimension(mine.select("commit_hash", "vector"), ["commit_hash"], dims, F.max)
     return commits.select("commit_hash").distinct().join(top, "commit_hash", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dims)))
 
 

@@ -15,14 +15,13 @@ FILE = [*COMMIT, "file_path"]
 def split_diff(diffs: DataFrame, strict: bool = False, suffix: str = ".java") -> DataFrame:
     """``project, commit_hash, file_path, file_ord, block``: the text is cut at ``diff --git`` (``strict``: at line starts only).
 
-    Of blocks with the same path the last stays. The blocks of a commit meet in its own row first, so nothing is shuffled."""
+    Of a text's blocks with the same path the last stays: they are sorted by path within the row, so nothing is shuffled. ``diffs``: a row for each commit."""
     blocks = F.split(_trim(F.coalesce("diff_text", F.lit(""))), "(?m)^diff --git" if strict else "diff --git")
-    parts = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), lambda b: _trim(b))
-    out = diffs.select(*COMMIT, F.posexplode(parts).alias("file_ord", "block"))
-    head = F.substring_index("block", "\n", 1)
-    out = out.withColumn("file_path", F.regexp_extract(head, r"(?d)^a/(.*?) b/(.*?)$", 2)).where(F.col("file_path").endswith(suffix))
-    last = out.groupBy(*FILE).agg(F.max(F.struct("file_ord", "block")).alias("b"))
-    return last.select(*FILE, "b.file_ord", "b.block")
+    path = lambda b: F.regexp_extract(F.substring_index(b, "\n", 1), r"(?d)^a/(.*?) b/(.*?)$", 2)
+    parts = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), lambda b, i: F.struct(path(_trim(b)).alias("file_path"), i.alias("file_ord"), _trim(b).alias("block")))
+    listed = F.sort_array(F.filter(parts, lambda x: x["file_path"].endswith(suffix)))
+    last = F.flatten(F.transform(F.array(listed), lambda all_: F.filter(all_, lambda x, i: ~F.coalesce(F.get(all_, i + 1)["file_path"] == x["file_path"], F.lit(False)))))
+    return diffs.select(*COMMIT, F.inline(last)).select(*FILE, "file_ord", "block")
 
 
 def changed_lines(blocks: DataFrame, strict: bool = False) -> DataFrame:
@@ -34,16 +33,17 @@ def changed_lines(blocks: DataFrame, strict: bool = False) -> DataFrame:
     old, new = F.regexp_extract("code", r"-(\d+),?", 1), F.regexp_extract("code", r"\+(\d+),?", 1)
     valid = hunk & (old != "") & (new != "")
     w = W.partitionBy(*FILE).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    numbered = lines.withColumn("hunk", F.sum(F.when(valid, 1).otherwise(0)).over(w))
     header = F.col("code").startswith("+++") | F.col("code").startswith("---")
     if strict:
-        header = header & (F.col("hunk") == 0)
+        header = header & (F.coalesce(F.max(valid).over(w), F.lit(False)) == F.lit(False))
     plus, minus = F.col("code").startswith("+") & ~header & ~hunk, F.col("code").startswith("-") & ~header & ~hunk
     blank = F.col("code").startswith(" ")
-    inside = W.partitionBy(*FILE, "hunk").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    start = lambda c: F.coalesce(F.first(F.when(valid, c.try_cast("int")), ignorenulls=True).over(inside) - 1, F.lit(0))
-    step = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(inside)
-    at = numbered.withColumns({"new_no": start(new) + step(plus | blank), "old_no": start(old) + step(minus | blank), "kind": F.when(plus, "added").when(minus, "deleted")})
+    # Both counters run through the file; the last hunk header says what to add. All windows share one sort.
+    steps = lines.withColumns({"old": F.when(valid, old.try_cast("int")), "new": F.when(valid, new.try_cast("int")), "kind": F.when(plus, "added").when(minus, "deleted"), "blank": blank})
+    moved = lambda kind: F.sum(F.when((F.col("kind") == kind) | F.col("blank"), 1).otherwise(0)).over(w)
+    counted = steps.withColumns({"new_count": moved("added"), "old_count": moved("deleted")})
+    begin = lambda side: F.coalesce(F.last(F.when(F.col(side).isNotNull(), F.col(side) - 1 - F.col(f"{side}_count")), ignorenulls=True).over(w), F.lit(0)) + F.col(f"{side}_count")
+    at = counted.withColumns({"new_no": begin("new"), "old_no": begin("old")})
     return at.where("kind is not null").select(*FILE, F.col("kind").alias("change_type"), F.when(F.col("kind") == "added", F.col("new_no")).otherwise(F.col("old_no")).cast("int").alias("line_no"), "code")
 
 
@@ -61,9 +61,10 @@ def drop_noise_lines(lines: DataFrame) -> DataFrame:
 
 
 def files_without_additions(files: DataFrame) -> DataFrame:
-    """``files`` with ``is_empty``: a file without added lines gives an empty record (no path, label 0, codes kept)."""
-    empty = F.size("add_lines") == 0
-    return files.withColumn("is_empty", empty).withColumn("file_path", F.when(empty, "").otherwise(F.col("file_path")))
+    """The empty records of ``files`` without an added line: no path, no graph, no nodes, label 0, codes kept."""
+    none = F.array().cast("array<int>")
+    empty = files.where(F.size("add_lines") == 0).withColumn("file_path", F.lit(""))
+    return empty.withColumns({"diff_node": none, "buggy_nodes": none, "label": F.lit(0)})
 
 
 def commits_with_added_code(lines: DataFrame) -> DataFrame:

@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 from defectflow import dataset, graph, retrieval, slicing, sources, splits
 
 
+KINDS = ["if_statement", "else", "field_declaration", "while_statement", "break_statement", "continue_statement", "expression_statement"]
+
+
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("node_id", F.row_number().over(order))
-    k = F.col("l_linenumber") % 4
-    kind = F.when(k == 0, "if_statement").when(k == 1, "else").when(k == 2, "field_declaration").otherwise("while_statement")
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.col("l_linenumber") % 7)
+    start, row = F.col("node_id") * 2, lambda r: F.concat(F.lit("r"), r, F.lit(" // c"), F.col("l_suppkey"), F.lit("\n"))
+    lines = F.transform(F.sequence(start, start + (F.col("l_partkey") % 2).cast("int")), lambda r: F.when((F.col("l_suppkey") % 7 == 0) & (r % 2 == 1), F.lit("\n")).otherwise(row(r)))
     return li.select(
         F.lit("p").alias("project"), F.floor(F.col("l_orderkey") / 4).cast("string").alias("commit_hash"), F.col("l_orderkey").cast("string").alias("file_path"),
         (F.col("l_orderkey") % 4).cast("int").alias("file_ord"), "node_id", kind.alias("node_type"), F.array((F.col("l_partkey") % 5).cast("string")).alias("def_set"),
         F.array((F.col("l_suppkey") % 5).cast("string")).alias("use_set"), (F.col("l_returnflag") == "R").alias("changed"),
+        start.alias("start_row"), (start + F.col("l_partkey") % 2).cast("int").alias("end_row"), lines.alias("source_lines"), "l_partkey", "l_suppkey", "l_returnflag",
     )
 
 
@@ -40,13 +45,15 @@ def _cfg(nodes: DataFrame) -> DataFrame:
 _NODES = """
 n AS (SELECT 'p' AS project, (l_orderkey // 4)::VARCHAR AS commit_hash, l_orderkey::VARCHAR AS file_path, (l_orderkey % 4)::INT AS file_ord,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)::INT AS id,
-  CASE l_linenumber % 4 WHEN 0 THEN 'if_statement' WHEN 1 THEN 'else' WHEN 2 THEN 'field_declaration' ELSE 'while_statement' END AS kind,
-  l_partkey % 5 AS def, l_suppkey % 5 AS use, l_returnflag = 'R' AS changed FROM lineitem),
+  ['if_statement', 'else', 'field_declaration', 'while_statement', 'break_statement', 'continue_statement', 'expression_statement'][l_linenumber % 7 + 1] AS kind,
+  l_partkey % 5 AS def, l_suppkey % 5 AS use, l_returnflag = 'R' AS changed, l_partkey AS pk, l_suppkey AS sk, l_returnflag AS flag FROM lineitem),
 cdg AS (SELECT file_path AS f, id // 2 AS src, id AS dst FROM n WHERE id > 1),
 cfg AS (SELECT file_path AS f, id - 1 AS src, id AS dst FROM n WHERE id > 1 UNION SELECT file_path, id, id // 2 FROM n WHERE id % 3 = 0),
 back(f, v, u, w) AS (SELECT file_path, use, id, src FROM n JOIN cfg ON f = file_path AND dst = id
   UNION SELECT b.f, v, u, c.src FROM back b JOIN n ON file_path = b.f AND id = w JOIN cfg c ON c.f = b.f AND c.dst = w WHERE w <> u AND def <> v),
 ddg AS (SELECT DISTINCT f, w AS src, u AS dst FROM back JOIN n ON file_path = f AND id = w WHERE def = v AND w <> u)"""
+#: The nodes and plain edges alone.
+_PLAIN = _NODES[: _NODES.index(",\nback(")]
 _SLICES = """,
 s AS (SELECT file_path AS f, id FROM n WHERE changed),
 a1 AS (SELECT * FROM s UNION SELECT f, src FROM s JOIN ddg USING (f) WHERE dst = id), a2 AS (SELECT * FROM a1 UNION SELECT f, src FROM a1 JOIN ddg USING (f) WHERE dst = id),
@@ -131,9 +138,29 @@ SELECT l.file_path, l.id AS node_id, (CASE WHEN q.kind IN ('if_statement', 'try_
     "c3_forward_slice": f"WITH RECURSIVE {_NODES}{_SLICES} SELECT f AS file_path, id::INT AS node_id FROM fw",
     "c5_slice_nodes": f"WITH RECURSIVE {_NODES}{_SLICES} SELECT f AS file_path, id::INT AS node_id FROM fw UNION SELECT f, id::INT FROM bw",
     "a1_reindex_nodes": f"WITH RECURSIVE {_NODES}{_IX} SELECT commit_hash, file_path, id AS node_id, node_ix FROM ix",
-    "a2_commit_edges": f"""WITH RECURSIVE {_NODES}{_IX}, e AS (SELECT *, 1 AS code FROM cdg UNION ALL SELECT *, 0 FROM cfg),
-j AS (SELECT a.commit_hash, a.node_ix AS src_ix, b.node_ix AS dst_ix, code AS type_code FROM e JOIN ix a ON a.file_path = f AND a.id = src JOIN ix b ON b.file_path = f AND b.id = dst)
-SELECT x.* FROM j x JOIN j y USING (commit_hash, src_ix, dst_ix)""",
+    "a2_commit_edges": f"""WITH {_PLAIN}{_IX}, e AS (SELECT *, 1 AS code FROM cdg UNION ALL SELECT *, 0 FROM cfg),
+j AS (SELECT a.commit_hash, a.node_ix AS src_ix, b.node_ix AS dst_ix, code AS type_code FROM e JOIN ix a ON a.file_path = f AND a.id = src JOIN ix b ON b.file_path = f AND b.id = dst),
+k AS (SELECT *, count(*) OVER (PARTITION BY commit_hash, src_ix, dst_ix) AS times FROM j)
+SELECT commit_hash, src_ix, dst_ix, type_code FROM (SELECT *, unnest(range(times)) FROM k)""",
+    "g5_cfg_edges": f"""WITH RECURSIVE {_PLAIN},
+k AS (SELECT file_path AS f, id, kind, CASE WHEN id > 1 THEN id // 2 END AS up, CASE WHEN id > 1 THEN id // 2 ELSE -1 END AS parent FROM n),
+l AS (SELECT *, lead(id) OVER w AS nx, lead(kind) OVER w AS nk FROM k WINDOW w AS (PARTITION BY f, parent ORDER BY id)),
+g AS (SELECT l.f, l.id, l.kind, l.up, CASE WHEN q.kind IN ('if_statement', 'try_statement') AND (nk = 'else' OR nk LIKE '%clause%') THEN NULL ELSE nx END AS after, c.first FROM l LEFT JOIN k q ON q.f = l.f AND q.id = l.up
+  LEFT JOIN (SELECT f, src, min(dst) AS first FROM cdg GROUP BY ALL) c ON c.f = l.f AND c.src = l.id),
+anc(f, v, a, depth) AS (SELECT f, id, up, 1 FROM g WHERE up IS NOT NULL UNION ALL SELECT anc.f, v, up, depth + 1 FROM anc JOIN g ON g.f = anc.f AND g.id = a WHERE up IS NOT NULL),
+up AS (SELECT anc.f, v, a, depth, kind, after FROM anc JOIN g ON g.f = anc.f AND g.id = a),
+near AS (SELECT f, v, min_by(a, depth) AS a FROM up WHERE kind IN ('for_statement', 'while_statement', 'enhanced_for_statement', 'do_statement', 'switch_expression', 'labeled_statement') GROUP BY ALL),
+near2 AS (SELECT near.f, v, a, after FROM near JOIN g ON g.f = near.f AND g.id = a),
+stop AS (SELECT f, v, min(depth) AS depth FROM up WHERE kind IN ('try_statement', 'if_statement', 'catch_clause', 'finally_clause', 'try_with_resources_statement') AND after IS NOT NULL GROUP BY ALL)
+SELECT DISTINCT f AS file_path, src::INT AS src, dst::INT AS dst FROM (
+  SELECT f, id AS src, first AS dst FROM g
+  UNION ALL SELECT f, id, after FROM g
+  UNION ALL SELECT g.f, id, CASE WHEN kind = 'break_statement' THEN near2.after ELSE near2.a END FROM g JOIN near2 ON near2.f = g.f AND v = id WHERE kind IN ('break_statement', 'continue_statement')
+  UNION ALL SELECT g.f, g.id, c.dst FROM g JOIN cdg c ON c.f = g.f AND c.src = g.id JOIN k ON k.f = g.f AND k.id = c.dst WHERE g.kind IN ('if_statement', 'try_statement', 'try_with_resources_statement') AND (k.kind = 'else' OR k.kind LIKE '%clause%')
+  UNION ALL SELECT up.f, up.v, up.a FROM up JOIN g ON g.f = up.f AND g.id = v LEFT JOIN stop ON stop.f = up.f AND stop.v = up.v
+    WHERE g.after IS NULL AND up.kind IN ('for_statement', 'while_statement', 'enhanced_for_statement', 'do_statement') AND (stop.depth IS NULL OR up.depth <= stop.depth)
+  UNION ALL SELECT up.f, up.v, up.after FROM up JOIN g ON g.f = up.f AND g.id = v JOIN stop ON stop.f = up.f AND stop.v = up.v AND stop.depth = up.depth WHERE g.after IS NULL
+) WHERE dst IS NOT NULL""",
     "s8_line_index": f"""WITH RECURSIVE {_NODES}, g AS (SELECT commit_hash, file_path, list(id ORDER BY id) FILTER (changed) AS ids FROM n GROUP BY ALL)
 SELECT 'p:' || commit_hash AS key, '{{' || coalesce(string_agg('"' || file_path || '":"[' || array_to_string(ids, ', ') || ']"', ',' ORDER BY file_path) FILTER (len(ids) > 0), '') || '}}' AS files FROM g GROUP BY commit_hash""",
     "p1_leave_one_out": """WITH r AS (SELECT *, row_number() OVER (ORDER BY (o_orderkey * 7919) % 10007, o_orderkey) AS k, count(*) OVER () AS c FROM orders WHERE o_orderpriority <> '1-URGENT')

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from defectflow import commit_metrics as cm
-from defectflow import diffs, graph_plans, labels, text
+from defectflow import diffs, graph_plans, labels, record_plans, text, text_plans
 from defectflow import line_metrics as lm
 
 
@@ -205,5 +205,6 @@ ELSE ceil(0.2 * max(n)) END, 6) AS effort FROM r GROUP BY 1""",
     "x9_flatten_newlines": "SELECT doc_id, replace(replace(text, chr(10), ''), chr(13), '') AS value FROM documents",
 }
 
-QUERIES |= graph_plans.QUERIES
-ORACLE_SQL |= graph_plans.ORACLE_SQL
+for _module in (graph_plans, text_plans, record_plans):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

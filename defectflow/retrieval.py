@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from defectflow import slicing
+from defectflow.diffs import COMMIT, FILE
+from defectflow.labels import filter_commits
 from defectflow.text import squeeze_whitespace
 
-#: Queries that a task holds at a time; more are searched block after block.
-QUERY_BLOCK = 20_000
+#: Queries and vectors that a task holds at a time.
+QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
 
 
 def embed(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:
@@ -28,30 +31,58 @@ def embed(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarra
     return df.withColumn("__text", squeeze_whitespace(F.coalesce(text_col, F.lit("")))).mapInPandas(run, f"{schema}, embedding array<float>")
 
 
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows in blocks of about ``size``, as two arrays each."""
+    n = max(1, -(-rows.count() // size))
+    block = F.pmod(F.xxhash64("id"), F.lit(n))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))))
+    packed = rows.groupBy(block.alias("block")).agg(listed.alias("rows"))
+    return packed.select(F.col("rows.id").alias(f"{name}_ids"), F.flatten("rows.embedding").alias(f"{name}_values"))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``query_id, id, distance, rank``: the ``k`` nearest by L2 of each query (both ``id, embedding``), ties by id.
 
-    Query blocks of a fixed size go to all tasks; each keeps its best ``k`` for each query, and the best of those are ranked."""
-    spark, out = vectors.sparkSession, None
-    rows = queries.select("id", "embedding").toLocalIterator()
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows, strict=False)]:
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block]), np.array([r["embedding"] for r in block], np.float64)))
-        found = vectors.select("id", "embedding").mapInPandas(_nearest(shared, k), "query_id long, id long, distance double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+    Blocks of ``QUERY_BLOCK`` queries meet blocks of ``VECTOR_BLOCK`` vectors, each pair in a task; of each pair every query keeps its best ``k``, and the best of those are ranked."""
+    met = _blocks(queries, QUERY_BLOCK, "q").crossJoin(_blocks(vectors, VECTOR_BLOCK, "v"))  # a row for each pair of blocks
+    found = met.mapInPandas(_nearest(k), "query_id long, id long, distance double")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
-def _nearest(shared, k: int):
+def _nearest(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
         for frame in frames:
-            v, names = np.stack(frame["embedding"].to_numpy()).astype(np.float64), frame["id"].to_numpy()
-            for at in range(0, len(q), 256):
-                d = np.sqrt(((q[at : at + 256, None, :] - v[None]) ** 2).sum(axis=2)) if v.size * 256 < 5e7 else np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for x in q[at : at + 256]])
-                for i, row in enumerate(d):
-                    best = np.lexsort((names, row))[:k]
-                    yield pd.DataFrame({"query_id": ids[at + i], "id": names[best], "distance": row[best]})
+            for pair in frame.itertuples():
+                ids, names = np.asarray(pair.q_ids), np.asarray(pair.v_ids)
+                q, v = np.asarray(pair.q_values).reshape(len(ids), -1), np.asarray(pair.v_values).reshape(len(names), -1)
+                for name, x in zip(ids, q, strict=True):
+                    d = np.sqrt(((x - v) ** 2).sum(axis=1))
+                    near = np.argpartition(d, k)[:k] if k < len(d) else np.arange(len(d))
+                    near = np.flatnonzero(d <= d[near].max())  # with all ties
+                    best = near[np.lexsort((names[near], d[near]))[:k]]
+                    yield pd.DataFrame({"query_id": name, "id": names[best], "distance": d[best]})
 
     return run
+
+
+def buggy_knowledge(buggy: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``repo, hash, file_path, slicing, diff, desc``: for each file with buggy lines (``line_no``, ``code`` with its marker) the slice around them, and their distinct texts in order; no description yet."""
+    changed = buggy.select(*FILE, F.lit("added").alias("change_type"), "line_no", "code")
+    kept = slicing.slice_nodes(slicing.seed_nodes(nodes, changed), nodes, edges)
+    text = slicing.render_slice(slicing.slice_lines(nodes, kept), changed)
+    first = changed.groupBy(*FILE, "code").agg(F.min("line_no").alias("at"))
+    listed = first.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("at", "code")))["code"].alias("diff"))
+    out = listed.join(text, FILE, "left")
+    return out.select(F.col("project").alias("repo"), F.col("commit_hash").alias("hash"), "file_path", F.coalesce("slice", F.lit("")).alias("slicing"), "diff", F.lit("").alias("desc"))
+
+
+#: The description of clean commits, and the longest slice that is kept.
+CLEAN, LONGEST_SLICE = "This commit does not introduce any bugs or issues.", 18_000
+
+
+def clean_knowledge(commits: DataFrame, slices: DataFrame) -> DataFrame:
+    """``repo, hash, slicing, diff, desc`` of clean commits: the slice and added codes of the commit's first file (``slices``: commit key, ``file_ord``, ``slice``, ``add_codes``), if it has 1 to ``LONGEST_SLICE`` characters."""
+    first = slices.groupBy(*COMMIT).agg(F.min_by(F.struct("slice", "add_codes"), "file_ord").alias("f"))
+    out = filter_commits(commits, buggy=False).select(*COMMIT).distinct().join(first, COMMIT)
+    kept = out.where(F.length("f.slice").between(1, LONGEST_SLICE))
+    return kept.select(F.col("project").alias("repo"), F.col("commit_hash").alias("hash"), F.col("f.slice").alias("slicing"), F.col("f.add_codes").alias("diff"), F.lit(CLEAN).alias("desc"))

@@ -13,7 +13,7 @@ NODE = "struct<id: int, node_type: string, start_row: int, end_row: int, source_
 GRAPH = f"struct<directed: boolean, multigraph: boolean, nodes: array<{NODE}>, links: array<struct<source: int, target: int, key: string>>>"
 RECORDS = f"project string, commit_hash string, file_path string, add_codes array<string>, remove_codes array<string>, relate_graph {GRAPH}, diff_node array<int>, buggy_nodes array<int>, label int"
 LINE_LABELS = "commit_id string, idx int, changed_type string, label int, raw_changed_line string, changed_line string"
-PREDICTIONS = ("commit_id", "prob", "pred", "label")
+PREDICTIONS = "commit_id string, prob double, pred int, label int"
 CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
@@ -55,9 +55,9 @@ def read_line_labels(spark: SparkSession, path: str, kind: str = "parquet") -> D
     return spark.read.schema(LINE_LABELS).parquet(path) if kind == "parquet" else spark.read.schema(LINE_LABELS).options(**CSV).csv(path)
 
 
-def read_predictions(spark: SparkSession, path: str, names: tuple[str, ...] = PREDICTIONS) -> DataFrame:
-    """CSV with a header; columns are renamed by place."""
-    return spark.read.options(**CSV, inferSchema="true").csv(path).toDF(*names)
+def read_predictions(spark: SparkSession, path: str, schema: str = PREDICTIONS) -> DataFrame:
+    """CSV with a header; columns are named and typed by place."""
+    return spark.read.schema(schema).options(**CSV, enforceSchema="true").csv(path)
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:
