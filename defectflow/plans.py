@@ -6,31 +6,12 @@ Orders stand in for commits (project: priority, label: status F), line items for
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from defectflow import commit_metrics as cm
-from defectflow import diffs, graph_plans, labels, record_plans, text, text_plans
+from defectflow import diffs, graph_plans, labels, model_plans, record_plans, text, text_plans
 from defectflow import line_metrics as lm
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _preds(spark: SparkSession, d: str) -> DataFrame:
-    """``commit_hash, project, prob, real_label, loc`` of each order."""
-    loc = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("double").alias("loc"))
-    o = _table(spark, d, "orders").join(loc, "o_orderkey", "left")
-    prob = ((F.col("o_orderkey") * 7919) % 1000) / 1000.0
-    real = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
-    return o.select(F.col("o_orderkey").alias("commit_hash"), F.col("o_orderpriority").alias("project"), prob.alias("prob"), real.alias("real_label"), F.coalesce("loc", F.lit(0.0)).alias("loc"))
-
-
-_PREDS = """
-p AS (SELECT o_orderkey AS commit_hash, o_orderpriority AS project, ((o_orderkey * 7919) % 1000) / 1000.0::DOUBLE AS prob,
-             CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS real_label, coalesce(q, 0)::DOUBLE AS loc
-      FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+from defectflow.stand_ins import _LINES, _PREDS, _lines, _preds, _table
 
 
 def _curve_sql(name: str, value: str, direction: str) -> str:
@@ -93,19 +74,6 @@ def m9_commit_report(spark, d):
     return _round(cm.commit_report(_preds(spark, d), ["project"]), "f1", "auc", "recall_at_effort", "effort_at_recall", "p_opt")
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    li = _table(spark, d, "lineitem").withColumn("idx", F.row_number().over(order))
-    return li.select(F.col("l_orderkey").alias("commit_id"), "idx", F.col("l_extendedprice").cast("double").alias("score"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"))
-
-
-_LINES = """
-l AS (SELECT l_orderkey AS commit_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS idx,
-             l_extendedprice::DOUBLE AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY commit_id ORDER BY score DESC, idx) AS rank, count(*) OVER (PARTITION BY commit_id) AS n,
-             sum(label) OVER (PARTITION BY commit_id) AS n_buggy, sum(label) OVER (PARTITION BY commit_id ORDER BY score DESC, idx ROWS UNBOUNDED PRECEDING) AS buggy_rank FROM l)"""
-
-
 def l4_minmax_scale(spark, d):
     return _round(lm.minmax_scale(_lines(spark, d)), "scaled").select("commit_id", "idx", "scaled")
 
@@ -205,6 +173,6 @@ ELSE ceil(0.2 * max(n)) END, 6) AS effort FROM r GROUP BY 1""",
     "x9_flatten_newlines": "SELECT doc_id, replace(replace(text, chr(10), ''), chr(13), '') AS value FROM documents",
 }
 
-for _module in (graph_plans, text_plans, record_plans):
+for _module in (graph_plans, text_plans, record_plans, model_plans):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
