@@ -1,17 +1,23 @@
 """Format-preserving Feistel pseudonyms for personal numbers and dates.
 
-Values are found by pattern and validated (card numbers by Luhn's check digit, dates by the calendar, IPv4 by its four bytes, US social security numbers by their
-ranges, phone numbers by their form). A valid value becomes another valid value of the same format: its free digits are split in two halves that take turns adding a keyed
-hash of the other half, modulo their number of values, which is a permutation of the whole format; check digits are computed anew. The same value
-and key give the same pseudonym in every document, so links between documents stay. E-mail addresses keep their domain; letters and digits of the local part are permuted by the same network, letter
-by letter. Long hexadecimal secrets are permuted likewise. Separators and surrounding text stay as they are. Built-in columns only.
+Values are found by pattern and validated: card numbers (13 to 19 digits, unbroken or in groups) by Luhn's check digit, IBAN by its remainder of 97, dates by the calendar, IPv4 by its four bytes, US social
+security numbers by their ranges, phone numbers by their form and number of digits. A valid value becomes another valid value of the same format: its free digits are split in two halves that take turns adding a
+keyed hash (SHA-256 over the key, the kind, the round and the other half), modulo their number of values, which is a permutation of the whole format; check digits are computed anew, and where a format has fewer
+values than the network, steps are repeated until one is met. The same value and key give the same pseudonym in every document, whatever its separators, so links between documents stay. E-mail addresses keep their domain, access keys their
+prefix; in them, in hexadecimal secrets, IPv6 addresses and account numbers each letter or digit turns within its own class, by a network over two parts of each character. Separators and surrounding text stay as they are. Built-in columns only.
 
-Defined results: a null text stays null; texts without a valid value are unchanged; invalid look-alikes are unchanged; repeated rows each get their row;
+Dates: ``1999-12-31``, ``1999/12/31``, ``31.12.1999``, ``12/31/1999`` (day first if it can't be a month), ``31 December 1999``, ``December 31, 1999`` and short English months, from 1900 to 2099. Phones: ``+`` and 8 to 15 digits,
+``(555) 123-4567``, ``555-123-4567`` (also with dots or blanks); the country code stays.
+
+Defined results: a null text stays null; texts without a valid value are unchanged; invalid look-alikes are unchanged; long texts are read whole; repeated rows each get their row;
 an empty table gives an empty result; further columns don't matter.
 """
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +25,32 @@ from defectflow.llm.common import let
 
 ROUNDS = 8
 DAYS = 73_049  # 1900-01-01 to 2099-12-31
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+_YEAR = r"(?:19|20)\d\d"
 
 #: Tried in this order at each place; no group is captured.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "phone": r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "phone": r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:(?: \d{2,8}(?!\d|\.\d)){1,5}|(?:-\d{2,8}(?!\d)){1,5}|(?:\.\d{2,8}(?!\d)){1,5})|\+\d{8,15}(?!\d)"
+    r"|(?<![\w)])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![\d-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
-    "date": r"(?<!\d)(?:19|20)\d\d-\d\d-\d\d(?!\d)",
-    "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "card": r"(?<!\d)\d{13,16}(?!\d)",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-}
+    "date": rf"(?<![\d/.-])(?:{_YEAR}-\d\d-\d\d|{_YEAR}/\d\d/\d\d|\d\d\.\d\d\.{_YEAR}|\d{{1,2}}/\d{{1,2}}/{_YEAR})(?![\d/-])|(?<!\d)\d{{1,2}} {_MONTH} {_YEAR}(?!\d)|(?<![A-Za-z]){_MONTH} \d{{1,2}}, {_YEAR}(?!\d)",
+    "ssn": r"(?<![\d-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4})(?![\d-])",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:-\d{4}){3}(?:-\d{3})?|\d{4}(?: \d{4}){3}(?: \d{3}(?!\d))?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+}
 PATTERN = "|".join(PATTERNS.values())
+ALNUM = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+HEX = ("0123456789", "abcdef", "ABCDEF")
 
 
-def _hash(key: str, what: str, r: Column, x: Column) -> Column:
-    return F.xxhash64(F.lit(key), F.lit(what), r, x)
+def _hash(key: str, what: str, *values: Column) -> Column:
+    """A keyed hash from 0 to 2^48."""
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(what), *(v.cast("string") for v in values)), 256)
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
 def feistel(value: Column, left_size: int, right_size: int, key: str, what: str) -> Column:
@@ -42,35 +58,70 @@ def feistel(value: Column, left_size: int, right_size: int, key: str, what: str)
     start = F.struct((F.floor(value / right_size)).cast("long").alias("l"), F.pmod(value, F.lit(right_size)).cast("long").alias("r"))
 
     def turn(s: Column, r: Column) -> Column:
-        left = F.when(r % 2 == 0, F.pmod(s["l"] + F.pmod(_hash(key, what, r, s["r"]), F.lit(left_size)), F.lit(left_size))).otherwise(s["l"])
-        right = F.when(r % 2 == 1, F.pmod(s["r"] + F.pmod(_hash(key, what, r, s["l"]), F.lit(right_size)), F.lit(right_size))).otherwise(s["r"])
+        left = F.when(r % 2 == 0, F.pmod(s["l"] + _hash(key, what, r, s["r"]), F.lit(left_size))).otherwise(s["l"])
+        right = F.when(r % 2 == 1, F.pmod(s["r"] + _hash(key, what, r, s["l"]), F.lit(right_size))).otherwise(s["r"])
         return F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
     done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
     return let(done, lambda s: s["l"] * right_size + s["r"])
 
 
-def _letters(text: Column, alphabet: str, key: str, what: str) -> Column:
-    """A Feistel network over the two halves of a text: letters of ``alphabet`` turn within it by a keyed hash of the other half and their place."""
-    n = len(alphabet)
-    half = F.floor(F.length(text) / 2).cast("int")
+def _characters(text: Column, classes: tuple[str, ...], key: str, what: str) -> Column:
+    """Characters turn within their class, all others stay. Each character's place in its class is 2 * high + low; all highs and all lows are the halves of a Feistel network."""
+    known = F.filter(F.transform(F.split(text, ""), lambda c: c), lambda c: c != "")
 
-    def shift(part: Column, other: Column, r: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            at = F.instr(F.lit(alphabet), c)
-            moved = F.pmod(at - 1 + F.pmod(F.xxhash64(F.lit(key), F.lit(what), r, i, other), F.lit(n)), F.lit(n)).cast("int")
-            return F.when((at > 0) & (c != ""), F.substring(F.lit(alphabet), moved + 1, F.lit(1))).otherwise(c)
+    def place(c: Column) -> Column:
+        out = F.struct(F.lit(0).alias("k"), F.lit(0).alias("h"), F.lit(0).alias("l"), F.lit(0).alias("n"))
+        for k, letters in enumerate(classes, 1):
+            at = F.instr(F.lit(letters), c) - 1
+            out = F.when(at >= 0, F.struct(F.lit(k).alias("k"), F.floor(at / 2).cast("int").alias("h"), (at % 2).alias("l"), F.lit(len(letters) // 2).alias("n"))).otherwise(out)
+        return out
 
-        return F.array_join(F.transform(F.split(part, ""), one), "")
+    def turn(s: Column, r: Column) -> Column:
+        half = lambda name: F.array_join(F.transform(s, lambda x: x[name].cast("string")), ",")
 
-    start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
+        def moved(x: Column, i: Column, other: Column) -> Column:
+            add = _hash(key, what, r, i, other)
+            high = F.when(r % 2 == 0, F.pmod(x["h"] + add, F.greatest(x["n"], F.lit(1)))).otherwise(x["h"]).cast("int")
+            low = F.when(r % 2 == 1, F.pmod(x["l"] + add, F.lit(2))).otherwise(x["l"]).cast("int")
+            return F.when(x["k"] > 0, F.struct(x["k"].alias("k"), high.alias("h"), low.alias("l"), x["n"].alias("n"))).otherwise(x)
+
+        return F.flatten(F.transform(F.array(F.when(r % 2 == 0, half("l")).otherwise(half("h"))), lambda other: F.transform(s, lambda x, i: moved(x, i, other))))
+
+    def written(pair: Column) -> Column:
+        out = pair["c"]
+        for k, letters in enumerate(classes, 1):
+            out = F.when(pair["x"]["k"] == k, F.substring(F.lit(letters), pair["x"]["h"] * 2 + pair["x"]["l"] + 1, F.lit(1))).otherwise(out)
+        return out
+
+    done = let(known, lambda cs: F.arrays_zip(cs.alias("c"), F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.transform(cs, place), turn).alias("x")))
+    return F.array_join(F.transform(done, written), "")
+
+
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, r"\D", "")
 
-    def turn(s: Column, r: Column) -> Column:
-        left = F.when(r % 2 == 0, shift(s["l"], s["r"], r)).otherwise(s["l"])
-        right = F.when(r % 2 == 1, shift(s["r"], s["l"], r)).otherwise(s["r"])
-        return F.struct(left.alias("l"), right.alias("r"))
 
-    return let(F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, turn), lambda s: F.concat(s["l"], s["r"]))
+def _put(m: Column, digits: Column) -> Column:
+    """``m`` with its digits replaced in order."""
+    chars = F.filter(F.split(m, ""), lambda c: c != "")
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+
+    def add(s: Column, c: Column) -> Column:
+        digit = c.between("0", "9")
+        return F.struct(F.concat(s["out"], F.when(digit, F.substring(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + F.when(digit, 1).otherwise(0)).alias("at"))
+
+    return F.aggregate(chars, start, add, lambda s: s["out"])
+
+
+def _number(digits: Column, low: int, high: int, key: str, what: str) -> Column:
+    """``low`` to ``high`` digits to as many digits."""
+    out = None
+    for n in range(low, high + 1):
+        a = n // 2
+        new = F.lpad(feistel(digits.cast("decimal(20,0)").cast("long"), 10**a, 10 ** (n - a), key, f"{what}{n}").cast("string"), n, "0")
+        out = F.when(F.length(digits) == n, new) if out is None else out.when(F.length(digits) == n, new)
+    return out
 
 
 def _digit_sum(digits: Column, odd_doubled: bool) -> Column:
@@ -89,18 +140,12 @@ def luhn_valid(digits: Column) -> Column:
     return _digit_sum(digits, False) % 10 == 0
 
 
-def _number(digits: Column, n: int, key: str, what: str) -> Column:
-    """``n`` digits to ``n`` digits."""
-    a = n // 2
-    return F.lpad(feistel(digits.cast("long"), 10**a, 10 ** (n - a), key, what).cast("string"), n, "0")
-
-
 def _card(m: Column, key: str) -> Column:
-    out = None
-    for n in range(13, 17):
-        new = let(_number(F.substring(m, 1, n - 1), n - 1, key, f"card{n}"), lambda body: F.concat(body, F.pmod(-_digit_sum(body, True), F.lit(10)).cast("string")))
-        out = F.when(F.length(m) == n, new) if out is None else out.when(F.length(m) == n, new)
-    return F.when(luhn_valid(m), out).otherwise(m)
+    def new(d: Column) -> Column:
+        body = _number(F.substring(d, F.lit(1), F.length(d) - 1), 12, 18, key, "card")
+        return F.when(luhn_valid(d), _put(m, let(body, lambda b: F.concat(b, F.pmod(-_digit_sum(b, True), F.lit(10)).cast("string"))))).otherwise(m)
+
+    return let(_digits(m), new)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -111,13 +156,27 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Days from 1900-01-01; cycle walking isn't needed, as 73,049 = 281 * 260 - 11 days are reached by walking at most a few steps."""
+    """Days from 1900-01-01. Of the 281 * 260 = 73,060 values of the network 73,049 are days; with the day first only the 13th and later are in the format. Steps repeat until such a day is met,
+    which happens at the latest at the date itself, at the end of its cycle."""
     first = F.lit("1900-01-01").cast("date")
-    day = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), first)
-    step = lambda v: feistel(v, 281, 260, key, "date")
-    walked = step(day.cast("long"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(12)), walked, lambda v, _: F.when(v >= DAYS, step(v)).otherwise(v))
-    return let(walked, lambda v: F.when(day.isNull() | (v >= DAYS), m).otherwise(F.date_format(F.date_add(first, v.cast("int")), "yyyy-MM-dd")))
+    ahead = F.split(m, "/")[0].cast("int") > 12
+    name = lambda plain, short: F.when(m.rlike(r"[A-Za-z]{4}"), plain).otherwise(short)
+    fmt = (
+        F.when(m.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(m.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(m.contains("."), "dd.MM.yyyy")
+        .when(m.contains("/"), F.when(F.length(m) == 10, F.when(ahead, "dd/MM/yyyy").otherwise("MM/dd/yyyy")).otherwise(F.when(ahead, "d/M/yyyy").otherwise("M/d/yyyy")))
+        .when(m.contains(","), name("MMMM d, yyyy", "MMM d, yyyy")).otherwise(name("d MMMM yyyy", "d MMM yyyy"))
+    )
+    late = m.contains("/") & ~m.rlike(r"^\d{4}/") & ahead
+
+    def new(fmt: Column) -> Column:
+        day = F.datediff(F.try_to_timestamp(m, fmt).cast("date"), first).cast("long")
+        outside = lambda v: (v >= DAYS) | (late & (F.dayofmonth(F.date_add(first, F.least(v, F.lit(DAYS)).cast("int"))) <= 12))
+        step = lambda v: feistel(v, 281, 260, key, "date")
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(99)), step(day), lambda v, _: F.when(outside(v), step(v)).otherwise(v))
+        # A longer walk is an event of less than 1 in 10^21 a date; the 13th of the same cycle's start then stands for it.
+        return let(walked, lambda v: F.when(day.isNull() | ~day.between(0, DAYS - 1), m).otherwise(F.call_function("date_format", F.date_add(first, F.when(outside(v), day).otherwise(v).cast("int")), fmt)))
+
+    return let(fmt, new)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -130,46 +189,86 @@ def _ssn(m: Column, key: str) -> Column:
     def back(v: Column) -> Column:
         a = F.floor(v / (99 * 9999)).cast("long")
         named = a + 1 + F.when(a >= 665, 1).otherwise(0)
-        return F.format_string("%03d-%02d-%04d", named, F.pmod(F.floor(v / 9999).cast("long"), F.lit(99)) + 1, F.pmod(v, F.lit(9999)) + 1)
+        return _put(m, F.format_string("%03d%02d%04d", named, F.pmod(F.floor(v / 9999).cast("long"), F.lit(99)) + 1, F.pmod(v, F.lit(9999)) + 1))
 
     return F.when(valid, let(feistel(value, 898 * 99, 9999, key, "ssn"), back)).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^(\+\d{1,3})", 1)
-    digits = F.regexp_replace(F.substring_index(m, " ", -2), r"\D", "")
-    return let(_number(digits, 10, key, "phone"), lambda d: F.concat(head, F.lit(" ("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4)))
+    """The country code (after ``+``, up to a separator; of an unbroken number its first digit) stays, the other digits are one number."""
+    head = F.when(m.rlike(r"^\+\d{8,15}$"), F.substring(m, 1, 2)).when(m.startswith("+"), F.regexp_extract(m, r"^(\+\d{1,3})", 1)).otherwise("")
+    rest = F.substring(m, F.length(head) + 1, F.length(m))
+    new = let(_digits(rest), lambda d: _put(rest, _number(d, 6, 14, key, "phone")))
+    return F.when(F.length(_digits(m)).between(8, 15), F.concat(head, new)).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.lower(F.substring_index(m, "@", 1))
-    return F.concat(_letters(local, "abcdefghijklmnopqrstuvwxyz0123456789", key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(_characters(F.lower(F.substring_index(m, "@", 1)), ALNUM[:2], key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+
+
+def _remainder(text: Column) -> Column:
+    """Of 97, letters counting as 10 to 35."""
+
+    def add(r: Column, c: Column) -> Column:
+        letter = F.instr(F.lit(ALNUM[2]), c)
+        return F.when(c == "", r).when(letter > 0, F.pmod(r * 100 + letter + 9, F.lit(97))).otherwise(F.pmod(r * 10 + c.cast("int"), F.lit(97))).cast("int")
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and grouping stay, the account turns by character, the check digits are new. A last group that is a following word is left out."""
+    bare = lambda t: F.replace(t, F.lit(" "), F.lit(""))
+    valid = lambda t: let(bare(t), lambda b: F.length(b).between(15, 34) & (_remainder(F.concat(F.substring(b, 5, 34), F.substring(b, 1, 4))) == 1))
+
+    def new(t: Column) -> Column:
+        account = _characters(F.substring(t, 5, 60), (ALNUM[0], ALNUM[2]), key, "iban")
+        return let(account, lambda a: F.concat(F.substring(t, 1, 2), F.lpad((98 - _remainder(F.concat(bare(a), F.substring(t, 1, 2), F.lit("00")))).cast("string"), 2, "0"), a))
+
+    short = F.regexp_replace(m, " [A-Z0-9]{1,4}$", "")
+    return F.when(valid(m), new(m)).when(valid(short), F.concat(new(short), F.substring(m, F.length(short) + 1, F.lit(9)))).otherwise(m)
+
+
+def _key(m: Column, key: str) -> Column:
+    head = F.regexp_extract(m, r"^(AKIA|ASIA|gh[a-z]_|sk-|xox[a-z]-|AIza)", 1)
+    return F.concat(head, _characters(F.substring(m, F.length(head) + 1, F.length(m)), ALNUM, key, "key"))
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one matched value; the value itself if it isn't valid."""
-    whole = lambda name: m.rlike(f"^(?:{PATTERNS[name]})$")
-    return (
-        F.when(F.contains(m, F.lit("@")), _email(m, key)).when(F.startswith(m, F.lit("+")), _phone(m, key)).when(F.contains(m, F.lit(".")), _ip(m, key))
-        .when(whole("date"), _date(m, key)).when(whole("ssn"), _ssn(m, key)).when(m.rlike(r"^\d{13,16}$"), _card(m, key)).otherwise(_letters(m, "0123456789abcdef", key, "secret"))
-    )
+    makers: dict[str, Callable[[Column, str], Column]] = {
+        "email": _email, "ipv6": lambda x, k: _characters(x, HEX, k, "ipv6"), "iban": _iban, "key": _key, "secret": lambda x, k: _characters(x, HEX, k, "secret"), "phone": _phone, "ip": _ip, "date": _date,
+        "ssn": _ssn, "card": _card,
+    }
+    out = None
+    for name, make in makers.items():
+        whole = m.rlike(f"^(?:{PATTERNS[name]})$")
+        out = F.when(whole, make(m, key)) if out is None else out.when(whole, make(m, key))
+    return out.otherwise(m)
 
 
 def pseudonymize(text: Column, key: str) -> Column:
     """The text with every valid value replaced: the pieces between matches are joined with the pseudonyms."""
+
+    def joined(found: Column) -> Column:
+        new = F.transform(found, lambda m: pseudonym(m, key))
+        parts = F.arrays_zip(F.split(text, PATTERN).alias("a"), new.alias("b"))
+        return F.array_join(F.flatten(F.transform(parts, lambda p: F.array(F.coalesce(p["a"], F.lit("")), F.coalesce(p["b"], F.lit(""))))), "")
+
     found = F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))
-    new = F.transform(found, lambda m: pseudonym(m, key))
-    between = F.split(text, PATTERN)
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("a"), new.alias("b")), lambda p: F.array(F.coalesce(p["a"], F.lit("")), F.coalesce(p["b"], F.lit(""))))), "")
-    return F.when(text.rlike(PATTERN), joined).otherwise(text)
+    return F.when(text.rlike("[0-9@]"), let(found, lambda f: F.when(F.size(f) > 0, joined(f)).otherwise(text))).otherwise(text)
 
 
-def protect(docs: DataFrame, key: str = "key") -> DataFrame:
-    """``docs`` with ``text`` replaced by its pseudonymised form, all other columns as they are."""
+def protect(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``text`` replaced by its pseudonymised form, all other columns as they are. Who knows the key can undo it."""
+    if not key:
+        raise ValueError("a secret key is needed")
     return docs.withColumn("text", pseudonymize(F.col("text"), key))
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
+    """The key is the session's ``spark.defectflow.pii.key``, or a new one for each call."""
+    key = spark.conf.get("spark.defectflow.pii.key", None) or secrets.token_hex(32)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    new = docs.select("doc_id", F.col("text").alias("old"), pseudonymize(F.col("text"), "op8").alias("text"))
+    new = docs.select("doc_id", F.col("text").alias("old"), pseudonymize(F.col("text"), key).alias("text"))
     return new.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("old"))).alias("changed"))
