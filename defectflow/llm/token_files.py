@@ -4,9 +4,9 @@ A file set is a Parquet folder of blocks, so that Spark's commit protocol covers
 consecutive documents (ascending ``doc_id``) as one little-endian array, 16 bits an id where the vocabulary allows, else 32, and the documents'
 end offsets within it as an Elias-Fano sequence: for n offsets up to u, the low floor(log2(u/n)) bits are packed side by side, and the high parts are a bit
 vector in unary with a one for each offset. ``select`` finds the i-th one through samples of the vector's bytes (every 64th one), so an offset is read
-without a table of 64-bit offsets: about 2 + log2(u/n) bits a document.
+without a table of 64-bit offsets: about 2 + log2(u/n) bits a document. The documents' ids, less the block's first one, are a second such sequence. All readers go through ``select``.
 
-Encoding runs in tasks that each hold a range of ``doc_id``. Texts are cut where the tokenizer's own split always falls (at
+Encoding runs in tasks that each hold a range of (``doc_id``, text). Texts are cut where the tokenizer's own split always falls (at
 white space), and each distinct piece is encoded once for a bounded cache, by the tokenizers library. The cuts are used only for a
 byte-level tokenizer with its usual split and without normalizer; texts with a special token's string, and other tokenizers, are encoded whole.
 
@@ -41,7 +41,11 @@ JOINED = 2000
 #: Pieces as the byte-level split has them, but for most splits inside of a run without white space: cut is only between a letter or digit and a mark.
 _PIECES = re.compile(r" ?[^\W_]++(?![^\s,.;:!?])| ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
-BLOCK = "part int, block int, base long, doc_ids array<long>, bits int, ids binary, n long, low_bits int, low binary, high binary, samples binary"
+BLOCK = (
+    "part int, block int, base long, bits int, ids binary, n long, low_bits int, low binary, high binary, samples binary, "
+    "nulls int, first long, id_low_bits int, id_low binary, id_high binary, id_samples binary"
+)
+WIDEST = 1 << 62
 
 
 class EliasFano:
@@ -160,7 +164,19 @@ def encoder_of(tokenizer: str) -> Encoder:
 def _block(part: int, number: int, base: int, docs: list, ids: list[bytes], kind: type) -> dict:
     ends = np.cumsum([len(x) for x in ids]) // np.dtype(kind).itemsize
     ef = EliasFano.encode(ends)
-    return {"part": part, "block": number, "base": base, "doc_ids": docs, "bits": np.dtype(kind).itemsize * 8, "ids": b"".join(ids), "n": ef.n, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples.tobytes()}
+    named = [d for d in docs if d is not None]
+    names = EliasFano.encode(np.array([d - named[0] for d in named], np.int64))
+    return {
+        "part": part, "block": number, "base": base, "bits": np.dtype(kind).itemsize * 8, "ids": b"".join(ids), "n": ef.n, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples.tobytes(),
+        "nulls": len(docs) - len(named), "first": named[0] if named else 0, "id_low_bits": names.low_bits, "id_low": names.low, "id_high": names.high, "id_samples": names.samples.tobytes(),
+    }
+
+
+def _read_block(b) -> tuple[np.ndarray, list[int], list[int | None]]:
+    """A block's ids, its bounds (0 and each document's end) and its documents' ids, by ``select``."""
+    ends = EliasFano(b.n, b.low_bits, b.low, b.high, b.samples)
+    names = EliasFano(b.n - b.nulls, b.id_low_bits, b.id_low, b.id_high, b.id_samples)
+    return np.frombuffer(b.ids, np.dtype(f"<u{b.bits // 8}")), [0, *map(ends.select, range(b.n))], [None] * b.nulls + [b.first + names.select(i) for i in range(names.n)]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, partitions: int | None = None, block_ids: int = BLOCK_IDS) -> None:
@@ -176,7 +192,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         for frame in pieces(frames, limit=1_000_000):
             coded = encoder.encode(frame["text"].fillna("").tolist())
             for name, one in zip(frame["doc_id"], coded, strict=True):
-                names.append(None if pd.isna(name) else int(name))
+                name = None if pd.isna(name) else int(name)
+                known = next((x for x in names if x is not None), name)
+                if name is not None and name - known >= WIDEST:  # ids too far apart for one sequence
+                    yield pd.DataFrame([_block(part, number, base, names, ids, encoder.kind)])
+                    number, base, held, ids, names = number + 1, base + held, 0, [], []
+                names.append(name)
                 ids.append(one + end)
                 held += len(one) // width + 1
                 if held >= block_ids:
@@ -185,7 +206,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         if ids:
             yield pd.DataFrame([_block(part, number, base, names, ids, encoder.kind)])
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(partitions, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    # Ranges are cut by the beginning of the text, in the order of whole texts.
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(partitions, "doc_id", F.left("text", F.lit(24))).sortWithinPartitions("doc_id", "text")
     ranged.mapInPandas(run, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
@@ -204,24 +226,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for b in frame.itertuples():
-                ids = np.frombuffer(b.ids, np.dtype(f"<u{b.bits // 8}")).astype("<u4")
-                ends = EliasFano(b.n, b.low_bits, b.low, b.high, b.samples).decode()
-                starts = np.r_[0, ends[:-1]]
-                crc = [zlib.crc32(ids[x:y]) for x, y in zip(starts, ends, strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(list(b.doc_ids), "Int64"), "start": b.start + starts, "n_tokens": ends - starts, "ids_crc32": np.array(crc, np.int64)})
+                ids, bounds, names = _read_block(b)
+                wide = ids.astype("<u4")
+                crc = [zlib.crc32(wide[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+                yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "start": b.start + np.array(bounds[:-1]), "n_tokens": np.diff(bounds), "ids_crc32": np.array(crc, np.int64)})
 
     return read_blocks(spark, path).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id`` and its ids, by ``select`` on the boundaries."""
+    """``doc_id`` and its ids."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for b in frame.itertuples():
-                ids, ef = np.frombuffer(b.ids, np.dtype(f"<u{b.bits // 8}")), EliasFano(b.n, b.low_bits, b.low, b.high, b.samples)
-                bounds = [0, *(ef.select(i) for i in range(b.n))]
-                yield pd.DataFrame({"doc_id": pd.array(list(b.doc_ids), "Int64"), "ids": [ids[x:y].astype(np.int64) for x, y in zip(bounds, bounds[1:], strict=False)]})
+                ids, bounds, names = _read_block(b)
+                yield pd.DataFrame({"doc_id": pd.array(names, "Int64"), "ids": [ids[x:y].astype(np.int64) for x, y in zip(bounds, bounds[1:], strict=False)]})
 
     return read_blocks(spark, path).mapInPandas(run, "doc_id long, ids array<long>")
 
