@@ -1,10 +1,11 @@
 """Token counts by trie-shared dynamic programming.
 
 A text's pre-tokens are its words, each with the word mark of the vocabulary before it. The tokens of a pre-token are the best segmentation into vocabulary pieces under a
-unigram model: piece scores come from the order of the vocabulary file by Zipf's law, and a character without a piece costs one unknown token for each of its bytes.
+unigram model. The scores are those of the file if it holds a unigram model; the given public files hold none, and tokenizers aren't trained here, so for the other kinds the file's order stands for frequency, by Zipf's law. A character
+without a piece costs one unknown token for each of its bytes.
 In a task, the distinct pre-tokens of a bounded batch are put in a trie: a node is a shared prefix, and holds the best forward score and the
 tokens of its best path, computed once from the nodes above it. Sorted pre-tokens visit the trie in depth-first order, so only the current path is in memory; a pre-token's
-terminal node stores its count. Nothing is shuffled.
+terminal node stores its count. From each end the pieces are looked up from the shortest on, and the walk stops where no piece ends in these characters. Nothing is shuffled.
 
 Defined results: a null or empty text has 0 words and 0 tokens; equal scores prefer fewer tokens; repeated rows each get their row; an empty table
 gives an empty result; further columns don't matter.
@@ -34,19 +35,24 @@ def piece_scores(path: str | None = None) -> dict[str, float]:
 
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    names = [model.id_to_piece(i) for i in ids]
+    scores = [model.get_score(i) for i in ids]
+    if abs(sum(map(math.exp, scores)) - 1) < 0.2:  # log probabilities: a unigram model
+        return dict(zip(names, scores, strict=True))
     total = math.log(sum(1 / r for r in range(1, len(names) + 1)))
     return {p: -math.log(r) - total for r, p in enumerate(names, 1)}
 
 
 class Trie:
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: Every ending of a piece; the piece's score, or None if it is no piece itself.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))}
+        self.endings.update(scores)
 
     def counts(self, words: list[str]) -> dict[str, int]:
         """Terminal counts of distinct pre-tokens."""
-        known, longest, out = self.scores, self.longest, {}
+        endings, out = self.endings, {}
         best, used, before = [0.0], [0], ""  # of each node on the path: forward score, tokens
         for word in sorted(words):
             depth = 0
@@ -57,12 +63,15 @@ class Trie:
             for end in range(depth + 1, len(word) + 1):
                 n = len(word[end - 1].encode("utf-8", "replace"))
                 top, least = best[end - 1] + UNKNOWN * n, used[end - 1] + n
-                for start in range(max(0, end - longest), end):
-                    score = known.get(word[start:end])
-                    if score is not None:
-                        score += best[start]
-                        if score > top or score == top and used[start] + 1 < least:
-                            top, least = score, used[start] + 1
+                for start in range(end - 1, -1, -1):
+                    score = endings.get(word[start:end], 1.0)
+                    if score is None:
+                        continue
+                    if score > 0:  # no piece ends so
+                        break
+                    score += best[start]
+                    if score > top or score == top and used[start] + 1 < least:
+                        top, least = score, used[start] + 1
                 best.append(top)
                 used.append(least)
             out[word] = used[-1]
