@@ -1,6 +1,6 @@
 """Quality rules: a short-circuit cascade ordered by rejection per cost.
 
-Each rule is a Boolean column over the text. On a bounded sample the cost (seconds over the sample) and the selectivity (share rejected) of
+Each rule is a Boolean column over the text. On a bounded sample from all partitions the cost (seconds over the sample, without the split into words that they share) and the selectivity (share rejected) of
 each rule are measured; the cascade then tests the rules by falling rejection per cost, and CASE WHEN stops at the first that rejects.
 The order changes how much work a row takes, never which rows are rejected: a document is kept if no rule rejects it.
 Everything is built-in columns: no Python runs on the executors.
@@ -22,7 +22,7 @@ from defectflow.llm.common import let, words
 
 MIN_WORDS = 50
 SAMPLE_ROWS = 200
-#: Longer texts aren't sampled, so that the sample has a bounded size.
+#: Of longer texts the sample has the beginning, so that it has a bounded size.
 SAMPLE_CHARS = 50_000
 
 
@@ -110,22 +110,26 @@ class Estimate:
 
 
 def estimate_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on at most ``sample_rows`` rows from the first partitions, best rule first.
+    """Cost and selectivity of each rule on about ``sample_rows`` random rows, best rule first, ties by name.
 
     Each rule runs over the sample twice, the second time counts: the first compiles."""
-    rows = docs.select(F.col("text").alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(sample_rows)
+    n_rows = docs.count()
+    share = min(1.0, sample_rows / max(n_rows, 1))
+    rows = docs.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).sample(share, seed=7).take(2 * sample_rows)
     if not rows:
         return [Estimate(r, 0.0, 0.0) for r in rules]
     sample = docs.sparkSession.createDataFrame(rows, "text string").coalesce(1)
-    found = []
-    for rule in rules:
-        verdict = _verdict(rule)
+
+    def measured(verdict: Column) -> tuple[float, int]:
         counted = sample.agg(F.count_if(verdict).alias("n"))
         counted.first()
         began = time.perf_counter()
         n = counted.first()["n"]
-        found.append(Estimate(rule, time.perf_counter() - began, n / len(rows)))
-    return sorted(found, key=lambda e: -e.rank)
+        return time.perf_counter() - began, n
+
+    split, _ = measured(let(words(F.col("text")), lambda w: F.size(w) < 0))
+    found = [(rule, *measured(_verdict(rule))) for rule in rules]
+    return sorted((Estimate(rule, max(seconds - split, 0.0), n / len(rows)) for rule, seconds, n in found), key=lambda e: (-e.rank, e.rule.name))
 
 
 def _verdict(rule: Rule) -> Column:
@@ -141,17 +145,23 @@ def cascade(statistic: Statistic, ordered: Sequence[Rule]) -> Column:
     return out
 
 
-def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents that no rule rejects, with their own columns. A statistic is computed only for rows that reach its rule."""
-    ordered = [e.rule for e in estimate_rules(docs, rules)]
+def _ordered(docs: DataFrame, rules: Sequence[Rule], order: Sequence[str] | None) -> list[Rule]:
+    return [e.rule for e in estimate_rules(docs, rules)] if order is None else sorted(rules, key=lambda r: list(order).index(r.name))
+
+
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, order: Sequence[str] | None = None) -> DataFrame:
+    """The documents that no rule rejects, with their own columns. A statistic is computed only for rows that reach its rule. ``order``: names of the rules, instead of the sample's."""
+    ordered = _ordered(docs, rules, order)
     text = F.col("text")
     # let(): a filter may be moved below a column of words, which would then be split anew for each element.
     return docs.where(let(words(text), lambda w: cascade(statistics_of(text, w), ordered)).isNull())
 
 
-def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``doc_id``, every statistic, and ``rejected_by``: the name of the cascade's rule that rejects, or null for a kept document."""
-    ordered = [e.rule for e in estimate_rules(docs, rules)]
+def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, order: Sequence[str] | None = None) -> DataFrame:
+    """``doc_id``, every statistic, and ``rejected_by``: the name of the cascade's rule that rejects, or null for a kept document.
+
+    Which of several rejecting rules is named depends on the measured order; with a stored ``order`` (as of ``estimate_rules``) reruns agree in that too."""
+    ordered = _ordered(docs, rules, order)
     text, w = F.col("text"), F.col("w")
     counted = docs.select("doc_id", "text", words(text).alias("w")).select("doc_id", *(f(text, w).alias(name) for name, f in STATISTICS.items()))
     return counted.withColumn("rejected_by", cascade(F.col, ordered))
