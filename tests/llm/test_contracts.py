@@ -49,6 +49,11 @@ def test_quality_order_does_not_change_results(spark):
     kept = {tuple(r) for r in quality.keep_good(docs).select("doc_id").collect()}
     again = {tuple(r) for r in quality.quality_report(docs, quality.RULES[::-1]).where("rejected_by is null").select("doc_id").collect()}
     assert kept == again == {(20,)}
+    names = [r.name for r in quality.RULES]
+    for order in (names, names[::-1]):
+        first = {r["doc_id"]: r["rejected_by"] for r in quality.quality_report(docs, order=order).where("doc_id in (2, 20)").collect()}
+        assert first == {2: "few_words", 20: None}
+    assert quality.keep_good(docs, order=names[::-1]).count() == 1
     ranks = [e.rank for e in quality.estimate_rules(docs)]
     assert ranks == sorted(ranks, reverse=True)
 

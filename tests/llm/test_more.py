@@ -1,6 +1,7 @@
 """Operators without a stated result: brute force, round trips and planted cases."""
 
 import datetime
+import functools
 import math
 import pickle
 import re
@@ -277,7 +278,7 @@ def test_leaks_of_nothing(spark, sf_dir):
     assert decontamination.find_leaks(plain(spark, EDGES), bench.limit(0)).count() == 0
 
 
-def test_token_counts(spark):
+def test_token_counts(spark, sf_dir):
     scores = token_counts.piece_scores()
 
     def brute(word):
@@ -291,8 +292,9 @@ def test_token_counts(spark):
         return -best[-1][1]
 
     rows = EDGES + [(30, "unbelievable 漢字 tokens token tokenization ☃ the theory", "a")]
-    rows = [r for r in rows if r[0] not in (5, 8)]
+    rows += documents(sf_dir, spark)[:40]
     got = sorted((r["doc_id"] or -1, r["n_words"], r["n_tokens"]) for r in token_counts.count_tokens(with_clashes(spark, rows)).collect())
+    brute = functools.cache(brute)
     assert got == sorted((d or -1, len(split(t)), sum(map(brute, split(t)))) for d, t, _ in rows)
     assert math.isclose(sum(math.exp(s) for s in scores.values()), 1)
 
@@ -301,6 +303,18 @@ def luhn(digits):
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def test_segmentation_equals_the_library(spark, sf_dir):
+    """A unigram tokenizer of the same pieces and scores, built from the list, splits words into as many tokens."""
+    from tokenizers import Tokenizer, models
+
+    scores = token_counts.piece_scores()
+    library = Tokenizer(models.Unigram([("<unk>", -100.0), *scores.items()], 0, False))
+    known = {c for p in scores if len(p) == 1 for c in p}
+    words = sorted({token_counts.MARK + w for _, t, _ in documents(sf_dir, spark) for w in split(t) if known.issuperset(token_counts.MARK + w)})
+    got = token_counts.Trie(scores).counts(words)
+    assert len(words) > 1000 and got == {w: len(library.encode(w).tokens) for w in words}
+
+
 def mod97(text):
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
