@@ -106,10 +106,10 @@ def else_chain_edges(nodes: DataFrame, cdg: DataFrame) -> DataFrame:
         kind, line = {r[0]: r[1] for r in rows}, {r[0]: r[2] or "" for r in rows}
         added = set()
         for head in (v for v in kind if kind[v] == "if_statement" and "else" not in line[v]):
-            chain, open_levels = {head}, [[iter(sorted(kids[head])), False, None]]
+            chain, open_levels = {head}, [[iter(sorted(kids[head])), False]]
             while open_levels:
                 level = open_levels[-1]
-                kid, level[2] = (level[2], None) if level[2] is not None else (next(level[0], None), None)
+                kid = next(level[0], None)
                 if kid is None:
                     open_levels.pop()
                     continue
@@ -123,7 +123,7 @@ def else_chain_edges(nodes: DataFrame, cdg: DataFrame) -> DataFrame:
                 if further or kind.get(kid) == "else":
                     chain.add(kid)
                 if further:
-                    open_levels.append([iter(sorted(kids[kid])), False, None])
+                    open_levels.append([iter(sorted(kids[kid])), False])
         yield from ((a, b, "CDG") for a, b in sorted(added - set(edges)))
 
     first = nodes.select(*FILE, "node_id", "node_type", F.get("source_lines", F.lit(0)).alias("line"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +118,17 @@ def k2_clean_knowledge(spark, d):
     return retrieval.clean_knowledge(commits, slices).select("hash", F.length("slicing").alias("n"), F.array_join("diff", "|").alias("diff"), "desc")
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """A small encoder: length, blanks and letters e of a text."""
+    return np.array([[len(t), t.count(" "), t.count("e")] for t in texts], np.float32)
+
+
+def k3_embed(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    out = retrieval.embed(docs, "text", _letters)
+    return out.select("doc_id", *(F.get("embedding", F.lit(i)).cast("int").alias(c) for i, c in enumerate(("n", "blanks", "e"))))
+
+
 def a3_node_marks(spark, d):
     n = _nodes(spark, d)
     marks = dataset.commit_node_marks(dataset.reindex_nodes(n), n.where("changed"), n.where("changed and node_id % 2 = 0"))
@@ -191,7 +203,7 @@ def p3_group_by_commit(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        g1_def_use_sets, g2_cdg_nodes, g8_induced_subgraph, g9_node_link, c1_seed_nodes, c2_buggy_nodes, c6_slice_lines, c7_render_slice, c8_mark_changed_rows, c9_graph_dataset, k1_buggy_knowledge, k2_clean_knowledge,
+        g1_def_use_sets, g2_cdg_nodes, g8_induced_subgraph, g9_node_link, c1_seed_nodes, c2_buggy_nodes, c6_slice_lines, c7_render_slice, c8_mark_changed_rows, c9_graph_dataset, k1_buggy_knowledge, k2_clean_knowledge, k3_embed,
         a3_node_marks, a4_join_changes, a5_diff_tokens, a6_token_ids, a7_mean_pool, a8_neighbor_sum, a10_change_features, p1_leave_one_out_all, p2_project_of_commit, p3_group_by_commit,
     )
 }
@@ -255,6 +267,8 @@ df AS (SELECT commit_hash, file_path, code, min(line_no) AS pl FROM ch WHERE cha
 SELECT commit_hash AS hash, file_path, coalesce(max(slicing), '') AS slicing, string_agg(code, '|' ORDER BY pl) AS diff, '' AS desc FROM df LEFT JOIN t ON f = file_path GROUP BY commit_hash, file_path""",
     "k2_clean_knowledge": """WITH f AS (SELECT o_orderkey // 4 AS hash, arg_min(o_custkey, o_orderkey % 4) AS c, arg_min(o_orderstatus || '|' || o_orderpriority, o_orderkey % 4) AS diff FROM orders GROUP BY 1)
 SELECT hash, (c % 4 * 7000)::INT AS n, diff, 'This commit does not introduce any bugs or issues.' AS desc FROM f WHERE hash % 3 > 0 AND c % 4 IN (1, 2)""",
+    "k3_embed": r"""SELECT doc_id, length(t)::INT AS n, (length(t) - length(replace(t, ' ', '')))::INT AS blanks, (length(t) - length(replace(t, 'e', '')))::INT AS e
+FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS t FROM documents)""",
     "a3_node_marks": f"""WITH {_PLAIN}{_IX} SELECT commit_hash, coalesce(string_agg(node_ix::VARCHAR, ',' ORDER BY node_ix) FILTER (changed), '') AS diff_idx,
   coalesce(string_agg(node_ix::VARCHAR, ',' ORDER BY node_ix) FILTER (changed AND id % 2 = 0), '') AS buggy_idx FROM ix GROUP BY commit_hash""",
     "a4_join_changes": "SELECT o_orderkey AS commit_hash, coalesce(n, -1) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",

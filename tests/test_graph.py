@@ -1,6 +1,7 @@
 """Graph derivation, assembly, splits, readers and writers on small tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,48 @@ def test_else_chain(spark):
     assert pairs(graph.else_chain_edges(nodes, cdg)) == {(0, 4), (0, 5), (4, 5)}
 
 
+def chain_edges(kinds, lines, edges):
+    """The rule by recursion: a chain collects its conditions; later branches depend on all of them."""
+    kids = {v: {b for a, b in edges if a == v} for v in kinds}
+    added = set()
+
+    def visit(v, chain):
+        reached_else = False
+        for kid in sorted(kids[v]):
+            condition = kinds[kid] == "if_statement" and "else" in lines[kid]
+            reached_else = reached_else or kinds[kid] == "else"
+            if condition or reached_else:
+                for c in chain - {kid}:
+                    added.add((c, kid))
+                    kids[c].add(kid)
+            if condition or kinds[kid] == "else":
+                chain.add(kid)
+            if condition:
+                visit(kid, chain)
+
+    for head in sorted(kinds):
+        if kinds[head] == "if_statement" and "else" not in lines[head]:
+            visit(head, {head})
+    return added - set(edges)
+
+
+def test_else_chains_of_random_graphs(spark):
+    rng = random.Random(4)
+    rows, links, want = [], [], set()
+    for g in range(300):
+        n = rng.randrange(2, 14)
+        kinds = {i: rng.choice(["if_statement", "if_statement", "else", "expression_statement"]) for i in range(n)}
+        lines = {i: ("} else if (x)" if rng.random() < 0.6 else "if (x)") if kinds[i] == "if_statement" else "x;" for i in range(n)}
+        edges = {(rng.randrange(i), i) for i in range(1, n)}
+        name = ("p", "c", f"{g}.java")
+        rows += [(*name, i, kinds[i], [lines[i]]) for i in range(n)]
+        links += [(*name, a, b, "CDG") for a, b in edges]
+        want |= {(name[2], a, b) for a, b in chain_edges(kinds, lines, edges)}
+    nodes = spark.createDataFrame(rows, f"{HEAD}, node_id int, node_type string, source_lines array<string>")
+    got = {(r["file_path"], r["src"], r["dst"]) for r in graph.else_chain_edges(nodes, spark.createDataFrame(links, graph.EDGES)).collect()}
+    assert got == want and len(want) > 100
+
+
 def test_identifiers(spark):
     nodes = spark.createDataFrame([(*KEY, 0, "expression_statement"), (*KEY, 1, "for_statement"), (*KEY, 2, "return_statement")], f"{HEAD}, node_id int, node_type string")
     rows = [

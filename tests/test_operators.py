@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from defectflow import answers, diffs, labels, retrieval, slicing, text
 from defectflow.prefix import prefix_sum
+from defectflow.shared import look_up, materialize, shared_dir
 
 KEY = ("p", "c", "F.java")
 
@@ -83,6 +84,44 @@ def test_prefix_sum(spark):
         assert got[i] == total
 
 
+@pytest.mark.parametrize("buckets", [1, 5, 40])
+def test_prefix_sum_of_groups(spark, buckets):
+    """Groups that span many ranges, one row, null groups and null values in the order."""
+    rows = [(None if i % 50 == 0 else i % 3 if i < 900 else i, None if i % 11 == 0 else (i * 7) % 100, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g int, o int, i int").withColumn("v", F.col("i") % 7)
+    got = {r["i"]: (r["s"], r["n"]) for r in prefix_sum(df, [F.col("o").desc_nulls_last(), F.col("i")], {"s": F.col("v"), "n": F.lit(1)}, ["g"], buckets).collect()}
+    totals = {}
+    for g, _, i in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2])):
+        s, n = totals.get(g, (0, 0))
+        totals[g] = (s + i % 7, n + 1)
+        assert got[i] == totals[g]
+
+
+def test_look_up_spreads_heavy_keys(spark):
+    """A third of all rows have one key, which a broadcast serves; all others are joined by a shuffle; keys without a row in the table go."""
+    rows = materialize(spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id"), "rows", n=F.count(F.lit(1)))
+    table = materialize(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m")).where("k < 2000"), "table")
+    out = look_up(rows, table, "k", rows.totals["n"])
+    assert out.columns == ["k", "id", "m"]
+    got = {(r["id"], r["k"], r["m"]) for r in out.collect()}
+    assert got == {(i, -1, 2999 - 2999 % 3) if i % 3 == 0 else (i, i, i) for i in range(3000) if i % 3 == 0 or i < 2000}
+
+
+def test_shared_dir_needs_a_setting_on_a_cluster(spark):
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda *a: None)}), type("S", (), {"master": "spark://host"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session, "x")
+
+
+def test_diff_with_repeated_paths_and_many_hunks(spark):
+    text = "diff --git a/F.java b/F.java\n+old\ndiff --git a/r.md b/r.md\n+x\ndiff --git a/F.java b/F.java\n@@ -5,1 +7,2 @@\n+a\n b\n-c\n@@ foo @@\n+d\n@@ -50 +60 @@\n-e\n+f"
+    frame = spark.createDataFrame([("p", "c", text), ("p", "d", ""), ("p", "e", None)], "project string, commit_hash string, diff_text string")
+    got = {(r["commit_hash"], r["change_type"], r["line_no"], r["code"]) for r in diffs.changed_lines(diffs.split_diff(frame)).collect()}
+    assert got == {("c", "added", 7, "+a"), ("c", "deleted", 6, "-c"), ("c", "added", 9, "+d"), ("c", "deleted", 50, "-e"), ("c", "added", 60, "+f")}
+
+
 def test_knn(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(50, 4))
