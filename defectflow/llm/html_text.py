@@ -279,9 +279,9 @@ def extract_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES,
     counts = materialize(value_counts(pages), "values")
     tree = importances(counts)
     content = tree.where((F.col("kind") == 0) & (F.col("importance") < low) & (F.col("n") >= min_pages)).select("host", "path")
-    poor = content.join(tree.where((F.col("kind") == 1) & (F.col("importance") >= low)).select("host", "path"), ["host", "path"], "left_anti")
+    poor = content.join(tree.where((F.col("kind") == 1) & (F.col("importance") >= low)).select("host", "path").hint("merge"), ["host", "path"], "left_anti")
     repeated = counts.where((F.col("kind") == 0) & (F.col("n") > 1)).select("host", "path", "value")
-    removed = materialize(repeated.join(poor, ["host", "path"]), "removed")
+    removed = materialize(repeated.join(poor.hint("merge"), ["host", "path"]), "removed")
     mine = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").alias("html"))
     schema = "page_id long, url string, text string, n_chars long"
 
