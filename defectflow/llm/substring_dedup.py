@@ -17,6 +17,7 @@ the others have (its reference is another copy); a null ``doc_id`` is kept as it
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,6 +31,10 @@ from defectflow.llm.common import look_up, materialize, pieces, release, window_
 
 WINDOW = 35
 ANCHOR = 16
+#: A place is one number: the text (low bits of its hash) and the word. Texts that share these bits only share a name.
+PLACE_BITS, TEXT_BITS = 29, 34
+#: Phrases are counted and sent back in so many parts by hash, one after the other: only one part's shuffles are on disk.
+PARTS = 3
 
 
 class Batch:
@@ -92,7 +97,10 @@ def _find_phrases(window: int, k: int):
             np.add.at(near, np.clip(at[hit] + 1, 0, len(phrases)), -1)
             chosen = np.flatnonzero((np.cumsum(near)[:-1] > 0) & inside)
             owner = batch.owner[chosen]
-            yield _counted(owner, phrases[chosen], chosen - starts[owner], part["key"].to_numpy(), "phrase")
+            found = _counted(owner, phrases[chosen], chosen - starts[owner], part["key"].to_numpy(), "phrase")
+            # In the texts' order, so that the columns compress.
+            found = found.assign(twice=found["first"] < found["last"], text=pd.factorize(found["key"])[0]).sort_values(["text", "first"])
+            yield found[["phrase", "key", "first", "twice"]]
 
     return run
 
@@ -108,15 +116,16 @@ def elsewhere(phrases: np.ndarray) -> np.ndarray:
 
 
 def factor(phrases: np.ndarray, index: np.ndarray, window: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy parse of one document. ``index``: rows (phrase, reference, place). Starts, lengths, references and their places of the factors."""
+    """Greedy parse of the document of text ``key``. ``index``: rows (phrase, place elsewhere). Starts, lengths, references and their places of the factors."""
     index = index[np.argsort(index[:, 0], kind="stable")]
     row = np.searchsorted(index[:, 0], phrases)
     row[row == len(index)] = 0
     found, here = index[row, 0] == phrases, np.arange(len(phrases))
     own = elsewhere(phrases)
     # Copies of the document refer to each other at the same place.
-    inside = (own != here) | (index[row, 1] == key)
-    ref, place = np.where(inside, key, index[row, 1]), np.where(inside, own, index[row, 2])
+    listed, at = index[row, 1] >> PLACE_BITS, index[row, 1] & ((1 << PLACE_BITS) - 1)
+    inside = (own != here) | (listed == key)
+    ref, place = np.where(inside, key, listed), np.where(inside, own, at)
     grows = np.r_[False, found[1:] & found[:-1] & (ref[1:] == ref[:-1]) & (place[1:] == place[:-1] + 1)][: len(found)]
     starts = np.flatnonzero(found & ~grows)
     lasts = np.flatnonzero(found & ~np.r_[grows[1:], False][: len(found)])
@@ -132,7 +141,7 @@ def _parse(window: int):
                 kept, factors = tokens, ([], [], [], [])
                 if index is not None and len(index) and len(tokens) >= window:
                     phrases = window_hashes(word_hashes(tokens), window).view(np.int64)
-                    factors = factor(phrases, np.asarray(index, np.int64).reshape(-1, 3), window, key)
+                    factors = factor(phrases, np.asarray(index, np.int64).reshape(-1, 2), window, key & ((1 << TEXT_BITS) - 1))
                     edge = np.zeros(len(tokens) + 1, np.int64)
                     np.add.at(edge, factors[0], 1)
                     np.add.at(edge, factors[0] + factors[1], -1)
@@ -147,7 +156,7 @@ def _parse(window: int):
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """A row for each row of ``docs`` (``doc_id`` integer, ``text``): word counts, the kept text and its digest, and the factors (``refs``: hashes of the reference texts)."""
+    """A row for each row of ``docs`` (``doc_id`` integer, ``text``): word counts, the kept text and its digest, and the factors (``refs``: the low ``TEXT_BITS`` bits of the reference texts' hashes)."""
     anchor = min(anchor, window)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
@@ -160,18 +169,21 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     anchors = materialize(mine.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
     release(found)
 
-    phrases = materialize(texts.join(anchors, "key").mapInPandas(_find_phrases(window, anchor), "phrase long, key long, first int, last int"), "phrases", n=n)
+    phrases = materialize(texts.join(anchors, "key").mapInPandas(_find_phrases(window, anchor), "phrase long, key long, first int, twice boolean"), "phrases", n=n)
     release(anchors)
-    low, high = (F.min("key").alias("low"), F.min_by("first", "key").alias("low_at")), (F.max("key").alias("high"), F.max_by("last", "key").alias("high_at"))
-    known = phrases.groupBy("phrase").agg(n.alias("n"), *low, *high, F.max(F.col("first") < F.col("last")).alias("twice")).where("n > 1 or twice").drop("twice")
-    own = F.col("low") == F.col("key")
-    entry = F.array("phrase", F.when(own, F.col("high")).otherwise(F.col("low")), F.when(own, F.col("high_at")).otherwise(F.col("low_at")).cast("long"))
-    sent = look_up(phrases.select("phrase", "key"), known, "phrase", phrases.totals.get("n") or 0)
-    index = materialize(sent.select("key", entry.alias("entry")).groupBy("key").agg(F.flatten(F.collect_set("entry")).alias("index")), "phrase-index")
+    name = lambda key: F.col(key).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
+    parts = []
+    for part in range(PARTS):
+        mine = phrases.where(F.pmod("phrase", F.lit(PARTS)) == part).select("phrase", (F.shiftleft(name("key"), PLACE_BITS) + F.col("first")).alias("place"), "twice")
+        known = mine.groupBy("phrase").agg(n.alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.max("twice").alias("twice")).where("n > 1 or twice").drop("twice")
+        sent = look_up(mine.select("phrase", "place"), known, "phrase", phrases.totals.get("n") or 0).withColumn("name", F.shiftright("place", PLACE_BITS))
+        entry = F.array("phrase", F.when(F.shiftright("low", PLACE_BITS) == F.col("name"), F.col("high")).otherwise(F.col("low")))
+        parts.append(materialize(sent.select("name", entry.alias("entry")).groupBy("name").agg(F.flatten(F.collect_set("entry")).alias("index")), "phrase-index"))
     release(phrases)
+    index = functools.reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.flatten(F.collect_list("index")).alias("index"))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, starts array<long>, lengths array<long>, refs array<long>, ref_starts array<long>"
-    return keyed.join(index, "key", "left").select("doc_id", "text", "key", "index").mapInPandas(_parse(window), schema)
+    return keyed.withColumn("name", name("key")).join(index, "name", "left").select("doc_id", "text", "key", "index").mapInPandas(_parse(window), schema)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
