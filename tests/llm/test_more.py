@@ -12,7 +12,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from defectflow.llm import decontamination, html_text, licenses, pii, token_counts, token_files
 from tests.llm.helpers import CLASH, EDGES, documents, plain, split, with_clashes
 
@@ -407,18 +406,6 @@ def test_feistel_is_a_permutation(spark):
     assert n.distinct().count() == 281 * 26 and n.agg(F.min("v"), F.max("v")).first()[:] == (0, 281 * 26 - 1)
 
 
-def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at, seen = docs, []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = token_files and corpus_pipeline.common.materialize(stage(spark, at, sf_dir), name.replace(" ", "-"))
-        assert at.columns == docs.columns
-        seen.append(at.count())
-    assert seen[0] >= seen[1] >= seen[2] > 0
-    final = corpus_pipeline.run(spark, sf_dir)
-    assert final.count() == seen[3] and final.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-
-
 def test_pieces_encode_like_whole_texts():
     encoder = token_files.Encoder(token_files.tokenizer_text(), cache=4)
     odd = ["it's, isn't! 's 'll", "a,b.c;d:e?f", "x-, y-.z _, __;", " ,lead  two\t\ttabs\n\nlines \n end ", "été, naïve. 日本語、 ٣٤, x²; ½.", " nb　wide, \u0085n", "é, ä.b", "", " ", "12,345.67 v1.2: ok"]
