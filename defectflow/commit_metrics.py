@@ -127,7 +127,7 @@ def p_opt(preds: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
 def commit_report(preds: DataFrame, group_cols: Sequence[str] = (), t: float = 0.5) -> DataFrame:
     """F1, AUC, recall at 20 % effort, effort at 20 % recall and POpt, a row for each group. The predictions are computed once and written down."""
     keys = list(group_cols)
-    once = materialize(preds.select(*keys, "commit_hash", "prob", "real_label", "loc"), "predictions")
+    once = materialize(preds.select(*keys, "commit_hash", "prob", "real_label", "loc"), "predictions", free=False)
     figures = _curve_figures(once, keys).select(*keys, "recall_at_effort", "effort_at_recall", _p_opt().alias("p_opt"))
     out = confusion(threshold(once, t), keys).select(*keys, "f1")
     for r in (roc_auc(once, keys), figures):

@@ -21,7 +21,7 @@ def prefix_sum(df: DataFrame, order: Sequence[Column], sums: dict[str, Column],
     values = {f"__add_{k}": v for k, v in sums.items()}
     # The range's number must not change between the two uses below, so it is written down with the rows.
     dealt = df.withColumns(values | dict(zip(group, map(F.col, keys), strict=True))).repartitionByRange(n, *group, *order).withColumn("__bucket", F.spark_partition_id())
-    dealt = materialize(dealt, "ranges")
+    dealt = materialize(dealt, "ranges", free=False)
     w = W.partitionBy("__bucket", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     inside = dealt.withColumns({k: F.sum(f"__add_{k}").over(w) for k in sums})
     totals = dealt.groupBy("__bucket", *group).agg(*(F.sum(v).alias(v) for v in values))

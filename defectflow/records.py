@@ -24,10 +24,10 @@ def graph_dataset(lines: DataFrame, nodes: DataFrame, edges: DataFrame, index: D
     ``lines``: changed lines; ``nodes``, ``edges``: the files' statement graphs; ``index``: commit key and ``files``, a map from file to its buggy lines. The graph is the part of the statement graph
     in the slices around the added lines, with ``+`` before those lines; the label is 1 for files in the index. A file without added lines, statements or slice gives an empty record
     (no path, no graph, no nodes, label 0)."""
-    lines, nodes, edges = materialize(lines, "lines"), materialize(nodes, "nodes"), materialize(edges, "edges")
+    lines, nodes, edges = materialize(lines, "lines", free=False), materialize(nodes, "nodes", free=False), materialize(edges, "edges", free=False)
     added = lines.where("change_type = 'added'")
-    seeds = materialize(slicing.seed_nodes(nodes, added), "seeds")
-    kept = materialize(slicing.slice_nodes(seeds, nodes, edges), "kept")
+    seeds = materialize(slicing.seed_nodes(nodes, added), "seeds", free=False)
+    kept = materialize(slicing.slice_nodes(seeds, nodes, edges), "kept", free=False)
     graphs = graph.to_node_link(*slicing.induced_subgraph(slicing.mark_changed_rows(nodes, added), edges, kept))
     numbers = F.explode("files").alias("file_path", "buggy_lines")
     wrong = index.select("project", "commit_hash", numbers).select(*FILE, F.explode("buggy_lines").alias("line_no"))

@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, **totals: Column) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = True, **totals: Column) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: the lineage ends there, and a lost executor costs only its own tasks.
 
-    ``totals`` are aggregates of the same pass (``out.totals``). The collection afterwards lets Spark delete the shuffle files that only the finished job needed."""
+    ``totals`` are aggregates of the same pass (``out.totals``). ``free``: a garbage collection afterwards, which lets Spark delete the shuffle files that only the finished job needed."""
     spark = df.sparkSession
     path, schema = shared_dir(spark, name), df.schema
     seen = Observation() if totals else None
@@ -44,7 +44,8 @@ def materialize(df: DataFrame, name: str, **totals: Column) -> DataFrame:
         df = df.observe(seen, *(c.alias(k) for k, c in totals.items()))
     df.write.parquet(path)
     del df
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.folder, out.totals = path, dict(seen.get) if seen else {}
     return out

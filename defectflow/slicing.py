@@ -60,9 +60,9 @@ def backward_slice(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, ddg_hop
 
 def slice_nodes(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, ddg_hops: int = 2, cdg_hops: int = 1) -> DataFrame:
     """Both slices together. Edges, nodes and seeds are computed once and written down, as each hop reads them."""
-    edges = materialize(edges.select(*FILE, "src", "dst", "edge_type"), "edges")
-    nodes = materialize(nodes.select(*FILE, "node_id", "node_type"), "nodes")
-    seeds = materialize(seeds.select(*FILE, "node_id").distinct(), "seeds")
+    edges = materialize(edges.select(*FILE, "src", "dst", "edge_type"), "edges", free=False)
+    nodes = materialize(nodes.select(*FILE, "node_id", "node_type"), "nodes", free=False)
+    seeds = materialize(seeds.select(*FILE, "node_id").distinct(), "seeds", free=False)
     return forward_slice(seeds, edges, ddg_hops, cdg_hops).unionByName(backward_slice(seeds, nodes, edges, ddg_hops, cdg_hops)).distinct()
 
 
