@@ -180,7 +180,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         entry = F.array("phrase", F.when(F.shiftright("low", PLACE_BITS) == F.col("name"), F.col("high")).otherwise(F.col("low")))
         parts.append(materialize(sent.select("name", entry.alias("entry")).groupBy("name").agg(F.flatten(F.collect_set("entry")).alias("index")), "phrase-index"))
     release(phrases)
-    index = functools.reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.flatten(F.collect_list("index")).alias("index"))
+    # Written down, so that the join below is one of two plain shuffles, whose hot texts (copies) Spark deals out anew.
+    index = materialize(functools.reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.flatten(F.collect_list("index")).alias("index")), "index")
+    release(*parts)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, starts array<long>, lengths array<long>, refs array<long>, ref_starts array<long>"
     return keyed.withColumn("name", name("key")).join(index, "name", "left").select("doc_id", "text", "key", "index").mapInPandas(_parse(window), schema)
