@@ -1,4 +1,6 @@
 import os
+import shutil
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -8,15 +10,17 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.mkdtemp(prefix="defectflow-tests-")
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+        .config("spark.checkpoint.dir", shared).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
