@@ -60,8 +60,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     order = [F.col("source").isNull(), F.col("source")]
     placed = prefix_sum(named, order, {"place": F.lit(1).cast("long")}).withColumn("place", F.col("place") - 1)
     weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("place", F.lit(len(weights))).cast("int"))
-    table = materialize(placed.withColumns({"weight": weight, "cap": F.col("source_size") * F.lit(float(most))}), "sources", size=F.sum("source_size"))
-    total, level = share * (table.totals.get("size") or 0), 0.0
+    table = materialize(placed.withColumns({"weight": weight, "cap": F.col("source_size") * F.lit(float(most))}), "sources")
+    total, level = share * (table.agg(F.sum("source_size")).first()[0] or 0), 0.0
     while True:
         stopped = F.col("cap") <= F.lit(level) * F.col("weight")
         held, free = table.agg(F.coalesce(F.sum(F.when(stopped, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~stopped, F.col("weight"))), F.lit(0.0))).first()
@@ -101,8 +101,8 @@ def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     blocks = F.ceil(F.col("source_size") / block_words)
     wanted = targets.where("source_size > 0").select("place", blocks.alias("blocks"), F.round(F.col("target") / F.col("source_size") * blocks).cast("long").alias("slots")).where("slots > 0")
     first = prefix_sum(wanted, [F.col("place")], {"through": F.col("slots")})
-    first = materialize(first.select("place", "blocks", "slots", (F.col("through") - F.col("slots")).alias("first")), "slots", n=F.sum("slots"))
-    total = first.totals.get("n") or 0
+    first = materialize(first.select("place", "blocks", "slots", (F.col("through") - F.col("slots")).alias("first")), "slots")
+    total = first.agg(F.sum("slots")).first()[0] or 0
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(RUN_SLOTS).cast("long")))
     runs = first.withColumn("begin", begin).withColumn("end", F.least("slots", F.col("begin") + RUN_SLOTS))
     tasks = max(1, min(-(-total // RUN_SLOTS), MOST_TASKS))
