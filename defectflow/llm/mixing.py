@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from defectflow.llm.common import let, look_up, materialize, mix, n_words, words

@@ -29,7 +29,7 @@ from defectflow.llm.common import look_up, materialize, release, word_bytes
 
 SHINGLE = 4
 MAX_BITS = 4
-TILE = 128
+TILE = 512
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -149,7 +149,8 @@ def links(fps: DataFrame, tile: int = TILE, max_bits: int = MAX_BITS) -> DataFra
     tiles = F.ceil(F.col("n") / tile).cast("int")
     placed = postings.join(met.hint("merge"), "posting").select("posting", "fp", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("tile"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = placed.select("posting", "fp", "tile", other.alias("other")).select("posting", "fp", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile")
+    # A fingerprint goes to a cell for each tile of its posting: the tiles of a large one are spread before.
+    dealt = placed.repartition(wide, "posting", "tile").select("posting", "fp", "tile", other.alias("other")).select("posting", "fp", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile")
     mine = lambda part: F.collect_list(F.when(F.col("tile") == F.col(part), F.col("fp")))
     cells = dealt.groupBy("posting", "lo", "hi").agg(mine("lo").alias("first"), F.collect_list(F.when(F.col("tile") != F.col("lo"), F.col("fp"))).alias("second"))
     return cells.mapInPandas(_cell_links(max_bits), "a long, b long").distinct()
