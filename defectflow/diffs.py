@@ -18,7 +18,8 @@ def split_diff(diffs: DataFrame, strict: bool = False, suffix: str = ".java") ->
     Of a text's blocks with the same path the last stays: they are sorted by path within the row, so nothing is shuffled. ``diffs``: a row for each commit."""
     blocks = F.split(_trim(F.coalesce("diff_text", F.lit(""))), "(?m)^diff --git" if strict else "diff --git")
     path = lambda b: F.regexp_extract(F.substring_index(b, "\n", 1), r"(?d)^a/(.*?) b/(.*?)$", 2)
-    parts = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), lambda b, i: F.struct(path(_trim(b)).alias("file_path"), i.alias("file_ord"), _trim(b).alias("block")))
+    trimmed = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))), _trim)
+    parts = F.transform(trimmed, lambda b, i: F.struct(path(b).alias("file_path"), i.alias("file_ord"), b.alias("block")))
     listed = F.sort_array(F.filter(parts, lambda x: x["file_path"].endswith(suffix)))
     last = F.flatten(F.transform(F.array(listed), lambda all_: F.filter(all_, lambda x, i: ~F.coalesce(F.get(all_, i + 1)["file_path"] == x["file_path"], F.lit(False)))))
     return diffs.select(*COMMIT, F.inline(last)).select(*FILE, "file_ord", "block")

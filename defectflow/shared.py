@@ -48,6 +48,8 @@ def materialize(df: DataFrame, name: str, free: bool = True, **totals: Column) -
         spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.folder, out.totals = path, dict(seen.get) if seen else {}
+    if totals.keys() - out.totals.keys():  # not reported, as for an empty plan
+        out.totals = out.agg(*(c.alias(k) for k, c in totals.items())).first().asDict()
     return out
 
 
