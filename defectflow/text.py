@@ -49,23 +49,33 @@ def inside_quotes(line: Column, pos: Column) -> Column:
 def blank_comment_lines(lines: Column) -> Column:
     """An array of lines (each with its line feed) with comment lines blanked, in order.
 
-    One fold carries whether a block comment is open and appends each line's new form."""
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out"))
+    A fold notes for each line, as one character, whether a block comment is open before it; the lines are then rewritten each by itself."""
 
-    def step(s: Column, line: Column) -> Column:
+    def about(line: Column) -> tuple[Column, Column, Column]:
+        """Without leading blanks; where a block comment begins behind the code (from 1); whether the line is cut there."""
         bare = F.regexp_replace(line, r"^[ \t\r\n\f\x0b]+", "")
         semi = F.locate(";", line)
         at = F.when(semi > 0, F.locate("/*", line, 1)).otherwise(F.lit(0))
-        cut = (semi > 0) & (at > semi) & ~inside_quotes(line, at - 1)
-        blank = s["open"] | bare.startswith("//") | bare.startswith("/*")
+        return bare, at, (semi > 0) & (at > semi) & ~inside_quotes(line, at - 1)
+
+    def step(s: Column, line: Column) -> Column:
+        bare, _, cut = about(line)
         ends = F.rtrim(F.replace(line, F.lit("\n"), F.lit(""))).endswith("*/")
         still = (
             F.when(s["open"], ~line.contains("*/")).when(bare.startswith("//"), F.lit(False)).when(bare.startswith("/*"), ~line.contains("*/")).when(cut, ~ends).otherwise(F.lit(False))
         )
-        new = F.when(blank, F.lit("\n")).when(cut, F.concat(F.substring(line, F.lit(1), (at - 1).cast("int")), F.lit("\n"))).otherwise(line)
-        return F.struct(still.alias("open"), F.concat(s["out"], F.array(new)).alias("out"))
+        return F.struct(still.alias("open"), F.concat(s["seen"], F.when(s["open"], "1").otherwise("0")).alias("seen"))
+
+    def rewritten(seen: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            bare, at, cut = about(line)
+            blank = (F.substring(seen, i + 1, F.lit(1)) == "1") | bare.startswith("//") | bare.startswith("/*")
+            return F.when(blank, F.lit("\n")).when(cut, F.concat(F.substring(line, F.lit(1), (at - 1).cast("int")), F.lit("\n"))).otherwise(line)
+
+        return F.transform(lines, one)
 
-    return F.aggregate(lines, start, step, lambda s: s["out"])
+    start = F.struct(F.lit(False).alias("open"), F.lit("").alias("seen"))
+    return F.flatten(F.transform(F.array(F.aggregate(lines, start, step, lambda s: s["seen"])), rewritten))
 
 
 def ascii_only(c: Column) -> Column:

@@ -13,7 +13,7 @@ def spark():
     shared = tempfile.mkdtemp(prefix="defectflow-tests-")
     session = (
         SparkSession.builder.master("local[8]").appName("tests")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", shared).getOrCreate()
     )
