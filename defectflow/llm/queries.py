@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from defectflow.llm import decontamination, html_text, licenses, mixing, pii, quality, simhash, substring_dedup, token_counts, token_files
+from defectflow.llm import conversations, decontamination, html_text, licenses, mixing, pii, quality, simhash, substring_dedup, token_counts, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
         quality.op1_quality_rules, html_text.op2_html_text, substring_dedup.op3_substring_dedup, simhash.op4_simhash, licenses.op5_license_scan,
         decontamination.op6_decontamination, token_counts.op7_token_counts, pii.op8_pii, token_files.op9_token_files, mixing.op10_mixing,
+        conversations.op12_conversations,
     )
 }
 ORACLE_SQL = {"op1_quality_rules": quality.OP1_SQL}
