@@ -5,15 +5,17 @@ Tables as in ``slicing``; a graph is one source file. Walks of unbounded depth r
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from defectflow.diffs import FILE
+from defectflow.slicing import file_graphs
 
 # Statement types by their role.
 DEFINING = ["class_declaration", "method_declaration", "enum_declaration", "interface_declaration", "constructor_declaration", "yield_statement", "catch_clause"]
@@ -189,27 +191,98 @@ def cfg_edges(nodes: DataFrame, cdg: DataFrame, siblings: DataFrame) -> DataFram
     return _per_graph(full, ["node_id", "node_type", "parent_id", "next_sibling", "first_child"], cdg, walk, EDGES)
 
 
+#: Definitions that are followed at a time, one bit each for every statement.
+DEFINITIONS = 1 << 13
+
+
+def _reverse_postorder(nodes: list, after: dict[int, list[int]], before: dict[int, list[int]]) -> list[int]:
+    """Statements so that, loops aside, each comes after those that lead to it."""
+    seen, out = set(), []
+    for root in [v for v in nodes if not before.get(v)] + nodes:
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(after.get(root, ())))]
+        while stack:
+            v, rest = stack[-1]
+            for w in rest:
+                if w not in seen:
+                    seen.add(w)
+                    stack.append((w, iter(after.get(w, ()))))
+                    break
+            else:
+                stack.pop()
+                out.append(v)
+    return out[::-1]
+
+
+def reaching_definitions(rows: list[tuple[int, list[str], list[str]]], edges: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Pairs (definition, use) of statements (id, defined names, used names): some path leads from the one to the other without another definition of the name.
+
+    Sets of definitions are whole numbers, a bit each; sweeps in reverse postorder carry them over the edges to the fixed point, for ``DEFINITIONS`` of them at a time."""
+    before, after = defaultdict(list), defaultdict(list)
+    for a, b in edges:
+        before[b].append(a)
+        after[a].append(b)
+    order = _reverse_postorder(sorted({r[0] for r in rows} | before.keys() | after.keys()), after, before)
+    place = {v: i for i, v in enumerate(order)}
+    into, out_of = ([[place[w] for w in side.get(v, ())] for v in order] for side in (before, after))
+    defined, used = defaultdict(set), defaultdict(set)
+    for v, d, u in rows:
+        for name in d:
+            defined[name].add(place[v])
+        for name in u:
+            used[name].add(place[v])
+    names, found = sorted(defined.keys() & used.keys()), set()
+    while names:
+        bits, masks, gen, kill = [], {}, defaultdict(int), defaultdict(int)
+        while names and (not bits or len(bits) + len(defined[names[-1]]) <= DEFINITIONS):
+            name = names.pop()
+            first = len(bits)
+            bits += sorted(defined[name])
+            masks[name] = (1 << len(bits)) - (1 << first)
+            for i, v in enumerate(bits[first:], first):
+                gen[v] |= 1 << i
+                kill[v] |= masks[name]
+        every = (1 << len(bits)) - 1
+        reach, leave = [0] * len(order), [gen.get(v, 0) for v in range(len(order))]
+        sweep = {w for v in gen for w in out_of[v]}
+        while sweep:  # what lies behind waits for the next sweep, so loops cost a sweep a level
+            todo, waits, sweep = sorted(sweep), sweep, set()
+            while todo:
+                v = heapq.heappop(todo)
+                come = 0
+                for p in into[v]:
+                    come |= leave[p]
+                if come == reach[v]:
+                    continue
+                reach[v] = come
+                go = gen[v] | come & (every ^ kill[v]) if v in kill else come
+                if go != leave[v]:
+                    leave[v] = go
+                    for w in out_of[v]:
+                        if w <= v:
+                            sweep.add(w)
+                        elif w not in waits:
+                            waits.add(w)
+                            heapq.heappush(todo, w)
+        for name, mask in masks.items():
+            for v in used[name]:
+                left = reach[v] & mask
+                while left:
+                    low = left & -left
+                    p = bits[low.bit_length() - 1]
+                    if p != v:
+                        found.add((order[p], order[v]))
+                    left ^= low
+    yield from sorted(found)
+
+
 def ddg_edges(nodes: DataFrame, cfg: DataFrame) -> DataFrame:
-    """Data dependence: definitions that reach a use backwards over control flow, each path ending at its first definition."""
+    """Data dependence: definitions that reach a use over control flow, each path ending at its first definition backwards; none from a statement to itself."""
 
     def walk(rows, edges):
-        before = defaultdict(list)
-        for a, b in edges:
-            before[b].append(a)
-        defs = {v: set(d) for v, d, _ in rows}
-        defined, found = set().union(*defs.values()), set()
-        for use, _, names in rows:
-            for name in defined.intersection(names):
-                seen, todo = {use}, [use]
-                while todo:
-                    for p in before[todo.pop()]:
-                        if p not in seen:
-                            seen.add(p)
-                            if name in defs.get(p, ()):
-                                found.add((p, use))
-                            else:
-                                todo.append(p)
-        yield from ((a, b, "DDG") for a, b in sorted(found))
+        yield from ((a, b, "DDG") for a, b in reaching_definitions(rows, edges))
 
     empty = F.array().cast("array<string>")
     sets = nodes.select(*FILE, "node_id", F.coalesce("def_set", empty).alias("d"), F.coalesce("use_set", empty).alias("u"))
@@ -218,12 +291,11 @@ def ddg_edges(nodes: DataFrame, cfg: DataFrame) -> DataFrame:
 
 def to_node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Graph key and ``relate_graph``: nodes and links as arrays, sorted."""
-    inner = [c for c in nodes.columns if c not in (*FILE, "node_id")]
-    n = nodes.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct(F.col("node_id").alias("id"), *inner))).alias("nodes"))
-    link = F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("edge_type").alias("key"))
-    e = edges.groupBy(*FILE).agg(F.sort_array(F.collect_list(link)).alias("links"))
-    links = F.coalesce("links", F.array().cast("array<struct<source:int,target:int,key:string>>")).alias("links")
-    return n.join(e, FILE, "left").select(*FILE, F.struct(F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), "nodes", links).alias("relate_graph"))
+    return file_graphs(nodes, edges).select(*FILE, node_link(F.col("nodes"), F.col("links")).alias("relate_graph"))
+
+
+def node_link(nodes: Column, links: Column) -> Column:
+    return F.struct(F.lit(True).alias("directed"), F.lit(True).alias("multigraph"), nodes.alias("nodes"), links.alias("links"))
 
 
 def from_node_link(records: DataFrame) -> tuple[DataFrame, DataFrame]:

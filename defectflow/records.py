@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from defectflow import graph, slicing
 from defectflow.diffs import FILE, changed_line_arrays
-from defectflow.labels import file_labels
-from defectflow.shared import materialize
 from defectflow.text import _trim
 
 
@@ -23,21 +21,22 @@ def graph_dataset(lines: DataFrame, nodes: DataFrame, edges: DataFrame, index: D
 
     ``lines``: changed lines; ``nodes``, ``edges``: the files' statement graphs; ``index``: commit key and ``files``, a map from file to its buggy lines. The graph is the part of the statement graph
     in the slices around the added lines, with ``+`` before those lines; the label is 1 for files in the index. A file without added lines, statements or slice gives an empty record
-    (no path, no graph, no nodes, label 0)."""
-    lines, nodes, edges = materialize(lines, "lines", free=False), materialize(nodes, "nodes", free=False), materialize(edges, "edges", free=False)
-    added = lines.where("change_type = 'added'")
-    seeds = materialize(slicing.seed_nodes(nodes, added), "seeds", free=False)
-    kept = materialize(slicing.slice_nodes(seeds, nodes, edges), "kept", free=False)
-    graphs = graph.to_node_link(*slicing.induced_subgraph(slicing.mark_changed_rows(nodes, added), edges, kept))
-    numbers = F.explode("files").alias("file_path", "buggy_lines")
-    wrong = index.select("project", "commit_hash", numbers).select(*FILE, F.explode("buggy_lines").alias("line_no"))
-    ids = lambda rows, name: rows.groupBy(*FILE).agg(F.sort_array(F.collect_set("node_id")).alias(name))
-    files = file_labels(changed_line_arrays(lines), index)
-    for part in (graphs, ids(seeds, "diff_node"), ids(slicing.buggy_nodes(seeds, wrong), "buggy_nodes")):
-        files = files.join(part, FILE, "left")
-    full = F.col("relate_graph").isNotNull() & (F.size("add_lines") > 0)
+    (no path, no graph, no nodes, label 0). Each input is shuffled once, by file; all else happens in the row of a file."""
+    wrong = index.select("project", "commit_hash", F.explode("files").alias("file_path", "buggy_lines"))
+    files = changed_line_arrays(lines).join(slicing.file_graphs(nodes, edges), FILE, "left").join(wrong, FILE, "left")
+    listed = lambda c: F.coalesce(c, F.array().cast("array<int>"))
+    no_links = F.array().cast(files.schema["links"].dataType)
+    whole = files.withColumns({"nodes": F.coalesce("nodes", F.array().cast(files.schema["nodes"].dataType)), "links": F.coalesce("links", no_links), "label": F.col("buggy_lines").isNotNull().cast("int")})
+    whole = whole.withColumn("cut", slicing.cut(F.col("nodes"), F.col("links"), F.col("add_lines"), listed("buggy_lines")))
+    both = F.arrays_zip("nodes", F.col("cut.nodes").alias("cut"))
+    marked = lambda x: F.transform(x["nodes"]["source_lines"], lambda t, i: F.when(F.array_contains(x["cut"]["marked"], i) & ~t.startswith("+"), F.concat(F.lit("+"), t)).otherwise(t))
+    shown = F.transform(F.filter(both, lambda x: x["cut"]["kept"]), lambda x: F.when(F.size(x["cut"]["marked"]) > 0, x["nodes"].withField("source_lines", marked(x))).otherwise(x["nodes"]))
+    links = F.transform(F.filter(F.arrays_zip("links", F.col("cut.links").alias("kept")), lambda x: x["kept"]), lambda x: x["links"])
+    ids = lambda flag: F.array_distinct(F.transform(F.filter(both, lambda x: x["cut"][flag]), lambda x: x["nodes"]["id"])).cast("array<int>")
+    cut = whole.select("*", shown.alias("shown"), links.alias("kept_links"), ids("seed").alias("diff_node"), ids("buggy").alias("buggy_nodes"))
+    full = (F.size("shown") > 0) & (F.size("add_lines") > 0)
     none = F.array().cast("array<int>")
-    return files.select(
+    return cut.select(
         "project", "commit_hash", F.when(full, F.col("file_path")).otherwise("").alias("file_path"), without_noise(F.col("add_codes")).alias("add_codes"), without_noise(F.col("remove_codes")).alias("remove_codes"),
-        F.when(full, F.col("relate_graph")).alias("relate_graph"), *(F.when(full, F.coalesce(c, none)).otherwise(none).alias(c) for c in ("diff_node", "buggy_nodes")), F.when(full, F.col("label")).otherwise(0).alias("label"),
+        F.when(full, graph.node_link(F.col("shown"), F.col("kept_links"))).alias("relate_graph"), *(F.when(full, F.col(c)).otherwise(none).alias(c) for c in ("diff_node", "buggy_nodes")), F.when(full, F.col("label")).otherwise(0).alias("label"),
     )

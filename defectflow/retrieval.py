@@ -66,14 +66,17 @@ def _nearest(k: int):
 
 
 def buggy_knowledge(buggy: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``repo, hash, file_path, slicing, diff, desc``: for each file with buggy lines (``line_no``, ``code`` with its marker) the slice around them, and their distinct texts in order; no description yet."""
-    changed = buggy.select(*FILE, F.lit("added").alias("change_type"), "line_no", "code")
-    kept = slicing.slice_nodes(slicing.seed_nodes(nodes, changed), nodes, edges)
-    text = slicing.render_slice(slicing.slice_lines(nodes, kept), changed)
-    first = changed.groupBy(*FILE, "code").agg(F.min("line_no").alias("at"))
-    listed = first.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("at", "code")))["code"].alias("diff"))
-    out = listed.join(text, FILE, "left")
-    return out.select(F.col("project").alias("repo"), F.col("commit_hash").alias("hash"), "file_path", F.coalesce("slice", F.lit("")).alias("slicing"), "diff", F.lit("").alias("desc"))
+    """``repo, hash, file_path, slicing, diff, desc``: for each file with buggy lines (``line_no``, ``code`` with its marker) the slice around them, and their distinct texts in order; no description yet.
+
+    Each input is shuffled once, by file; slice and text come from the arrays of a file's row."""
+    listed = F.sort_array(F.collect_list(F.struct("line_no", "code")))
+    files = buggy.groupBy(*FILE).agg(listed.alias("changed")).join(slicing.file_graphs(nodes, edges), FILE, "left")
+    cut = slicing.cut(F.col("nodes"), F.col("links"), F.col("changed.line_no"), F.array().cast("array<int>"))
+    known = files.withColumns({c: F.coalesce(c, F.array().cast(files.schema[c].dataType)) for c in ("nodes", "links")}).withColumn("cut", cut)
+    return known.select(
+        F.col("project").alias("repo"), F.col("commit_hash").alias("hash"), "file_path", slicing.render_cut(F.col("nodes"), F.col("cut.nodes")).alias("slicing"),
+        F.array_distinct("changed.code").alias("diff"), F.lit("").alias("desc"),
+    )
 
 
 #: The description of clean commits, and the longest slice that is kept.

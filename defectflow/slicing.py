@@ -1,15 +1,20 @@
 """Slices of statement graphs around changed lines.
 
+A graph is one source file: its rows meet in one task, and slices are bounded walks over arrays there.
 Tables: nodes (graph key, ``node_id, node_type, start_row, end_row, source_lines``), edges (graph key, ``src, dst, edge_type``); rows count from 0, lines from 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from defectflow.diffs import FILE
-from defectflow.shared import materialize
 from defectflow.text import strip_comments
 
 
@@ -29,41 +34,142 @@ def buggy_nodes(seeds: DataFrame, buggy_lines: DataFrame) -> DataFrame:
     return seeds.join(buggy_lines.select(*FILE, "line_no").distinct(), [*FILE, "line_no"], "left_semi").select(*FILE, "node_id").distinct()
 
 
-def _hop(at: DataFrame, edges: DataFrame, kind: str, back: bool) -> DataFrame:
-    """``at`` and its predecessors (``back``) or successors over edges of one kind."""
-    a, b = ("dst", "src") if back else ("src", "dst")
-    steps = edges.where(F.col("edge_type") == kind).select(*FILE, F.col(a).alias("node_id"), F.col(b).alias("__to"))
-    return at.unionByName(at.join(steps, [*FILE, "node_id"]).select(*FILE, F.col("__to").alias("node_id"))).distinct()
+DDG, CDG = 2, 3
+_KIND = {"DDG": DDG, "CDG": CDG}
+
+
+def _spread(at: np.ndarray, come: np.ndarray, go: np.ndarray, hops: int) -> np.ndarray:
+    """Nodes within some hops of ``at`` (a flag for each node) over the edges from ``come`` to ``go``."""
+    for _ in range(hops):
+        before, at = at, at.copy()
+        at[go[before[come]]] = True
+        if at.sum() == before.sum():
+            break
+    return at
+
+
+def walk(seeds: np.ndarray, plain: np.ndarray, kind: np.ndarray, src: np.ndarray, dst: np.ndarray, ddg_hops: int, cdg_hops: int, forward: bool = True, backward: bool = True) -> np.ndarray:
+    """Flags of the nodes in the slices around ``seeds``; ``plain`` flags those that aren't declarations, edges are numbers of nodes. All graphs of a batch are walked at once."""
+    data, control = (src[kind == DDG], dst[kind == DDG]), (src[kind == CDG], dst[kind == CDG])
+    found = np.zeros_like(seeds)
+    if forward:
+        found |= _spread(_spread(seeds, data[1], data[0], ddg_hops), control[1], control[0], cdg_hops)
+    if backward:
+        begin = seeds | _spread(seeds & plain, *control, 1)
+        found |= _spread(_spread(begin, *data, ddg_hops), control[1], control[0], cdg_hops)
+    return found
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each element, and the elements."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), lists.flatten()
+
+
+def _numbered(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Numbers for distinct pairs (row, node): rows and nodes by number, and the numbers of each part."""
+    row, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, code = np.unique(node, return_inverse=True)
+    keys, number = np.unique(row * max(len(nodes), 1) + code, return_inverse=True)
+    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
+    return keys // max(len(nodes), 1), nodes[keys % max(len(nodes), 1)], np.split(number, cuts)
+
+
+def _sliced(seeds: DataFrame, nodes: DataFrame | None, edges: DataFrame, ddg_hops: int, cdg_hops: int, forward: bool, backward: bool) -> DataFrame:
+    """One shuffle by file: seeds, plain nodes and edges of a graph meet in one row, and the walks run in numpy over batches of graphs. Nothing is written down."""
+    one = lambda df, kind, x, y: df.select(*FILE, kind.cast("byte").alias("kind"), F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
+    rows = one(seeds, F.lit(0), "node_id", "node_id")
+    if nodes is not None:
+        rows = rows.unionByName(one(nodes.where(~F.col("node_type").contains("declaration")), F.lit(1), "node_id", "node_id"))
+    coded = F.when(F.col("edge_type") == "DDG", DDG).otherwise(CDG)
+    rows = rows.unionByName(one(edges.where(F.col("edge_type").isin(*_KIND)), coded, "src", "dst"))
+    held = rows.groupBy(*FILE).agg(F.min("kind").alias("least"), F.collect_list(F.struct("kind", "x", "y")).alias("rows")).where("least = 0").drop("least")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, flat = _flat(batch.column("rows"))
+            kind, x, y = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
+            of, node, (src, dst) = _numbered((row, x), (row, y))
+            flags = [np.zeros(len(of), bool), np.zeros(len(of), bool)]
+            for k in (0, 1):
+                flags[k][src[kind == k]] = True
+            found = np.flatnonzero(walk(*flags, kind, src, dst, ddg_hops, cdg_hops, forward, backward))
+            keys = batch.select(FILE).take(pa.array(of[found]))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(node[found])], names=[*FILE, "node_id"])
+
+    key = seeds.select(*FILE).schema
+    return held.mapInArrow(run, StructType([*key.fields, StructField("node_id", LongType())])).withColumn("node_id", F.col("node_id").cast(seeds.schema["node_id"].dataType))
 
 
 def forward_slice(seeds: DataFrame, edges: DataFrame, ddg_hops: int = 2, cdg_hops: int = 1) -> DataFrame:
     """The seeds, data-dependence predecessors, then control-dependence predecessors of all of them."""
-    at = seeds.select(*FILE, "node_id").distinct()
-    for _ in range(ddg_hops):
-        at = _hop(at, edges, "DDG", True)
-    for _ in range(cdg_hops):
-        at = _hop(at, edges, "CDG", True)
-    return at
+    return _sliced(seeds, None, edges, ddg_hops, cdg_hops, True, False)
 
 
 def backward_slice(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, ddg_hops: int = 2, cdg_hops: int = 1) -> DataFrame:
     """The seeds (those that aren't declarations with their control-dependence successors), data-dependence successors, then control-dependence predecessors."""
-    at = seeds.select(*FILE, "node_id").distinct()
-    plain = at.join(nodes.where(~F.col("node_type").contains("declaration")).select(*FILE, "node_id"), [*FILE, "node_id"], "left_semi")
-    at = at.unionByName(_hop(plain, edges, "CDG", False)).distinct()
-    for _ in range(ddg_hops):
-        at = _hop(at, edges, "DDG", False)
-    for _ in range(cdg_hops):
-        at = _hop(at, edges, "CDG", True)
-    return at
+    return _sliced(seeds, nodes, edges, ddg_hops, cdg_hops, False, True)
 
 
 def slice_nodes(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, ddg_hops: int = 2, cdg_hops: int = 1) -> DataFrame:
-    """Both slices together. Edges, nodes and seeds are computed once and written down, as each hop reads them."""
-    edges = materialize(edges.select(*FILE, "src", "dst", "edge_type"), "edges", free=False)
-    nodes = materialize(nodes.select(*FILE, "node_id", "node_type"), "nodes", free=False)
-    seeds = materialize(seeds.select(*FILE, "node_id").distinct(), "seeds", free=False)
-    return forward_slice(seeds, edges, ddg_hops, cdg_hops).unionByName(backward_slice(seeds, nodes, edges, ddg_hops, cdg_hops)).distinct()
+    """Both slices together."""
+    return _sliced(seeds, nodes, edges, ddg_hops, cdg_hops, True, True)
+
+
+def file_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row for each file with nodes: ``nodes`` (``id`` first) and ``links`` (``source, target, key``) as sorted arrays."""
+    inner = [c for c in nodes.columns if c not in (*FILE, "node_id")]
+    n = nodes.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct(F.col("node_id").alias("id"), *inner))).alias("nodes"))
+    link = F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("edge_type").alias("key"))
+    e = edges.groupBy(*FILE).agg(F.sort_array(F.collect_list(link)).alias("links"))
+    none = F.array().cast("array<struct<source:int,target:int,key:string>>")
+    return n.join(e, FILE, "left").select(*FILE, "nodes", F.coalesce("links", none).alias("links"))
+
+
+CUT = "struct<nodes:array<struct<kept:boolean,seed:boolean,buggy:boolean,marked:array<int>>>,links:array<boolean>>"
+
+
+def _inside(keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted keys from ``start`` up to ``stop`` (inclusive) begin, and how many they are."""
+    low = np.searchsorted(keys, start)
+    return low, np.maximum(np.searchsorted(keys, stop, side="right") - low, 0)
+
+
+def cut(nodes: Column, links: Column, lines: Column, wrong: Column, ddg_hops: int = 2, cdg_hops: int = 1) -> Column:
+    """A graph cut to the slices around changed ``lines``: for each of ``nodes`` whether it is kept, holds a changed line, holds one of the ``wrong`` changed lines, and the places of changed lines among its
+    source lines; for each of ``links`` whether both its ends are kept. Only numbers go to Python, not the source."""
+
+    @F.arrow_udf(CUT)
+    def cut_arrays(ids: pa.Array, starts: pa.Array, ends: pa.Array, sizes: pa.Array, plain: pa.Array, sources: pa.Array, targets: pa.Array, kinds: pa.Array, lines: pa.Array, wrong: pa.Array) -> pa.Array:
+        number = lambda c: _flat(c)[1].to_numpy(zero_copy_only=False).astype(np.int64)
+        of, start, end, size = _flat(ids)[0], number(starts), number(ends), number(sizes)
+        of_line, of_wrong, of_link = _flat(lines)[0], _flat(wrong)[0], _flat(sources)[0]
+        at, bad = number(lines) - 1, number(wrong) - 1
+        least = min((int(x.min()) for x in (start, at, bad) if len(x)), default=0)
+        span = max((int(x.max()) for x in (start, start + size, end, at, bad) if len(x)), default=0) - least + 2
+        place = lambda row, x: row * span + (x - least)
+        keys = np.unique(place(of_line, at))
+        low, n = _inside(keys, place(of, start), place(of, np.maximum(end, start - 1)))
+        hits = np.r_[0, np.cumsum(np.isin(keys, place(of_wrong, bad)))]
+        buggy = hits[low + n] > hits[low]
+        first, m = _inside(keys, place(of, start), place(of, start + size - 1))
+        offsets = np.r_[0, np.cumsum(m)]
+        marks = keys[np.repeat(first - offsets[:-1], m) + np.arange(offsets[-1])] - np.repeat(place(of, start), m)
+
+        known, _, (own, src, dst) = _numbered((of, number(ids)), (of_link, number(sources)), (of_link, number(targets)))
+        seeds, simple = np.zeros(len(known), bool), np.zeros(len(known), bool)
+        seeds[own[n > 0]] = True
+        simple[own[_flat(plain)[1].to_numpy(zero_copy_only=False).astype(bool)]] = True
+        kept = walk(seeds, simple, number(kinds), src, dst, ddg_hops, cdg_hops)
+        listed = lambda like, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(like.value_lengths().fill_null(0).to_numpy())].astype(np.int32)), values)
+        marked = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(marks.astype(np.int32)))
+        per_node = pa.StructArray.from_arrays([pa.array(kept[own]), pa.array(n > 0), pa.array(buggy), marked], names=["kept", "seed", "buggy", "marked"])
+        return pa.StructArray.from_arrays([listed(ids, per_node), listed(sources, pa.array(kept[src] & kept[dst]))], names=["nodes", "links"])
+
+    field = lambda name: F.coalesce(nodes[name], F.array().cast("array<int>"))
+    sizes = F.transform(nodes, lambda x: F.coalesce(F.size(x["source_lines"]), F.lit(0)))
+    plain = F.transform(nodes, lambda x: ~F.coalesce(x["node_type"], F.lit("")).contains("declaration"))
+    coded = F.transform(links, lambda x: F.when(x["key"] == "DDG", DDG).when(x["key"] == "CDG", CDG).otherwise(0))
+    return cut_arrays(field("id"), field("start_row"), field("end_row"), sizes, plain, links["source"], links["target"], coded, lines, wrong)
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,3 +214,13 @@ def mark_changed_rows(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     hit = lambda x, i: F.array_contains(F.coalesce("__rows", F.array().cast("array<int>")), (F.col("start_row") + i).cast("int")) & ~x.startswith("+")
     marked = nodes.join(rows, FILE, "left").withColumn("source_lines", F.transform("source_lines", lambda x, i: F.when(hit(x, i), F.concat(F.lit("+"), x)).otherwise(x)))
     return marked.drop("__rows")
+
+
+def render_cut(nodes: Column, cut_nodes: Column) -> Column:
+    """The kept nodes' lines in order, each row once (from the smallest node), ``+`` before changed ones, without blank lines and comments; from the arrays of one file."""
+    both = F.filter(F.arrays_zip(nodes.alias("n"), cut_nodes.alias("c")), lambda x: x["c"]["kept"])
+    line = lambda x: F.transform(x["n"]["source_lines"], lambda t, i: F.struct((x["n"]["start_row"] + i).alias("row"), x["n"]["id"].alias("id"), t.alias("text"), F.array_contains(x["c"]["marked"], i).alias("changed")))
+    listed = F.sort_array(F.flatten(F.transform(both, line)))
+    once = F.flatten(F.transform(F.array(listed), lambda all_: F.filter(all_, lambda x, i: ~F.coalesce(F.get(all_, i - 1)["row"] == x["row"], F.lit(False)))))
+    shown = F.filter(once, lambda x: ~x["text"].startswith("\n"))
+    return strip_comments(F.array_join(F.transform(shown, lambda x: F.concat(F.when(x["changed"], "+").otherwise(""), x["text"])), ""))
