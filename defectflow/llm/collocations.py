@@ -31,7 +31,7 @@ from defectflow.llm.common import look_up, materialize, release
 from defectflow.prefix import prefix_sum
 
 MIN_COUNT, COVERED, TOP = 10, 50, 2000
-CHUNK_WORDS, PART_WORDS = 1 << 21, 1 << 32
+CHUNK_WORDS, PART_WORDS = 1 << 19, 1 << 32
 DENSE = 8
 #: Cells that wait to be summed, and rows of a result frame.
 WAITING, FRAME = 4_000_000, 200_000
