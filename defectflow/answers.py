@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
+import time
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyarrow import parquet
+from pyarrow.fs import FileSystem, FileType
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from defectflow.commit_metrics import confusion, roc_auc
+from defectflow.shared import shared_dir
 from defectflow.text import flatten_newlines, match_key, squeeze_whitespace
 
 EVIDENCE = "evidence array<struct<diff_code:string,reason:string,severity:string,confidence:string>>"
@@ -46,19 +56,75 @@ def without_context(df: DataFrame) -> DataFrame:
     return df.withColumns({"predicted": F.when(empty, F.lit(False)), "reason": F.when(empty, NO_CONTEXT)})
 
 
-def score_batch(df: DataFrame, scorer: Callable[[list[str]], list[str | None]], concurrency: int = 5) -> DataFrame:
-    """``commit_hash, answer``: the scorer's answers to ``context``, batch by batch; a failed batch stays null and is asked again in the next run."""
+def _ask(scorer: Callable[[list[str]], list[str | None]], folder: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Asks each batch (rows in order of ``batch``) whose file isn't in ``folder`` yet, and writes that file at once; a file appears whole or not at all."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        store, path = FileSystem.from_uri(folder)
+        store.create_dir(path)
+
+        def asked(number: int, rows: list[tuple[str, str | None]]) -> int:
+            name = f"{path}/{number}.parquet"
+            if store.get_file_info(name).type != FileType.NotFound:
+                return 0  # by an earlier attempt of this task
+            error, answers = None, [None] * len(rows)
             try:
-                answers = scorer(frame["context"].tolist())
-            except Exception:  # whatever the user's function raises
-                answers = [None] * len(frame)
-            yield pd.DataFrame({"commit_hash": frame["commit_hash"], "answer": answers})
-
-    key = df.schema["commit_hash"].dataType.simpleString()
-    return df.select("commit_hash", "context").repartition(concurrency).mapInPandas(run, f"commit_hash {key}, answer string")
+                answers = list(scorer([context for _, context in rows]))
+                if len(answers) != len(rows):
+                    raise ValueError(f"{len(answers)} answers for {len(rows)} contexts")
+            except Exception as e:  # whatever the user's function raises
+                error, answers = f"{type(e).__name__}: {e}", [None] * len(rows)
+            at = time.time_ns()
+            table = pa.table({"commit_hash": [k for k, _ in rows], "answer": answers, "error": [error] * len(rows), "batch": [number] * len(rows), "at": [at] * len(rows)}, LEDGER)
+            part = f"{path}/.{number}-{uuid.uuid4().hex}"
+            parquet.write_table(table, part, filesystem=store)
+            store.move(part, name)
+            return len(rows)
+
+        now, held, n = None, [], 0
+        for frame in frames:
+            for number, key, context in zip(frame["batch"].tolist(), frame["commit_hash"].tolist(), frame["context"].tolist(), strict=True):
+                if number != now and held:
+                    n += asked(now, held)
+                    held = []
+                now = number
+                held.append((key, context))
+        if held:
+            n += asked(now, held)
+        yield pd.DataFrame({"n": [n]})
+
+    return run
+
+
+LEDGER = pa.schema([("commit_hash", pa.string()), ("answer", pa.string()), ("error", pa.string()), ("batch", pa.int64()), ("at", pa.int64())])
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """``commit_hash, answer, error, batch, at`` of every batch that was asked; the key as text."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.read.schema("commit_hash string, answer string, error string, batch long, at long").option("recursiveFileLookup", "true").parquet(ledger)
+
+
+def score_batch(df: DataFrame, scorer: Callable[[list[str]], list[str | None]], concurrency: int = 5, batch: int = 64, ledger: str | None = None) -> DataFrame:
+    """``commit_hash, answer, error``: the scorer's answers to ``context``; a failed batch has null answers and what went wrong, and is asked again in the next run.
+
+    ``ledger`` is a folder that driver and executors share. Batches follow from the keys' hashes; each is written there by its task as soon as it is answered, so neither a retried task nor a later action or run
+    asks it again: a run asks only for keys without an answer in the ledger, and what is returned is read from it. Only a task that dies between answer and file asks one batch twice.
+    Of several rows with one key the least context is asked."""
+    spark = df.sparkSession
+    ledger = ledger or shared_dir(spark, "answers")
+    known = read_ledger(spark, ledger).where("answer is not null").select("commit_hash").distinct()
+    todo = df.groupBy(F.col("commit_hash").cast("string").alias("commit_hash")).agg(F.min("context").alias("context")).join(known, "commit_hash", "left_anti")
+    batches = -(-todo.count() // batch)
+    if batches:
+        dealt = todo.withColumn("batch", F.pmod(F.xxhash64("commit_hash"), F.lit(batches)))
+        sorted_ = dealt.repartition(concurrency, "batch").sortWithinPartitions("batch", "commit_hash")
+        sorted_.mapInPandas(_ask(scorer, f"{ledger.rstrip('/')}/run-{uuid.uuid4().hex}"), "n long").agg(F.sum("n")).collect()
+    told = read_ledger(spark, ledger).groupBy("commit_hash").agg(F.max_by("answer", F.when(F.col("answer").isNotNull(), F.col("at"))).alias("answer"), F.max_by("error", "at").alias("error"))
+    mine = df.select("commit_hash").distinct().withColumn("__key", F.col("commit_hash").cast("string"))
+    out = mine.join(told.withColumnRenamed("commit_hash", "__key"), "__key", "left")
+    return out.select("commit_hash", "answer", F.when(F.col("answer").isNull(), F.col("error")).alias("error"))
 
 
 def parse_answer(answer: Column) -> Column:
@@ -90,6 +156,40 @@ def pattern_scores(preds: DataFrame, patterns: tuple[str, ...] = ("simple", "con
     return confusion(long, ["pattern"]).select("pattern", "f1").join(roc_auc(long, ["pattern"]), "pattern")
 
 
+def suffix_array(text: str) -> np.ndarray:
+    """Starts of all suffixes in their order (by doubled prefixes)."""
+    rank = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)[1].astype(np.int64)
+    n, k, order = len(rank), 1, np.argsort(rank, kind="stable")
+    while n and rank.max() < n - 1:
+        pair = rank * (n + 1) + np.r_[rank[k:] + 1, np.zeros(min(k, n), np.int64)]
+        order = np.argsort(pair, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.r_[False, pair[order][1:] != pair[order][:-1]])
+        k *= 2
+    return order
+
+
+#: Between evidence texts; no text of a table holds it.
+BETWEEN = "\ud800"
+
+
+def n_found(texts: list[str], parts: list[str]) -> int:
+    """How many of ``parts`` (repeats included, empty ones not) stand in one of the texts: each is looked up once, by bisection of the texts' suffixes."""
+    text = BETWEEN.join(texts)
+    order = suffix_array(text).tolist() if parts else []
+
+    def stands(part: str) -> bool:
+        i = bisect.bisect_left(order, part, key=lambda start: text[start : start + len(part)])
+        return i < len(order) and text.startswith(part, order[i])
+
+    return sum(n for part, n in Counter(parts).items() if part and stands(part))
+
+
+@F.pandas_udf(IntegerType())
+def _n_found(texts: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([n_found([t for t in a if t is not None], [p for p in b if p is not None]) for a, b in zip(texts, parts, strict=True)], dtype="int32")
+
+
 def evidence_hits(preds: DataFrame, line_labels: DataFrame, pattern: str) -> DataFrame:
     """Per commit ``match_count``, ``n`` and ``valid``: buggy lines that are part of some evidence, all buggy lines, and whether every evidence names its code."""
     evidence = F.from_json(F.col(f"{pattern}_reason"), EVIDENCE)["evidence"]
@@ -98,9 +198,8 @@ def evidence_hits(preds: DataFrame, line_labels: DataFrame, pattern: str) -> Dat
     none = F.array().cast("array<string>")
     both = p.join(truth, "commit_hash", "left").withColumn("lines", F.coalesce("lines", none))
     both = both.withColumn("keys", F.coalesce(F.transform("e", lambda x: match_key(x["diff_code"])), none))
-    hit = F.filter("lines", lambda g: (g != "") & F.exists("keys", lambda k: F.contains(k, g)))
     valid = F.col("e").isNotNull() & F.coalesce(F.forall("e", lambda x: x["diff_code"].isNotNull()), F.lit(False))
-    return both.select("commit_hash", "predicted", "truth", F.size(hit).alias("match_count"), F.size("lines").alias("n"), valid.alias("valid"))
+    return both.select("commit_hash", "predicted", "truth", _n_found("keys", "lines").alias("match_count"), F.size("lines").alias("n"), valid.alias("valid"))
 
 
 def acc_at_k(hits: DataFrame, k: int, only_hit: bool = False) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from defectflow.diffs import COMMIT, FILE
 from defectflow.text import normalize_code
@@ -69,34 +72,84 @@ def token_ids(rows: DataFrame, vocabulary: DataFrame, keys: list[str], unknown:
     return at.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id"))))["id"].alias("ids"))
 
 
-def _by_dimension(rows: DataFrame, keys: list[str], dims: int, value: Callable[[Column], Column]) -> DataFrame:
-    """``vector``: an aggregate for each dimension, so that rows are combined before the shuffle and never multiplied."""
-    return rows.groupBy(*keys).agg(F.array(*(value(F.get("vector", F.lit(i)).cast("double")) for i in range(dims))).alias("vector"))
+#: Numbers of a task's partial results before they are sent on.
+HELD = 1 << 22
+
+
+def _fold(how: np.ufunc, keys: list[str], width: int, in_order: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each key from rows ``keys, __key, vector``: batch by batch in numpy, held over batches. ``in_order``: equal keys follow each other, so none is sent on before its last row."""
+    most = max(1, HELD // width)
+
+    def sent(held: dict, parts: list[pa.RecordBatch], total: np.ndarray) -> pa.RecordBatch:
+        names = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * width), pa.array(total[: len(held)].ravel()))
+        return pa.RecordBatch.from_arrays([*names.columns, vectors], names=[*names.schema.names, "vector"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, total = {}, [], np.zeros((0, width))
+        for whole in batches:
+            for start in range(0, len(whole), most):
+                batch = whole.slice(start, most)
+                coded = batch.column("__key").dictionary_encode()
+                code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                order = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+                mine = how.reduceat(batch.column("vector").flatten().to_numpy().reshape(len(batch), width)[order], first, axis=0)
+                if in_order and held and len(held) >= most and names[0] not in held:
+                    yield sent(held, parts, total)
+                    held, parts, total = {}, [], np.zeros((0, width))
+                if not in_order and len(held) + len(names) > 2 * most:
+                    yield sent(held, parts, total)
+                    held, parts, total = {}, [], np.zeros((0, width))
+                new = np.array([n not in held for n in names])
+                at = np.array([held.setdefault(n, len(held)) for n in names])
+                parts.append(batch.select([*keys, "__key"]).take(pa.array(order[first][new])))
+                if len(held) > len(total):
+                    total = np.concatenate([total, np.empty((len(held), width))])
+                total[at[new]] = mine[new]
+                total[at[~new]] = how(total[at[~new]], mine[~new])
+        if held:
+            yield sent(held, parts, total)
+
+    return run
+
+
+def _pooled(rows: DataFrame, keys: list[str], width: int, how: np.ufunc) -> DataFrame:
+    """``keys, vector``: the sum or maximum (``how``) of ``vector`` (``width`` numbers, none null) in two levels: in the tasks, then of one row for each key and task. Vectors stay arrays all the way."""
+    named = rows.select(*keys, F.to_json(F.struct(*keys)).alias("__key"), F.col("vector").cast("array<double>").alias("vector"))
+    schema = StructType([*named.schema.fields[:-1], StructField("vector", ArrayType(DoubleType()))])
+    part = named.mapInArrow(_fold(how, keys, width, False), schema)
+    return part.repartition("__key").sortWithinPartitions("__key").mapInArrow(_fold(how, keys, width, True), schema).select(*keys, "vector")
 
 
 def mean_pool(rows: DataFrame, keys: list[str], dims: int) -> DataFrame:
-    """``vector``: mean of the ``embedding`` of tokens whose ``mask`` is 1; zeros if there are none."""
-    masked = rows.select(*keys, "mask", F.col("embedding").alias("vector"))
-    return _by_dimension(masked, keys, dims, lambda x: F.sum(x * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1e-9)))
+    """``vector``: mean of the ``embedding`` of tokens whose ``mask`` is 1; zeros if there are none. A token without embedding counts as masked."""
+    mask = F.when(F.col("embedding").isNotNull(), F.coalesce(F.col("mask"), F.lit(0))).otherwise(0).cast("double")
+    own = F.transform(F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dims)), lambda x: F.coalesce(x, F.lit(0.0)).cast("double"))
+    both = rows.select(*keys, own.alias("own"), mask.alias("m")).select(*keys, F.concat(F.transform("own", lambda x: x * F.col("m")), F.array("m")).alias("vector"))
+    summed = _pooled(both, keys, dims + 1, np.add).withColumn("n", F.greatest(F.get("vector", F.lit(dims)), F.lit(1e-9)))
+    return summed.select(*keys, F.transform(F.slice("vector", 1, dims), lambda x: x / F.col("n")).alias("vector"))
 
 
 def typed_neighbor_sum(vectors: DataFrame, edges: DataFrame, type_weights: dict[int, list[float]]) -> DataFrame:
-    """One message round: source vectors times their edge type's weights, summed at the target; zeros without edges.
+    """One message round: source vectors times their edge type's weights, summed at the target; zeros without edges. Edges of other types, and null vectors, send nothing.
 
     ``vectors``: ``commit_hash, node_ix, vector``; ``edges``: ``commit_hash, src_ix, dst_ix, type_code``."""
     dims = len(next(iter(type_weights.values())))
     weights = F.create_map(*(x for k, w in type_weights.items() for x in (F.lit(k), F.lit(list(map(float, w))))))
     sent = edges.join(vectors.withColumnRenamed("node_ix", "src_ix"), ["commit_hash", "src_ix"])
-    product = F.zip_with(F.col("vector"), F.element_at(weights, F.col("type_code")), lambda x, w: x * w)
-    got = _by_dimension(sent.select("commit_hash", F.col("dst_ix").alias("node_ix"), product.alias("vector")), ["commit_hash", "node_ix"], dims, F.sum)
+    product = F.zip_with(F.col("vector"), F.element_at(weights, F.col("type_code")), lambda x, w: F.coalesce(x * w, F.lit(0.0)))
+    got = _pooled(sent.select("commit_hash", F.col("dst_ix").alias("node_ix"), product.alias("vector")).where("vector is not null"), ["commit_hash", "node_ix"], dims, np.add)
     zeros = F.transform(F.col("own"), lambda _: F.lit(0.0).cast("double"))
     return vectors.withColumnRenamed("vector", "own").join(got, ["commit_hash", "node_ix"], "left").select("commit_hash", "node_ix", F.coalesce("vector", zeros).alias("vector"))
 
 
 def max_pool_marked(vectors: DataFrame, marks: DataFrame, commits: DataFrame, dims: int) -> DataFrame:
-    """Element-wise maximum over each commit's marked nodes (``commit_hash, node_ix``); zeros for a commit without one."""
-    mine = vectors.join(marks.select("commit_hash", "node_ix").distinct(), ["commit_hash", "node_ix"], "left_semi")
-    top = _by_dimension(mine.select("commit_hash", "vector"), ["commit_hash"], dims, F.max)
+    """Element-wise maximum over each commit's marked nodes (``commit_hash, node_ix``); zeros for a commit without one. Null vectors and numbers are passed over."""
+    mine = vectors.where("vector is not null").join(marks.select("commit_hash", "node_ix").distinct(), ["commit_hash", "node_ix"], "left_semi")
+    low = F.lit(float("-inf"))
+    top = _pooled(mine.select("commit_hash", F.transform("vector", lambda x: F.coalesce(x.cast("double"), low)).alias("vector")), ["commit_hash"], dims, np.maximum)
+    top = top.withColumn("vector", F.transform("vector", lambda x: F.when(x == low, 0.0).otherwise(x)))
     return commits.select("commit_hash").distinct().join(top, "commit_hash", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dims)))
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectflow.text import _trim
@@ -25,27 +24,33 @@ def split_diff(diffs: DataFrame, strict: bool = False, suffix: str = ".java") ->
     return diffs.select(*COMMIT, F.inline(last)).select(*FILE, "file_ord", "block")
 
 
+#: Before a hunk header that gives both line numbers.
+HUNK = r"(?dm)^(?=@@[^\n]*-\d)(?=@@[^\n]*\+\d)"
+
+
 def changed_lines(blocks: DataFrame, strict: bool = False) -> DataFrame:
     """``project, commit_hash, file_path, change_type, line_no, code`` with the old or new file's line number; ``code`` keeps its marker.
 
-    Lines starting with ``+++`` or ``---`` are taken for headers and not counted; ``strict`` does so only before the first hunk."""
-    lines = blocks.select(*FILE, F.posexplode(F.split("block", "\n")).alias("pos", "code"))
-    hunk = F.col("code").startswith("@@")
-    old, new = F.regexp_extract("code", r"-(\d+),?", 1), F.regexp_extract("code", r"\+(\d+),?", 1)
-    valid = hunk & (old != "") & (new != "")
-    w = W.partitionBy(*FILE).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    header = F.col("code").startswith("+++") | F.col("code").startswith("---")
-    if strict:
-        header = header & (F.coalesce(F.max(valid).over(w), F.lit(False)) == F.lit(False))
-    plus, minus = F.col("code").startswith("+") & ~header & ~hunk, F.col("code").startswith("-") & ~header & ~hunk
-    blank = F.col("code").startswith(" ")
-    # Both counters run through the file; the last hunk header says what to add. All windows share one sort.
-    steps = lines.withColumns({"old": F.when(valid, old.try_cast("int")), "new": F.when(valid, new.try_cast("int")), "kind": F.when(plus, "added").when(minus, "deleted"), "blank": blank})
-    moved = lambda kind: F.sum(F.when((F.col("kind") == kind) | F.col("blank"), 1).otherwise(0)).over(w)
-    counted = steps.withColumns({"new_count": moved("added"), "old_count": moved("deleted")})
-    begin = lambda side: F.coalesce(F.last(F.when(F.col(side).isNotNull(), F.col(side) - 1 - F.col(f"{side}_count")), ignorenulls=True).over(w), F.lit(0)) + F.col(f"{side}_count")
-    at = counted.withColumns({"new_no": begin("new"), "old_no": begin("old")})
-    return at.where("kind is not null").select(*FILE, F.col("kind").alias("change_type"), F.when(F.col("kind") == "added", F.col("new_no")).otherwise(F.col("old_no")).cast("int").alias("line_no"), "code")
+    Lines starting with ``+++`` or ``---`` are taken for headers and not counted; ``strict`` does so only before the first hunk. All happens within a block's row: it is cut before its hunk headers, and of a
+    hunk's lines those of one side are filtered, so that a line's place among them is its number; nothing is shuffled or sorted."""
+
+    def hunk_lines(hunk: Column, place: Column) -> Column:
+        head = F.substring_index(hunk, "\n", 1)
+        valid = head.rlike(HUNK)
+        first = lambda sign: F.when(valid, F.regexp_extract(head, rf"{sign}(\d+),?", 1).try_cast("int")).otherwise(1)
+        about = F.struct(F.split(hunk, "\n").alias("lines"), first(r"\+").alias("new"), first("-").alias("old"), ((place == 0) & ~valid).alias("before"))
+
+        def side(h: Column, sign: str, start: str, kind: str) -> Column:
+            header = lambda x: x.startswith(sign * 3) & (h["before"] if strict else F.lit(True))
+            mine = F.filter(h["lines"], lambda x: x.startswith(" ") | (x.startswith(sign) & ~header(x)))
+            numbered = F.transform(mine, lambda x, i: F.struct(F.lit(kind).alias("change_type"), (h[start] + i).alias("line_no"), x.alias("code")))
+            return F.filter(numbered, lambda x: x["code"].startswith(sign))
+
+        # In an array of one, so that the struct is computed once for all lines.
+        return F.flatten(F.transform(F.array(about), lambda h: F.concat(side(h, "+", "new", "added"), side(h, "-", "old", "deleted"))))
+
+    found = F.flatten(F.transform(F.split("block", HUNK), hunk_lines))
+    return blocks.select(*FILE, F.inline(found)).select(*FILE, "change_type", "line_no", "code")
 
 
 def changed_line_arrays(lines: DataFrame) -> DataFrame:

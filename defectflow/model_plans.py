@@ -126,7 +126,7 @@ def _lengths(texts: list[str]) -> list[str]:
 
 
 def e5_score_batch(spark, d):
-    return answers.score_batch(_table(spark, d, "documents").select(F.col("doc_id").alias("commit_hash"), F.col("text").alias("context")), _lengths)
+    return answers.score_batch(_table(spark, d, "documents").select(F.col("doc_id").alias("commit_hash"), F.col("text").alias("context")), _lengths).select("commit_hash", "answer")
 
 
 def e6_parse_answer(spark, d):

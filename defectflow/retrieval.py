@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 from defectflow import slicing
 from defectflow.diffs import COMMIT, FILE
 from defectflow.labels import filter_commits
+from defectflow.shared import materialize, release
 from defectflow.text import squeeze_whitespace
 
-#: Queries and vectors that a task holds at a time.
-QUERY_BLOCK, VECTOR_BLOCK = 2_000, 20_000
+#: Numbers of a block of vectors (of queries a quarter), the most pivots (they go to every task), and vectors that are compared at a time.
+BLOCK, PIVOTS, STRIPE = 1 << 22, 1024, 2000
 
 
 def embed(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:
@@ -31,36 +33,135 @@ def embed(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarra
     return df.withColumn("__text", squeeze_whitespace(F.coalesce(text_col, F.lit("")))).mapInPandas(run, f"{schema}, embedding array<float>")
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows in blocks of about ``size``, as two arrays each."""
-    n = max(1, -(-rows.count() // size))
-    block = F.pmod(F.xxhash64("id"), F.lit(n))
-    listed = F.sort_array(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))))
-    packed = rows.groupBy(block.alias("block")).agg(listed.alias("rows"))
-    return packed.select(F.col("rows.id").alias(f"{name}_ids"), F.flatten("rows.embedding").alias(f"{name}_values"))
+def _assigned(rows: DataFrame, pivots: Broadcast) -> DataFrame:
+    """``id, embedding`` with the number of the nearest pivot and the distance to it."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x = np.stack(frame["embedding"]) if len(frame) else np.zeros((0, pivots.value.shape[1]))
+            near = _squares(x, pivots.value).argmin(axis=1)
+            yield frame.assign(pivot=near, far=np.sqrt(((x - pivots.value[near]) ** 2).sum(axis=1)))
+
+    typed = rows.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return typed.mapInPandas(run, "id long, embedding array<double>, pivot int, far double")
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product; right but for rounding."""
+    return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * (x @ y.T)
+
+
+def _blocks(rows: DataFrame, counts: DataFrame, size: int, more: Sequence[str] = ()) -> DataFrame:
+    """Rows of a pivot in blocks of about ``size`` by hash, packed into arrays. ``counts`` has at most a row for each pivot."""
+    dealt = rows.join(F.broadcast(counts), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / size)).cast("int"))
+    listed = F.sort_array(F.collect_list(F.struct("id", "embedding", *more))).alias("rows")
+    packed = dealt.groupBy("pivot", "block").agg(listed)
+    return packed.select("pivot", "block", F.col("rows.id").alias("ids"), F.flatten("rows.embedding").alias("values"), *(F.col(f"rows.{c}").alias(c) for c in more))
+
+
+def _meet(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, square``: of each pair of a query block (``q_ids, q_values`` with the ``pivot, block`` it asks) and that block, each query's best ``k``."""
+    pairs = asked.join(blocks.hint("merge"), ["pivot", "block"])
+    return pairs.select("q_ids", "q_values", "ids", "values").mapInPandas(_nearest(k), "query_id long, id long, square double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy("square", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, most_pivots: int = PIVOTS) -> DataFrame:
+    """``query_id, id, distance, rank``: the ``k`` nearest by L2 of each query (both ``id, embedding``; distinct ids), ties by id; exact.
+
+    Vectors are grouped around pivots, random ones of their own, at most ``most_pivots``, and dealt in blocks of about ``block`` numbers. A query first meets the blocks of its own pivot; the k-th distance
+    there is a bound. By the triangle inequality a group whose nearest member can't be within it is left out: a query goes on only to blocks of groups that can hold a neighbour. Rows without a vector are left out."""
+    spark = queries.sparkSession
+    total = vectors.where("embedding is not null").count()
+    picked = vectors.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(min(most_pivots, 1 + total * _width(vectors) // block)).select(F.col("embedding").cast("array<double>")).collect()
+    if not picked:
+        return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
+    pivots = spark.sparkContext.broadcast(np.array([r[0] for r in picked]))
+    width = pivots.value.shape[1]
+    mine = materialize(_assigned(vectors, pivots), "vectors", free=False)
+    asking = materialize(_assigned(queries, pivots), "queries", free=False)
+    groups = mine.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("least"), F.max("far").alias("most")).collect()  # a row for each pivot
+    size, asked_size = max(1, block // width), max(1, block // 4 // width)
+    bounds = np.full((3, len(picked)), np.inf)
+    for g in groups:
+        bounds[:, g["pivot"]] = g["least"], g["most"], -(-g["n"] // size)
+    held = spark.sparkContext.broadcast(bounds)
+    counts = spark.createDataFrame([(g["pivot"], g["n"]) for g in groups], "pivot int, n long")
+    blocks = materialize(_blocks(mine, counts, size), "blocks", free=False)
+    asked = asking.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+
+    parts = F.broadcast(counts.select("pivot", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / size) - 1).cast("int"))).alias("ask")))
+    own = _blocks(asking, asked, asked_size).join(parts, "pivot").select("pivot", F.col("ask").alias("block"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
+    near = materialize(_best(_meet(own, blocks, k), k), "near", free=False)
+    limits = near.groupBy(F.col("query_id").alias("id")).agg(F.max("square").alias("square"), F.count(F.lit(1)).alias("found"))
+    limited = asking.join(limits, "id", "left").withColumn("limit", F.when(F.col("found") >= k, F.sqrt("square")).otherwise(float("inf")))
+    further = _blocks(limited.select("id", "embedding", "pivot", "limit"), asked, asked_size, ["limit"]).mapInPandas(_asks(pivots, held), "pivot int, block int, q_ids array<long>, q_values array<double>")
+    out = _best(_meet(further, blocks, k).unionByName(near.drop("rank")), k).select("query_id", "id", F.sqrt("square").alias("distance"), "rank")
+    out = materialize(out, "neighbours", free=False)
+    release(mine, asking, blocks, near)
+    return out
+
+
+def _width(vectors: DataFrame) -> int:
+    first = vectors.where("embedding is not null").select(F.size("embedding")).first()
+    return first[0] if first else 1
+
+
+def _asks(pivots: Broadcast, held: Broadcast):
+    """From blocks of queries with their limits to the blocks of other groups that can hold a neighbour of them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least, most, parts = held.value
+        for frame in frames:
+            for r in frame.itertuples():
+                ids = np.asarray(r.ids)
+                q = np.asarray(r.values).reshape(len(ids), -1)
+                away = np.sqrt(np.maximum(_squares(q, pivots.value), 0))
+                slack = 1e-6 * (1 + away + np.where(np.isfinite(most), most, 0))  # far above rounding
+                can = np.isfinite(most) & (np.maximum(away - most, least - away) - slack <= np.asarray(r.limit)[:, None])
+                can[:, r.pivot] = False
+                for p in np.flatnonzero(can.any(axis=0)).tolist():
+                    some = can[:, p]
+                    n = int(parts[p])
+                    one = (p, ids[some], q[some].ravel())
+                    yield pd.DataFrame([(p, b, *one[1:]) for b in range(n)], columns=["pivot", "block", "q_ids", "q_values"])
+
+    return run
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, distance, rank``: the ``k`` nearest by L2 of each query (both ``id, embedding``), ties by id.
 
-    Blocks of ``QUERY_BLOCK`` queries meet blocks of ``VECTOR_BLOCK`` vectors, each pair in a task; of each pair every query keeps its best ``k``, and the best of those are ranked."""
-    met = _blocks(queries, QUERY_BLOCK, "q").crossJoin(_blocks(vectors, VECTOR_BLOCK, "v"))  # a row for each pair of blocks
-    found = met.mapInPandas(_nearest(k), "query_id long, id long, distance double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+def nearest(q: np.ndarray, v: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, names and exact squared distances of each query's best ``k``, ties by name.
+
+    A matrix product finds those that can be among them, but for rounding; only their distances are computed exactly. Vectors come ``STRIPE`` at a time."""
+    at, best, square = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for start in range(0, len(v), STRIPE):
+        part = v[start : start + STRIPE]
+        near = _squares(q, part)
+        last = min(k, len(part)) - 1
+        reach = np.partition(near, last, axis=1)[:, last] + 1e-9 * ((q * q).sum(axis=1) + (part * part).sum(axis=1).max())
+        i, j = np.nonzero(near <= reach[:, None])
+        step = max(1, BLOCK // q.shape[1])
+        exact = [((q[i[s : s + step]] - part[j[s : s + step]]) ** 2).sum(axis=1) for s in range(0, len(i), step)]
+        at, best, square = np.r_[at, i], np.r_[best, names[start + j]], np.concatenate([square, *exact])
+        order = np.lexsort((best, square, at))
+        at, best, square = at[order], best[order], square[order]
+        first = np.searchsorted(at, at)
+        keep = np.arange(len(at)) - first < k
+        at, best, square = at[keep], best[keep], square[keep]
+    return at, best, square
 
 
 def _nearest(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for pair in frame.itertuples():
-                ids, names = np.asarray(pair.q_ids), np.asarray(pair.v_ids)
-                q, v = np.asarray(pair.q_values).reshape(len(ids), -1), np.asarray(pair.v_values).reshape(len(names), -1)
-                for name, x in zip(ids, q, strict=True):
-                    d = np.sqrt(((x - v) ** 2).sum(axis=1))
-                    near = np.argpartition(d, k)[:k] if k < len(d) else np.arange(len(d))
-                    near = np.flatnonzero(d <= d[near].max())  # with all ties
-                    best = near[np.lexsort((names[near], d[near]))[:k]]
-                    yield pd.DataFrame({"query_id": name, "id": names[best], "distance": d[best]})
+                ids, names = np.asarray(pair.q_ids), np.asarray(pair.ids)
+                at, best, square = nearest(np.asarray(pair.q_values).reshape(len(ids), -1), np.asarray(pair.values).reshape(len(names), -1), names, k)
+                yield pd.DataFrame({"query_id": ids[at], "id": best, "square": square})
 
     return run
 

@@ -1,6 +1,7 @@
 """Slices, data dependence and records on random graphs: the grouped passes against plain walks and against the single operators."""
 
 import random
+import re
 import time
 from collections import defaultdict
 
@@ -157,3 +158,33 @@ def test_knowledge_as_by_the_single_operators(spark, seed):
     text = {r["file_path"]: r["slice"] for r in slicing.render_slice(slicing.slice_lines(nodes, kept), changed).collect()}
     got = {r["file_path"]: r["slicing"] for r in retrieval.buggy_knowledge(buggy, nodes, edges).collect()}
     assert got == {f: text.get(f, "") for f in got} and set(text) <= set(got) and any(got.values())
+
+
+def scanned(block, strict):
+    """Numbered lines of a block, by one scan."""
+    old = new = 0
+    seen = False
+    for code in block.split("\n"):
+        if code.startswith("@@"):
+            a, b = re.search(r"-(\d+),?", code), re.search(r"\+(\d+),?", code)
+            if a and b:
+                old, new, seen = int(a[1]) - 1, int(b[1]) - 1, True
+        elif code.startswith("+") and (not code.startswith("+++") or strict and seen):
+            new += 1
+            yield "added", new, code
+        elif code.startswith("-") and (not code.startswith("---") or strict and seen):
+            old += 1
+            yield "deleted", old, code
+        elif code.startswith(" "):
+            old, new = old + 1, new + 1
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_numbered_lines_as_by_a_scan_and_without_a_shuffle(spark, strict):
+    rng = random.Random(11)
+    some = ["@@ -3,2 +10,4 @@", "@@ -7 +8 @@ void f()", "@@ broken", "@@ +4 -9", "@@@ -1 -2 +30", "+a", "-b", " c", "", "+++ b/x", "--- a/x", "++i;", "+++j;", "---k;", "\\ No newline", "index 1..2", "+\r", "+x @@ -1 +1", " @@ -5 +5"]
+    blocks = ["\n".join(rng.choices(some, k=rng.randint(0, 25))) for _ in range(300)]
+    frame = spark.createDataFrame([("p", "c", f"F{i}", b) for i, b in enumerate(blocks)], f"{HEAD}, block string")
+    lines = diffs.changed_lines(frame, strict)
+    assert sorted((r["file_path"], r["change_type"], r["line_no"], r["code"]) for r in lines.collect()) == sorted((f"F{i}", *x) for i, b in enumerate(blocks) for x in scanned(b, strict))
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
