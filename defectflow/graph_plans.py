@@ -63,6 +63,13 @@ b1 AS (SELECT * FROM b0 UNION SELECT f, dst FROM b0 JOIN ddg USING (f) WHERE src
 bw AS (SELECT * FROM b2 UNION SELECT f, src FROM b2 JOIN cdg USING (f) WHERE dst = id)"""
 
 
+def g3_else_chains(spark, d):
+    n = _nodes(spark, d)
+    kind = F.get(F.array(*map(F.lit, ["if_statement", "else", "if_statement", "expression_statement", "if_statement"])), F.col("l_partkey") % 5)
+    line = F.when(F.col("l_suppkey") % 3 > 0, "} else if (a)\n").otherwise("if (b)\n")
+    return graph.else_chain_edges(n.withColumns({"node_type": kind, "source_lines": F.array(line)}), _cdg(n)).select("file_path", "src", "dst")
+
+
 def g4_sibling_links(spark, d):
     n = _nodes(spark, d)
     return graph.sibling_links(n, _cdg(n)).select("file_path", "node_id", "next_sibling", "first_child")
@@ -125,10 +132,17 @@ def k4_knn(spark, d):
     return retrieval.knn(e.where("id % 50 = 0"), e, 5).select("query_id", "id", "rank")
 
 
-QUERIES = {f.__name__: f for f in (g4_sibling_links, g5_cfg_edges, g6_ddg_edges, c3_forward_slice, c5_slice_nodes, a1_reindex_nodes, a2_commit_edges, s8_line_index, p1_leave_one_out, a9_max_pool, k4_knn)}
+QUERIES = {f.__name__: f for f in (g3_else_chains, g4_sibling_links, g5_cfg_edges, g6_ddg_edges, c3_forward_slice, c5_slice_nodes, a1_reindex_nodes, a2_commit_edges, s8_line_index, p1_leave_one_out, a9_max_pool, k4_knn)}
 
 _IX = ", ix AS (SELECT *, (row_number() OVER (PARTITION BY commit_hash ORDER BY file_ord, file_path, id) - 1)::INT AS node_ix FROM n)"
 ORACLE_SQL = {
+    "g3_else_chains": f"""WITH RECURSIVE {_PLAIN},
+k AS (SELECT file_path AS f, id, id // 2 AS up, ['if', 'else', 'if', 'other', 'if'][pk % 5 + 1] AS kind, sk % 3 > 0 AS says FROM n),
+c AS (SELECT *, kind = 'if' AND says AS further, max((kind = 'else')::INT) OVER (PARTITION BY f, up ORDER BY id ROWS UNBOUNDED PRECEDING) = 1 AS behind FROM k),
+v(f, head, id, path, further, behind, kind) AS (SELECT f, id, id, []::INT[], false, false, 'else' FROM c WHERE kind = 'if' AND NOT says
+  UNION ALL SELECT c.f, head, c.id, list_append(path, c.id), c.further, c.behind, c.kind FROM v JOIN c ON c.f = v.f AND c.up = v.id WHERE len(path) = 0 OR v.further)
+SELECT DISTINCT a.f AS file_path, a.id::INT AS src, b.id::INT AS dst FROM v a JOIN v b ON b.f = a.f AND b.head = a.head AND a.path < b.path AND a.id <> b.id
+WHERE (a.further OR a.kind = 'else') AND (b.further OR b.behind) AND NOT EXISTS (FROM cdg WHERE cdg.f = a.f AND src = a.id AND dst = b.id)""",
     "g4_sibling_links": f"""WITH RECURSIVE {_NODES},
 k AS (SELECT n.*, CASE WHEN n.id > 1 THEN n.id // 2 ELSE -1 END AS parent FROM n),
 l AS (SELECT k.*, lead(id) OVER w AS nx, lead(kind) OVER w AS nk FROM k WINDOW w AS (PARTITION BY file_path, parent ORDER BY id))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,17 +103,17 @@ def clean_commit_penalty(attention: DataFrame) -> DataFrame:
     return attention.groupBy(F.col("commit_hash").alias("commit_id")).agg(cost.alias("penalty"))
 
 
-def line_report(ranked: DataFrame, preds: DataFrame, attention: DataFrame, population: str = "hit") -> DataFrame:
-    """Means of the five metrics over commits that have ``[ADD]`` and are predicted buggy: truly buggy ones (``hit``), or all, clean ones by penalty (``predicted``)."""
+def line_report(ranked: DataFrame, preds: DataFrame, attention: DataFrame, population: str = "hit", group_cols: Sequence[str] = ()) -> DataFrame:
+    """Means of the five metrics over commits that have ``[ADD]`` and are predicted buggy: truly buggy ones (``hit``), or all, clean ones by penalty (``predicted``); a row for each group of columns of ``preds``."""
     penalty = clean_commit_penalty(attention).where("penalty >= 0")
-    chosen = preds.where("pred_label = 1").select(F.col("commit_hash").alias("commit_id"), "real_label").join(penalty, "commit_id")
+    chosen = preds.where("pred_label = 1").select(*group_cols, F.col("commit_hash").alias("commit_id"), "real_label").join(penalty, "commit_id")
     if population == "hit":
         chosen = chosen.where("real_label = 1")
     each = _per_commit(ranked, top10=_top_k(10), top5=_top_k(5), recall=_recall(0.2), effort=_effort(0.2), ifa=_ifa().cast("double"))
     clean = F.col("real_label") == 0
     joined = chosen.join(each, "commit_id", "left").where(clean | F.col("ifa").isNotNull())
     cost = F.col("penalty").cast("double")
-    return joined.agg(
+    return joined.groupBy(*group_cols).agg(
         *(F.avg(F.when(clean, 0.0).otherwise(F.col(c))).alias(c) for c in ("top10", "top5", "recall")),
         *(F.avg(F.when(clean, cost).otherwise(F.col(c))).alias(c) for c in ("effort", "ifa")),
     )

@@ -184,7 +184,7 @@ def s1_read_commits(spark, d):
 
 
 def s2_read_snippets(spark, d):
-    docs = _table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("doc_id"), F.slice(F.split("text", "\n"), 1, 3).alias("lines"))
+    docs = _table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("doc_id"), F.split("text", "\n").alias("lines"))
     files = F.create_map(F.concat(F.lit("f"), "doc_id"), F.struct(F.col("lines").alias("added_buggy")))
     commits = docs.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", F.struct(files.alias("added_buggy_level"))))).alias("commits"))
     path = shared_dir(spark, "snippets")
@@ -289,7 +289,7 @@ SELECT pattern, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp / (tp + f
 SELECT k, only_hit, round(avg(CASE WHEN truth = 0 OR n = 0 OR NOT valid THEN 0 WHEN match_count >= k THEN 1 ELSE match_count / least(k, n)::DOUBLE END)::DOUBLE, 6) AS acc FROM q, hits WHERE predicted = 1 AND (truth = 1 OR NOT only_hit) GROUP BY k, only_hit""",
     "s1_read_commits": """SELECT o_orderpriority AS project, o_orderkey::VARCHAR AS commit_hash, (o_custkey % 9)::DOUBLE AS la, NULL::DOUBLE AS ld, CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END AS fix,
   (o_orderkey % 3 = 0)::INT::DOUBLE AS is_buggy_commit, CASE WHEN o_orderkey % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM orders""",
-    "s2_read_snippets": "SELECT source AS project, doc_id::VARCHAR AS commit_hash, 'f' || doc_id AS file_path, unnest(string_split(text, chr(10))[1:3]) AS snippet FROM documents",
+    "s2_read_snippets": "SELECT source AS project, doc_id::VARCHAR AS commit_hash, 'f' || doc_id AS file_path, unnest(string_split(text, chr(10))) AS snippet FROM documents",
     "s3_graph_records": f"""WITH {_PLAIN} SELECT file_path, file_path AS code, count(*)::INT AS n_nodes, (count(*) - 1)::INT AS n_links, arg_min(kind, id) AS first, 1 AS label FROM n GROUP BY file_path""",
     "s4_zip_changes": """SELECT o_custkey || '-' || o_orderkey % 3 AS commit_hash, arg_max((o_orderkey % 2)::INT, o_orderkey) AS label, arg_max(o_orderstatus, o_orderkey) AS msg, arg_max(o_orderpriority, o_orderkey) AS added, 0 AS n_removed FROM orders GROUP BY o_custkey, o_orderkey % 3""",
     "s5_line_labels": """WITH l AS (SELECT doc_id::VARCHAR AS commit_id, unnest(string_split(text, chr(10))) AS line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS idx FROM documents)

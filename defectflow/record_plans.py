@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,9 +145,9 @@ def a4_join_changes(spark, d):
 
 
 def a5_diff_tokens(spark, d):
-    part = lambda a, b: F.slice(F.split("text", "\n"), a, b)
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("msg"), part(2, 3).alias("added_code"), part(5, 2).alias("removed_code"))
-    return dataset.diff_tokens(docs, max_len=96, msg_len=8).select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.aggregate("attention_mask", F.lit(0), lambda t, x: t + x).alias("n"))
+    some = lambda keep: F.filter(F.split("text", "\n"), lambda _, i: (i > 0) & keep(i))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("msg"), some(lambda i: i % 3 != 2).alias("added_code"), some(lambda i: i % 3 == 2).alias("removed_code"))
+    return dataset.diff_tokens(docs).select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.aggregate("attention_mask", F.lit(0), lambda t, x: t + x).alias("n"))
 
 
 def a6_token_ids(spark, d):
@@ -185,7 +187,10 @@ def a10_change_features(spark, d):
 def p1_leave_one_out_all(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("commit_hash"), F.col("o_orderpriority").alias("project"))
     order = [(F.col("commit_hash") * 7919) % 10007, F.col("commit_hash")]
-    return splits.leave_one_project_out_all(o, ["1-URGENT", "2-HIGH", "5-LOW"], order).select("commit_hash", "project", "split", "test_project")
+    projects = ["1-URGENT", "2-HIGH", "5-LOW"]
+    all_splits = splits.leave_one_project_out_all(o, projects, order)
+    one, *more = [splits.split_of(all_splits, projects, p).select("commit_hash", "project", "split", F.lit(p).alias("test_project")) for p in projects]
+    return functools.reduce(DataFrame.unionByName, more, one)
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -272,11 +277,11 @@ FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'),
     "a3_node_marks": f"""WITH {_PLAIN}{_IX} SELECT commit_hash, coalesce(string_agg(node_ix::VARCHAR, ',' ORDER BY node_ix) FILTER (changed), '') AS diff_idx,
   coalesce(string_agg(node_ix::VARCHAR, ',' ORDER BY node_ix) FILTER (changed AND id % 2 = 0), '') AS buggy_idx FROM ix GROUP BY commit_hash""",
     "a4_join_changes": "SELECT o_orderkey AS commit_hash, coalesce(n, -1) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
-    "a5_diff_tokens": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    "a5_diff_tokens": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 m AS (SELECT doc_id, i, {_NORMAL.format("line")} AS t FROM l),
-j AS (SELECT doc_id, max(t) FILTER (i = 1) AS msg, coalesce(string_agg(t, ' [ADD] ' ORDER BY i) FILTER (i BETWEEN 2 AND 4), '') AS a, coalesce(string_agg(t, ' [DEL] ' ORDER BY i) FILTER (i BETWEEN 5 AND 6), '') AS r FROM m GROUP BY doc_id),
-w AS (SELECT doc_id, list_concat(list_filter(string_split(msg, ' '), lambda x: x <> '')[1:8], list_filter(string_split('[ADD] ' || a || ' [DEL] ' || r, ' '), lambda x: x <> ''))[1:94] AS body FROM j)
-SELECT doc_id, '[CLS] ' || array_to_string(body, ' ') || ' [SEP]' || repeat(' [PAD]', 94 - len(body)) AS tokens, (len(body) + 2)::INT AS n FROM w""",
+j AS (SELECT doc_id, max(t) FILTER (i = 0) AS msg, coalesce(string_agg(t, ' [ADD] ' ORDER BY i) FILTER (i > 0 AND i % 3 <> 2), '') AS a, coalesce(string_agg(t, ' [DEL] ' ORDER BY i) FILTER (i % 3 = 2), '') AS r FROM m GROUP BY doc_id),
+w AS (SELECT doc_id, list_concat(list_filter(string_split(msg, ' '), lambda x: x <> '')[1:64], list_filter(string_split('[ADD] ' || a || ' [DEL] ' || r, ' '), lambda x: x <> ''))[1:510] AS body FROM j)
+SELECT doc_id, '[CLS] ' || array_to_string(body, ' ') || ' [SEP]' || repeat(' [PAD]', 510 - len(body)) AS tokens, (len(body) + 2)::INT AS n FROM w""",
     "a6_token_ids": """WITH v AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents), b AS (SELECT item_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark)
 SELECT item_id, string_agg(CASE WHEN v.token IS NULL THEN '-1' ELSE (length(b.token) * 1000 + CASE WHEN b.token = '' THEN 0 ELSE ord(b.token) END)::VARCHAR END, ' ' ORDER BY i) AS ids FROM b LEFT JOIN v ON v.token = b.token AND length(v.token) <= 3 GROUP BY item_id""",
     "a7_mean_pool": f"""WITH v AS ({_DIM.format("label")}) SELECT label, dim::INT AS dim, round(sum(CASE WHEN vec_id % 3 > 0 AND label <> 3 THEN x ELSE 0 END) / greatest(sum((vec_id % 3 > 0 AND label <> 3)::INT), 1e-9), 6) AS x FROM v GROUP BY label, dim""",

@@ -52,9 +52,9 @@ def x5_blank_comment_lines(spark, d):
 
 
 def x6_inside_quotes(spark, d):
-    line = _code(spark, d).select("doc_id", F.substring_index("code", "\n", 1).alias("line"))
+    lines = _code(spark, d).select("doc_id", F.posexplode(F.split("code", "\n")).alias("line_no", "line"))
     places = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(40), F.lit(90), F.lit(200), F.lit(100_000))).alias("pos")
-    return line.select("doc_id", "line", places).select("doc_id", "pos", text.inside_quotes(F.col("line"), F.col("pos")).alias("inside"))
+    return lines.select("doc_id", "line_no", "line", places).select("doc_id", "line_no", "pos", text.inside_quotes(F.col("line"), F.col("pos")).alias("inside"))
 
 
 def x10_strip_added_marker(spark, d):
@@ -186,8 +186,8 @@ _BARE = r"regexp_replace(substr(code, 2), '^\s+|\s+$', '', 'g')"
 
 ORACLE_SQL = {f.__name__: sql for f, sql in _COLUMNS} | {
     "x5_blank_comment_lines": f"WITH RECURSIVE {_CODE},{_X5} SELECT doc_id, string_agg(line, '' ORDER BY i) AS value FROM s GROUP BY doc_id",
-    "x6_inside_quotes": f"""WITH {_CODE}, l AS (SELECT doc_id, string_split(code, chr(10))[1] AS line, unnest([-1, 0, 40, 90, 200, 100000]) AS pos FROM code)
-SELECT doc_id, pos::INT AS pos, pos >= 0 AND pos < length(line) AND regexp_matches(regexp_replace(line[1:pos], '''[^'']*''|"[^"]*"', '', 'g'), '[''"]') AS inside FROM l""",
+    "x6_inside_quotes": f"""WITH {_CODE}, n AS (SELECT doc_id, unnest(string_split(code, chr(10))) AS line, (generate_subscripts(string_split(code, chr(10)), 1) - 1)::INT AS line_no FROM code), l AS (SELECT *, unnest([-1, 0, 40, 90, 200, 100000]) AS pos FROM n)
+SELECT doc_id, line_no, pos::INT AS pos, pos >= 0 AND pos < length(line) AND regexp_matches(regexp_replace(line[1:pos], '''[^'']*''|"[^"]*"', '', 'g'), '[''"]') AS inside FROM l""",
     "x10_strip_added_marker": f"""WITH {_CODE}, l AS (SELECT doc_id, unnest(string_split(code, chr(10))) AS line, generate_subscripts(string_split(code, chr(10)), 1) AS i FROM code),
 j AS (SELECT doc_id, string_agg(CASE WHEN i % 2 = 0 AND starts_with(line, '+') THEN substr(line, 2) ELSE line END || chr(10), '' ORDER BY i) AS t FROM l GROUP BY doc_id) SELECT doc_id, {_NORMAL.format("t")} AS value FROM j""",
     "d3_line_arrays": f"{_W} SELECT commit_hash, file_path, add_lines, add_codes, remove_lines, remove_codes FROM {_FILES}",
