@@ -42,6 +42,6 @@ def file_labels(files: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def attach_truth(preds: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Predictions with ``real_label``, and the number (``unmatched``) of those without a commit."""
+    """Predictions with ``real_label``, and the number (``unmatched``) of those without a commit. ``commits``: a row for each commit (``commit_metrics.repeated_keys`` reports others)."""
     truth = commits.select("commit_hash", F.col("is_buggy_commit").cast("double").cast("int").alias("real_label"))
     return preds.join(truth, "commit_hash"), preds.join(truth, "commit_hash", "left_anti").agg(F.count(F.lit(1)).alias("unmatched"))
