@@ -2,7 +2,7 @@
 
 1. Tasks cut texts into words and pieces and write chunks of about ``CHUNK_WORDS`` words of one language: word numbers that count within the chunk, and the chunk's distinct words with their counts.
 2. Words with ``MIN_COUNT`` or more occurrences in the language are ranked by frequency; each chunk gets the ranks of its own words by a join on them, so no task holds the dictionary.
-3. Pairs of ranks fall into tiles. Ranks are cut into bands, four for each doubling; by Zipf's law each band has about the same mass, so tiles do too, and a tile's place and width follow from its number. Within a chunk a
+3. Pairs of ranks fall into tiles. Ranks are cut into bands, one for each doubling; by Zipf's law each band has about the same mass, so tiles do too, and a tile's place and width follow from its number. Within a chunk a
    tile is counted by a dense ``bincount`` where its table is at most ``DENSE`` times its pairs, else as sorted coordinates with counts; a tile's rows from all chunks are then summed the same way, as a stream.
 4. Frequent pairs are ranked again. A stream per tile sends each chunk the ranks of the frequent pairs that it has, and (pair rank, word rank) are counted as pairs are: a triple's first and last pair must both be frequent.
 5. Scores, cuts and the removal of phrases inside longer ones are joins of frequent phrases; hot words there go through ``look_up``. Products are decimals of 38 digits.
@@ -22,6 +22,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,10 +32,10 @@ from defectflow.llm.common import look_up, materialize, release
 from defectflow.prefix import prefix_sum
 
 MIN_COUNT, COVERED, TOP = 10, 50, 2000
-CHUNK_WORDS, PART_WORDS = 1 << 19, 1 << 32
+CHUNK_WORDS, PART_WORDS = 1 << 19, 1 << 30
 DENSE = 8
 #: Cells that wait to be summed, and rows of a result frame.
-WAITING, FRAME = 4_000_000, 200_000
+WAITING, FRAME = 2_000_000, 200_000
 
 #: What ends a piece; words end at blanks and tabs.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -70,7 +71,17 @@ class _Chunk:
     def row(self, number: int, lang: str) -> tuple:
         ids = np.frombuffer(self.ids, np.int32)
         counts = np.bincount(ids, minlength=len(self.of))
-        return number, lang, int(counts[1:].sum()), ids.tobytes(), [w.decode("utf-8", "surrogatepass") for w in self.of][1:], counts[1:]
+        return number, lang, int(counts[1:].sum()), _pack(ids), [w.decode("utf-8", "surrogatepass") for w in self.of][1:], counts[1:]
+
+
+def _pack(ids: np.ndarray) -> bytes:
+    """Four bytes an id, compressed: rows stay small on their way through shuffles and into tasks."""
+    return len(ids).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(ids, "<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    size = int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(packed[8:], size * 4, codec="zstd"), "<u4")
 
 
 CHUNKS = "chunk long, lang string, n_words long, ids binary, words array<string>, counts array<long>"
@@ -103,17 +114,13 @@ def _chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def band(rank: np.ndarray) -> np.ndarray:
-    """The band of ranks from 1 on: 1, 2, 3, then four of equal width for each doubling."""
-    e = np.frexp(rank.astype(np.float64))[1].astype(np.int64) - 1  # floor of the binary logarithm
-    return np.where(e < 2, rank, 4 * (e - 1) + ((rank >> np.maximum(e - 2, 0)) & 3))
+    """The band of ranks from 1 on, one for each doubling."""
+    return np.frexp(rank.astype(np.float64))[1].astype(np.int64) - 1
 
 
 def bounds(band: int) -> tuple[int, int]:
     """First rank and width (in bits) of a band."""
-    if band < 4:
-        return band, 0
-    bits = band // 4 - 1
-    return (4 + band % 4) << bits, bits
+    return 1 << band, band
 
 
 def tally(cells: np.ndarray, weights: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +136,16 @@ def tally(cells: np.ndarray, weights: np.ndarray | None, size: int) -> tuple[np.
     return cells[first], sums.astype(np.int64)
 
 
-def _cell_type(bits: int) -> str:
-    return "<u4" if bits <= 32 else "<u8"
+def _cell_type(tile: int) -> str:
+    return "<u4" if bounds(tile >> 8)[1] + bounds(tile & 255)[1] <= 32 else "<u8"
+
+
+def _cells(tile: int, packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, _cell_type(tile)).astype(np.int64)
+
+
+def _cell_bytes(tile: int, cells: np.ndarray) -> bytes:
+    return cells.astype(_cell_type(tile)).tobytes()
 
 
 def tiles(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -153,11 +168,10 @@ TILES = "lang string, tile int, part int, chunk long, cells binary, counts binar
 def _tile_rows(lang: str, chunk: int, x: np.ndarray, y: np.ndarray, parts: int) -> pd.DataFrame:
     out = []
     for tile, cells, counts in tiles(x, y):
-        kind = _cell_type(bounds(tile >> 8)[1] + bounds(tile & 255)[1])
         part = cells * 0x9E3779B1 % (1 << 31) % parts if parts > 1 else np.zeros(1, np.int64)
         for p in np.unique(part).tolist():
             mine = part == p if parts > 1 else slice(None)
-            out.append((lang, tile, p, chunk, cells[mine].astype(kind).tobytes(), counts[mine].astype("<u4").tobytes()))
+            out.append((lang, tile, p, chunk, _cell_bytes(tile, cells[mine]), counts[mine].astype("<u4").tobytes()))
     return pd.DataFrame(out, columns=[c.split()[0] for c in TILES.split(", ")])
 
 
@@ -191,8 +205,7 @@ def totals(tile_rows: DataFrame, at_least: int) -> DataFrame:
                             yield pd.concat(ready)
                             ready, n_ready = [], 0
                     now, cells, sums, size = (lang, tile, part), [], [], 0
-                kind = _cell_type(bounds(tile >> 8)[1] + bounds(tile & 255)[1])
-                cells.append(np.frombuffer(c, kind).astype(np.int64))
+                cells.append(_cells(tile, c))
                 sums.append(np.frombuffer(n, "<u4").astype(np.int64))
                 size += len(cells[-1])
                 if size > WAITING:
@@ -223,11 +236,11 @@ def _in_ranks(chunks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                ids = np.frombuffer(r.ids, np.int32)
+                ids = _unpack(r.ids)
                 of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
                 if r.at is not None:
                     of[np.asarray(r.at, np.int64)] = r.rank
-                yield pd.DataFrame([(r.chunk, r.lang, of[ids].tobytes())], columns=["chunk", "lang", "ids"])
+                yield pd.DataFrame([(r.chunk, r.lang, _pack(of[ids]))], columns=["chunk", "lang", "ids"])
 
     listed = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
     known = listed.join(vocabulary.select("lang", "word", "rank").hint("merge"), ["lang", "word"])
@@ -239,7 +252,7 @@ def _pair_tiles(encoded: DataFrame, parts: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                ids = np.frombuffer(r.ids, np.uint32).astype(np.int64)
+                ids = _unpack(r.ids).astype(np.int64)
                 both = (ids[:-1] > 0) & (ids[1:] > 0)
                 yield _tile_rows(r.lang, r.chunk, ids[:-1][both], ids[1:][both], parts)
 
@@ -247,30 +260,33 @@ def _pair_tiles(encoded: DataFrame, parts: int) -> DataFrame:
 
 
 def _marks(tile_rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``chunk, keys, ranks``: frequent pairs of each chunk and tile as ``x << 32 | y``. In a tile's stream the frequent cells come first, then the chunks' rows."""
+    """``chunk, tile, cells, ranks``: frequent pairs of each chunk and tile. In a tile's stream the frequent cells come first, then the chunks' rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, known, ranks = None, None, None
+        out, size, names = [], 0, ["chunk", "tile", "cells", "ranks"]
         for frame in frames:
-            out = []
             for r in frame.itertuples(index=False):
                 key = (r.lang, r.tile, r.part)
                 if r.known is not None:
                     now, known, ranks = key, np.asarray(r.known, np.int64), np.asarray(r.ranks, np.int64)
                 elif key == now:
-                    (x0, x_bits), (y0, y_bits) = bounds(r.tile >> 8), bounds(r.tile & 255)
-                    cells = np.frombuffer(r.cells, _cell_type(x_bits + y_bits)).astype(np.int64)
+                    cells = _cells(r.tile, r.cells)
                     cells = cells[np.isin(cells, known, assume_unique=True)]
-                    keys = (x0 + (cells >> y_bits)) << 32 | y0 + (cells & (1 << y_bits) - 1)
                     if len(cells):
-                        out.append((r.chunk, keys.astype("<u8").tobytes(), ranks[np.searchsorted(known, cells)].astype("<u8").tobytes()))
-            yield pd.DataFrame(out, columns=["chunk", "keys", "ranks"])
+                        its = ranks[np.searchsorted(known, cells)]
+                        out.append((r.chunk, r.tile, _cell_bytes(r.tile, cells), its.astype("<u4" if its.max() < 1 << 32 else "<u8").tobytes()))
+                        size += len(cells)
+                        if size >= FRAME:
+                            yield pd.DataFrame(out, columns=names)
+                            out, size = [], 0
+        yield pd.DataFrame(out, columns=names)
 
     key = ["lang", "tile", "part"]
     held = F.sort_array(F.collect_list(F.struct("cell", "rank")))
     frequent = pairs.groupBy(*key).agg(held.alias("h")).select(*key, F.col("h.cell").alias("known"), F.col("h.rank").alias("ranks"))
     both = tile_rows.select(*key, "chunk", "cells").unionByName(frequent, allowMissingColumns=True)
-    return both.repartition(*key).sortWithinPartitions(*key, F.col("chunk").asc_nulls_first()).mapInPandas(run, "chunk long, keys binary, ranks binary")
+    return both.repartition(*key).sortWithinPartitions(*key, F.col("chunk").asc_nulls_first()).mapInPandas(run, "chunk long, tile int, cells binary, ranks binary")
 
 
 def _triple_tiles(encoded: DataFrame, marks: DataFrame, parts: int) -> DataFrame:
@@ -281,14 +297,16 @@ def _triple_tiles(encoded: DataFrame, marks: DataFrame, parts: int) -> DataFrame
         for frame in frames:
             for r in frame.itertuples(index=False):
                 if r.ids is None:
-                    keys.append(np.frombuffer(r.keys, "<u8").astype(np.int64))
-                    ranks.append(np.frombuffer(r.ranks, "<u8").astype(np.int64))
+                    (x0, _), (y0, y_bits) = bounds(int(r.tile) >> 8), bounds(int(r.tile) & 255)
+                    cells = _cells(int(r.tile), r.cells)
+                    keys.append((x0 + (cells >> y_bits)) << 32 | y0 + (cells & (1 << y_bits) - 1))
+                    ranks.append(np.frombuffer(r.ranks, "<u4" if len(r.ranks) == 4 * len(cells) else "<u8").astype(np.int64))
                     continue
                 if keys:
                     known, of = np.concatenate(keys), np.concatenate(ranks)
                     order = np.argsort(known)
                     known, of = known[order], of[order]
-                    ids = np.frombuffer(r.ids, np.uint32).astype(np.int64)
+                    ids = _unpack(r.ids).astype(np.int64)
                     pair = ids[:-1] << 32 | ids[1:]
                     at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
                     rank = np.where(known[at] == pair, of[at], 0)
@@ -349,12 +367,17 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, covered: int = COVERED,
     by_pair = alone.select("lang", "x", "y", F.lit(None).cast("long").alias("z"), "a", "l", "r", _score("a", "l", "r").alias("score"))
     lower = F.col("s2") < F.col("s1")
     by_triple = ended.select("lang", "x", "y", "z", "a", F.when(lower, F.col("l2")).otherwise(F.col("l1")).alias("l"), F.when(lower, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.least("s1", "s2").alias("score"))
-    best = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
-    near = materialize(by_pair.unionByName(by_triple).withColumn("place", F.rank().over(best)).where(F.col("place") <= top).drop("place"), "best", free=False)
+    scored = materialize(by_pair.unionByName(by_triple), "scored", free=False)
+    falling = [F.col("score").desc(), F.col("a").desc()]
+    placed = prefix_sum(scored, [*falling, F.col("x"), F.col("y"), F.col("z")], {"place": F.lit(1)}, ["lang"])
+    least = placed.where(F.col("place") == top).select("lang", F.col("score").alias("s0"), F.col("a").alias("a0"))  # a row for each language; its ties stay until they have words
+    near = placed.join(least, "lang", "left").where(F.col("s0").isNull() | (F.col("score") > F.col("s0")) | (F.col("score") == F.col("s0")) & (F.col("a") >= F.col("a0")))
+    near = materialize(near.select("lang", "x", "y", "z", "a", "l", "r", "score"), "best", free=False)
+    release(one, two, begun, ended, scored, *placed.tables)
     for key in ("x", "y", "z"):
         near = near.join(words.select("lang", F.col("rank").alias(key), F.col("word").alias(f"{key}_word")), ["lang", key], "left")
     named = near.withColumn("phrase", F.concat_ws(" ", "x_word", "y_word", "z_word"))
-    numbered = named.withColumn("rank", F.row_number().over(best.orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")).cast("long")).where(F.col("rank") <= top)
+    numbered = named.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*falling, "phrase")).cast("long")).where(F.col("rank") <= top)
     return numbered.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
