@@ -3,8 +3,8 @@
 Values are found by pattern and validated: card numbers (13 to 19 digits, unbroken or in groups) by Luhn's check digit, IBAN by its remainder of 97, dates by the calendar, IPv4 by its four bytes, US social
 security numbers by their ranges, phone numbers by their form and number of digits. A valid value becomes another valid value of the same format: its free digits are split in two halves that take turns adding a
 keyed hash (SHA-256 over the key, the kind, the round and the other half), modulo their number of values, which is a permutation of the whole format; check digits are computed anew, and where a format has fewer
-values than the network, steps are repeated until one is met. The same value and key give the same pseudonym in every document, whatever its separators, so links between documents stay. E-mail addresses keep their domain, access keys their
-prefix; in them, in hexadecimal secrets, IPv6 addresses and account numbers each letter or digit turns within its own class, by a network over two parts of each character. Separators and surrounding text stay as they are. Built-in columns only.
+values than the network, steps are repeated until one is met. The same value and key give the same pseudonym in every document, whatever its separators, grouping or date format, so links between documents stay. E-mail addresses keep
+their domain and case, access keys their prefix; in them, in hexadecimal secrets, IPv6 addresses and account numbers each letter or digit turns within its own class, by a network over two parts of each character. Separators and surrounding text stay as they are. Built-in columns only.
 
 Dates: ``1999-12-31``, ``1999/12/31``, ``31.12.1999``, ``12/31/1999`` (day first if it can't be a month), ``31 December 1999``, ``December 31, 1999`` and short English months, from 1900 to 2099. Phones: ``+`` and 8 to 15 digits,
 ``(555) 123-4567``, ``555-123-4567`` (also with dots or blanks); the country code stays.
@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectflow.llm.common import let
+from defectflow.llm.common import let, shared_dir
 
 ROUNDS = 8
 DAYS = 73_049  # 1900-01-01 to 2099-12-31
@@ -47,13 +47,13 @@ ALNUM = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 HEX = ("0123456789", "abcdef", "ABCDEF")
 
 
-def _hash(key: str, what: str, *values: Column) -> Column:
+def _hash(key: Column, what: str, *values: Column) -> Column:
     """A keyed hash from 0 to 2^48."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(what), *(v.cast("string") for v in values)), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def feistel(value: Column, left_size: int, right_size: int, key: str, what: str) -> Column:
+def feistel(value: Column, left_size: int, right_size: int, key: Column, what: str) -> Column:
     """A keyed permutation of 0 to left_size * right_size - 1."""
     start = F.struct((F.floor(value / right_size)).cast("long").alias("l"), F.pmod(value, F.lit(right_size)).cast("long").alias("r"))
 
@@ -66,7 +66,7 @@ def feistel(value: Column, left_size: int, right_size: int, key: str, what: str)
     return let(done, lambda s: s["l"] * right_size + s["r"])
 
 
-def _characters(text: Column, classes: tuple[str, ...], key: str, what: str) -> Column:
+def _characters(text: Column, classes: tuple[str, ...], key: Column, what: str) -> Column:
     """Characters turn within their class, all others stay. Each character's place in its class is 2 * high + low; all highs and all lows are the halves of a Feistel network."""
     known = F.filter(F.transform(F.split(text, ""), lambda c: c), lambda c: c != "")
 
@@ -102,19 +102,19 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, r"\D", "")
 
 
-def _put(m: Column, digits: Column) -> Column:
-    """``m`` with its digits replaced in order."""
+def _put(m: Column, digits: Column, taken: Callable[[Column], Column] = lambda c: c.between("0", "9")) -> Column:
+    """``m`` with its digits (or other ``taken`` characters) replaced in order."""
     chars = F.filter(F.split(m, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def add(s: Column, c: Column) -> Column:
-        digit = c.between("0", "9")
-        return F.struct(F.concat(s["out"], F.when(digit, F.substring(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + F.when(digit, 1).otherwise(0)).alias("at"))
+        own = taken(c)
+        return F.struct(F.concat(s["out"], F.when(own, F.substring(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + F.when(own, 1).otherwise(0)).alias("at"))
 
     return F.aggregate(chars, start, add, lambda s: s["out"])
 
 
-def _number(digits: Column, low: int, high: int, key: str, what: str) -> Column:
+def _number(digits: Column, low: int, high: int, key: Column, what: str) -> Column:
     """``low`` to ``high`` digits to as many digits."""
     out = None
     for n in range(low, high + 1):
@@ -140,7 +140,7 @@ def luhn_valid(digits: Column) -> Column:
     return _digit_sum(digits, False) % 10 == 0
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     def new(d: Column) -> Column:
         body = _number(F.substring(d, F.lit(1), F.length(d) - 1), 12, 18, key, "card")
         return F.when(luhn_valid(d), _put(m, let(body, lambda b: F.concat(b, F.pmod(-_digit_sum(b, True), F.lit(10)).cast("string"))))).otherwise(m)
@@ -148,16 +148,16 @@ def _card(m: Column, key: str) -> Column:
     return let(_digits(m), new)
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Column) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("long"))
     value = F.aggregate(parts, F.lit(0).cast("long"), lambda t, p: t * 256 + p)
     new = let(feistel(value, 1 << 16, 1 << 16, key, "ip"), lambda v: F.concat_ws(".", *(F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0))))
     return F.when(F.forall(parts, lambda p: p <= 255), new).otherwise(m)
 
 
-def _date(m: Column, key: str) -> Column:
-    """Days from 1900-01-01. Of the 281 * 260 = 73,060 values of the network 73,049 are days; with the day first only the 13th and later are in the format. Steps repeat until such a day is met,
-    which happens at the latest at the date itself, at the end of its cycle."""
+def _date(m: Column, key: Column) -> Column:
+    """Days from 1900-01-01. Of the 281 * 260 = 73,060 values of the network 73,049 are days. Written day first, only the 13th and later can be read again; so, whatever the format, days up to the 12th and
+    later ones turn among themselves. Steps repeat until such a day is met, which happens at the latest at the date itself, at the end of its cycle."""
     first = F.lit("1900-01-01").cast("date")
     ahead = F.split(m, "/")[0].cast("int") > 12
     name = lambda plain, short: F.when(m.rlike(r"[A-Za-z]{4}"), plain).otherwise(short)
@@ -166,20 +166,20 @@ def _date(m: Column, key: str) -> Column:
         .when(m.contains("/"), F.when(F.length(m) == 10, F.when(ahead, "dd/MM/yyyy").otherwise("MM/dd/yyyy")).otherwise(F.when(ahead, "d/M/yyyy").otherwise("M/d/yyyy")))
         .when(m.contains(","), name("MMMM d, yyyy", "MMM d, yyyy")).otherwise(name("d MMMM yyyy", "d MMM yyyy"))
     )
-    late = m.contains("/") & ~m.rlike(r"^\d{4}/") & ahead
 
     def new(fmt: Column) -> Column:
         day = F.datediff(F.try_to_timestamp(m, fmt).cast("date"), first).cast("long")
-        outside = lambda v: (v >= DAYS) | (late & (F.dayofmonth(F.date_add(first, F.least(v, F.lit(DAYS)).cast("int"))) <= 12))
+        late = lambda v: F.dayofmonth(F.date_add(first, F.least(v, F.lit(DAYS)).cast("int"))) > 12
+        outside = lambda v: (v >= DAYS) | (late(v) != late(day))
         step = lambda v: feistel(v, 281, 260, key, "date")
         walked = F.aggregate(F.sequence(F.lit(1), F.lit(99)), step(day), lambda v, _: F.when(outside(v), step(v)).otherwise(v))
-        # A longer walk is an event of less than 1 in 10^21 a date; the 13th of the same cycle's start then stands for it.
+        # A longer walk is an event of less than 1 in 10^21 a date; the date then stands for itself.
         return let(walked, lambda v: F.when(day.isNull() | ~day.between(0, DAYS - 1), m).otherwise(F.call_function("date_format", F.date_add(first, F.when(outside(v), day).otherwise(v).cast("int")), fmt)))
 
     return let(fmt, new)
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Column) -> Column:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999: each free part is one mixed-radix digit."""
     area, group, serial = F.substring(m, 1, 3).cast("long"), F.substring(m, 5, 2).cast("long"), F.substring(m, 8, 4).cast("long")
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -194,16 +194,27 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, let(feistel(value, 898 * 99, 9999, key, "ssn"), back)).otherwise(m)
 
 
-def _phone(m: Column, key: str) -> Column:
-    """The country code (after ``+``, up to a separator; of an unbroken number its first digit) stays, the other digits are one number."""
-    head = F.when(m.rlike(r"^\+\d{8,15}$"), F.substring(m, 1, 2)).when(m.startswith("+"), F.regexp_extract(m, r"^(\+\d{1,3})", 1)).otherwise("")
-    rest = F.substring(m, F.length(head) + 1, F.length(m))
-    new = let(_digits(rest), lambda d: _put(rest, _number(d, 6, 14, key, "phone")))
-    return F.when(F.length(_digits(m)).between(8, 15), F.concat(head, new)).otherwise(m)
+#: Country codes of one and of two digits; all others have three.
+CODES = "^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
 
-def _email(m: Column, key: str) -> Column:
-    return F.concat(_characters(F.lower(F.substring_index(m, "@", 1)), ALNUM[:2], key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+def _phone(m: Column, key: Column) -> Column:
+    """The country code (after ``+``) stays, the other digits are one number, whatever the separators."""
+
+    def new(d: Column) -> Column:
+        code = F.when(m.startswith("+"), F.when(d.rlike(CODES), F.regexp_extract(d, CODES, 0)).otherwise(F.substring(d, 1, 3))).otherwise("")
+        return let(code, lambda c: _put(m, F.concat(c, let(F.substring(d, F.length(c) + 1, F.length(d)), lambda r: _number(r, 5, 14, key, "phone")))))
+
+    return let(_digits(m), lambda d: F.when(F.length(d).between(8, 15), new(d)).otherwise(m))
+
+
+def _email(m: Column, key: Column) -> Column:
+    """Addresses that differ in case alone stay linked, and each letter keeps its case."""
+    local = F.substring_index(m, "@", 1)
+    new = _characters(F.lower(local), ALNUM[:2], key, "email")
+    letters = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
+    cased = F.transform(F.arrays_zip(letters(local).alias("old"), letters(new).alias("new")), lambda x: F.when(x["old"].between("A", "Z"), F.upper(x["new"])).otherwise(x["new"]))
+    return F.concat(F.array_join(cased, ""), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _remainder(text: Column) -> Column:
@@ -216,27 +227,30 @@ def _remainder(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), add)
 
 
-def _iban(m: Column, key: str) -> Column:
-    """Country and grouping stay, the account turns by character, the check digits are new. A last group that is a following word is left out."""
+def _iban(m: Column, key: Column) -> Column:
+    """Country and grouping stay, the account turns by character of its unspaced form, the check digits are new. A last group that is a following word is left out."""
     bare = lambda t: F.replace(t, F.lit(" "), F.lit(""))
     valid = lambda t: let(bare(t), lambda b: F.length(b).between(15, 34) & (_remainder(F.concat(F.substring(b, 5, 34), F.substring(b, 1, 4))) == 1))
 
     def new(t: Column) -> Column:
-        account = _characters(F.substring(t, 5, 60), (ALNUM[0], ALNUM[2]), key, "iban")
-        return let(account, lambda a: F.concat(F.substring(t, 1, 2), F.lpad((98 - _remainder(F.concat(bare(a), F.substring(t, 1, 2), F.lit("00")))).cast("string"), 2, "0"), a))
+        def written(b: Column) -> Column:
+            account = _characters(F.substring(b, 5, 60), (ALNUM[0], ALNUM[2]), key, "iban")
+            return let(account, lambda a: F.concat(F.substring(b, 1, 2), F.lpad((98 - _remainder(F.concat(a, F.substring(b, 1, 2), F.lit("00")))).cast("string"), 2, "0"), a))
+
+        return let(let(bare(t), written), lambda w: _put(t, w, lambda c: c != " "))
 
     short = F.regexp_replace(m, " [A-Z0-9]{1,4}$", "")
     return F.when(valid(m), new(m)).when(valid(short), F.concat(new(short), F.substring(m, F.length(short) + 1, F.lit(9)))).otherwise(m)
 
 
-def _key(m: Column, key: str) -> Column:
+def _key(m: Column, key: Column) -> Column:
     head = F.regexp_extract(m, r"^(AKIA|ASIA|gh[a-z]_|sk-|xox[a-z]-|AIza)", 1)
     return F.concat(head, _characters(F.substring(m, F.length(head) + 1, F.length(m)), ALNUM, key, "key"))
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: Column) -> Column:
     """The pseudonym of one matched value; the value itself if it isn't valid."""
-    makers: dict[str, Callable[[Column, str], Column]] = {
+    makers: dict[str, Callable[[Column, Column], Column]] = {
         "email": _email, "ipv6": lambda x, k: _characters(x, HEX, k, "ipv6"), "iban": _iban, "key": _key, "secret": lambda x, k: _characters(x, HEX, k, "secret"), "phone": _phone, "ip": _ip, "date": _date,
         "ssn": _ssn, "card": _card,
     }
@@ -247,8 +261,9 @@ def pseudonym(m: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymize(text: Column, key: str) -> Column:
-    """The text with every valid value replaced: the pieces between matches are joined with the pseudonyms."""
+def pseudonymize(text: Column, key: Column | str) -> Column:
+    """The text with every valid value replaced: the pieces between matches are joined with the pseudonyms. A ``key`` that is text stands in the plan; ``protect`` keeps it out."""
+    key = F.lit(key) if isinstance(key, str) else key
 
     def joined(found: Column) -> Column:
         new = F.transform(found, lambda m: pseudonym(m, key))
@@ -259,16 +274,30 @@ def pseudonymize(text: Column, key: str) -> Column:
     return F.when(text.rlike("[0-9@]"), let(found, lambda f: F.when(F.size(f) > 0, joined(f)).otherwise(text))).otherwise(text)
 
 
-def protect(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with ``text`` replaced by its pseudonymised form, all other columns as they are. Who knows the key can undo it."""
+def _with_key(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the key as column ``__key``, read by the tasks from a file of one line in the shared folder that only its owner may read: no plan, log or page shows it."""
     if not key:
         raise ValueError("a secret key is needed")
-    return docs.withColumn("text", pseudonymize(F.col("text"), key))
+    spark = docs.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "pii"))
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder, jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
+    out = store.create(jvm.org.apache.hadoop.fs.Path(folder, "key"))
+    out.write(bytearray(key.encode().hex().encode()))
+    out.close()
+    line = spark.read.schema("__key string").text(folder.toString())
+    return docs.crossJoin(F.broadcast(line.select(F.decode(F.unhex("__key"), "UTF-8").alias("__key"))))  # one row
+
+
+def protect(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``text`` replaced by its pseudonymised form, all other columns as they are. Who knows the key can undo it."""
+    return _with_key(docs, key).withColumn("text", pseudonymize(F.col("text"), F.col("__key"))).drop("__key")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    """The key is the session's ``spark.defectflow.pii.key``, or a new one for each call."""
-    key = spark.conf.get("spark.defectflow.pii.key", None) or secrets.token_hex(32)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    new = docs.select("doc_id", F.col("text").alias("old"), pseudonymize(F.col("text"), key).alias("text"))
+    """The key is the session's ``spark.defectflow.pii.secret`` (a name that Spark's pages redact), or a new one for each call."""
+    key = spark.conf.get("spark.defectflow.pii.secret", None) or secrets.token_hex(32)
+    docs = _with_key(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)
+    new = docs.select("doc_id", F.col("text").alias("old"), pseudonymize(F.col("text"), F.col("__key")).alias("text"))
     return new.select("doc_id", "text", (~F.col("text").eqNullSafe(F.col("old"))).alias("changed"))
