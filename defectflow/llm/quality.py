@@ -1,6 +1,6 @@
 """Quality rules: a short-circuit cascade ordered by rejection per cost.
 
-Each rule is a Boolean column over the text. On a bounded sample from all partitions the cost (seconds over the sample, without the split into words that they share) and the selectivity (share rejected) of
+Each rule is a Boolean column over the text. On a bounded sample from all partitions the cost (seconds over the sample, repeated until launching doesn't matter, without the split into words that they share) and the selectivity (share rejected) of
 each rule are measured; the cascade then tests the rules by falling rejection per cost, and CASE WHEN stops at the first that rejects.
 The order changes how much work a row takes, never which rows are rejected: a document is kept if no rule rejects it.
 Everything is built-in columns: no Python runs on the executors.
@@ -22,6 +22,7 @@ from defectflow.llm.common import let, words
 
 MIN_WORDS = 50
 SAMPLE_ROWS = 200
+LEAST_SECONDS, MOST_TIMES, RUNS = 0.3, 4096, 3
 #: Of longer texts the sample has the beginning, so that it has a bounded size.
 SAMPLE_CHARS = 50_000
 
@@ -106,30 +107,35 @@ class Estimate:
 
     @property
     def rank(self) -> float:
-        return self.rejected / max(self.seconds, 1e-4)
+        return self.rejected / max(self.seconds, 1e-7)
 
 
 def estimate_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on about ``sample_rows`` random rows, best rule first, ties by name.
+    """Cost and selectivity of each rule on about ``sample_rows`` random rows (the same ones for the same table), best rule first, ties by name.
 
-    Each rule runs over the sample twice, the second time counts: the first compiles."""
+    A job of so few rows costs its launch, so the sample is repeated until the split into words alone takes ``LEAST_SECONDS``; of ``RUNS`` runs of each rule, after one that compiles, the fastest counts."""
     n_rows = docs.count()
     share = min(1.0, sample_rows / max(n_rows, 1))
-    rows = docs.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).sample(share, seed=7).take(2 * sample_rows)
+    rows = docs.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).sample(fraction=share, seed=7).take(2 * sample_rows)
     if not rows:
         return [Estimate(r, 0.0, 0.0) for r in rules]
-    sample = docs.sparkSession.createDataFrame(rows, "text string").coalesce(1)
+    sample, times = docs.sparkSession.createDataFrame(rows, "text string").coalesce(1), 1
 
-    def measured(verdict: Column) -> tuple[float, int]:
-        counted = sample.agg(F.count_if(verdict).alias("n"))
+    def measured(verdict: Column, runs: int = RUNS) -> tuple[float, int]:
+        counted = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times)))).agg(F.count_if(verdict).alias("n"))
         counted.first()
-        began = time.perf_counter()
-        n = counted.first()["n"]
-        return time.perf_counter() - began, n
-
-    split, _ = measured(let(words(F.col("text")), lambda w: F.size(w) < 0))
+        seconds = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            n = counted.first()["n"]
+            seconds.append(time.perf_counter() - began)
+        return min(seconds), n // times
+
+    split = let(words(F.col("text")), lambda w: F.size(w) < 0)
+    while (alone := measured(split, 1)[0]) < LEAST_SECONDS and times < MOST_TIMES:
+        times *= 4
     found = [(rule, *measured(_verdict(rule))) for rule in rules]
-    return sorted((Estimate(rule, max(seconds - split, 0.0), n / len(rows)) for rule, seconds, n in found), key=lambda e: (-e.rank, e.rule.name))
+    return sorted((Estimate(rule, max(seconds - alone, 0.0) / times, n / len(rows)) for rule, seconds, n in found), key=lambda e: (-e.rank, e.rule.name))
 
 
 def _verdict(rule: Rule) -> Column:
