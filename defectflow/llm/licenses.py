@@ -3,7 +3,7 @@
 Texts and templates are lower-cased and cut to words of letters and digits; shingles are five words. For each number s of template shingles, windows of 2.5 s
 shingles start every s/2 shingles, so every place of up to 2 s shingles, such as an edited template with words put in, lies whole in a window. A template that keeps 0.8 of its shingles in such a window
 has a similarity of at least 0.8 / 2.7 there, a whole one 0.4; ``BANDS`` = 32 bands of ``ROWS`` = 1 MinHash value retrieve them with probability 1 - 0.704^32 > 0.99998 and more. A retrieved template is
-verified by the exact share of its shingles in the window, 0.8 or more. Windows in which less than 0.8 s shingles are of any template can't be verified and aren't hashed.
+verified by the exact share of its shingles in the window, 0.8 or more. Windows in which less than 0.8 s shingles are of templates of size s can't be verified and aren't hashed.
 
 Templates are a fixed list: notices, the whole texts of ``license_texts`` and their parts (numbered sections or paragraphs of ``PART`` words or more; ``NAME/part-N``), so that a text that holds only the conditions or
 the warranty is found too. Their shingles and bands are literals and a table of bounded size. Built-in columns only.
@@ -109,20 +109,24 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None) -> DataF
     spark = docs.sparkSession
     known = templates(spark, texts)
     grams = [r["g"] for r in known.select(F.explode("grams").alias("g")).distinct().collect()]  # of the fixed templates
-    sizes = sorted({len(set(zip(*(w[j:] for j in range(SHINGLE)), strict=False))) for w in map(template_words, texts.values()) if len(w) >= SHINGLE})
     # A generator computes its row once; a filter would repeat the columns. ``mark``: 1 where a shingle is of a template.
     shingled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(_tokens(F.col("text")), _shingles).alias("s"))
     marks = F.expr(f"transform(s, h -> if(h IN ({', '.join(f'{g}L' if g != -(1 << 63) else 'bigint(-9223372036854775808)' for g in grams)}), 1, 0))")
     both = F.filter(F.array(F.struct(F.col("s").alias("all"), marks.alias("mark"))), lambda x: F.exists(x["mark"], lambda m: m == 1))
     hashed = shingled.select("doc_id", F.inline_outer(both)).where(F.col("all").isNotNull())
     hashed = materialize(hashed.withColumn("row", F.monotonically_increasing_id()), "shingles")
-    total = lambda marked: F.aggregate(marked, F.lit(0), lambda t, m: t + m)
+    # Each shingle of a template votes for the about five windows around it, of the sizes of its templates only: the work is linear in a text's words.
     least = lambda s: s * CONTAINED - 1e-6
-    fits = let(total(F.col("mark")), lambda n: F.filter(F.lit(sizes), lambda s: least(s) <= n))
-    sized = hashed.select("row", "doc_id", "all", "mark", F.explode(fits).alias("size"))
     step, length = F.greatest(F.lit(1), F.floor(F.col("size") / 2).cast("int")), F.ceil(F.col("size") * 2.5).cast("int")
-    starts = F.filter(F.sequence(F.lit(0), F.size("all") - 1, step), lambda at: total(F.slice(F.col("mark"), at + 1, length)) >= least(F.col("size")))
-    every = sized.select("row", "doc_id", "all", "size", F.explode(starts).alias("at")).select("row", "doc_id", "at", "size", F.slice(F.col("all"), F.col("at") + 1, length).alias("window"))
+    sizes = known.select(F.explode("grams").alias("gram"), "size").distinct().groupBy("gram").agg(F.collect_list("size").alias("sizes"))
+    placed = hashed.select("row", F.explode(F.filter(F.transform("all", lambda h, i: F.struct(i.alias("at"), h.alias("gram"))), lambda x: F.get("mark", x["at"]) == 1)).alias("x"))
+    sized = placed.select("row", "x.*").join(F.broadcast(sizes), "gram").select("row", "at", F.explode("sizes").alias("size"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") - length + 1) / step).cast("int"))
+    votes = sized.select("row", "size", F.explode(F.transform(F.sequence(first, F.floor(F.col("at") / step).cast("int")), lambda k: k * step)).alias("at"))
+    starts = votes.groupBy("row", "size", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least(F.col("size")))
+    listed = starts.groupBy("row").agg(F.collect_list(F.struct("size", "at")).alias("starts"))  # a text's own windows
+    cut = lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), F.slice(F.col("all"), x["at"] + 1, F.ceil(x["size"] * 2.5).cast("int")).alias("window"))
+    every = hashed.join(listed.hint("merge"), "row").select("row", "doc_id", F.inline(F.transform("starts", cut)))
     asked = every.withColumn("found", F.explode(_bands(F.col("window")))).select("row", "doc_id", "at", "size", "window", "found.band", "found.value")
     offered = known.withColumn("offer", F.explode(_bands(F.col("grams")))).select("license", "size", "offer.band", "offer.value")
     met = asked.join(F.broadcast(offered), ["size", "band", "value"])  # offered: BANDS rows for each fixed template
