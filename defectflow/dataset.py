@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from defectflow.diffs import COMMIT, FILE
 from defectflow.text import normalize_code
@@ -55,12 +56,32 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.split(normalize_code(F.coalesce(c, F.lit(""))), " "), lambda t: t != "")
 
 
-def diff_tokens(changes: DataFrame, max_len: int = 512, msg_len: int = 64, tokenizer: Callable[[Column], Column] = _tokens) -> DataFrame:
-    """``changes`` with ``tokens`` (message, added and removed lines between markers, padded) and ``attention_mask``. ``tokenizer``: string column to array column."""
-    joined = lambda lines, marker: F.flatten(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda x, i: F.concat(F.when(i > 0, F.array(F.lit(marker))).otherwise(F.array().cast("array<string>")), tokenizer(x))))
-    body = F.concat(F.slice(tokenizer(F.col("msg")), 1, msg_len), F.array(F.lit("[ADD]")), joined(F.col("added_code"), "[ADD]"), F.array(F.lit("[DEL]")), joined(F.col("removed_code"), "[DEL]"))
+def batch_tokenizer(tokenize: Callable[[list[str]], list[list[str]]]) -> Callable[[Column], Column]:
+    """From a Python function over many texts, such as a subword tokenizer's, to one from a column of arrays of texts to arrays of arrays of tokens; a batch of rows is one call."""
+
+    @F.pandas_udf(ArrayType(ArrayType(StringType())))
+    def run(rows: pd.Series) -> pd.Series:
+        found = tokenize([t for texts in rows for t in texts])
+        ends = np.cumsum([len(texts) for texts in rows]).tolist()
+        return pd.Series([found[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+
+    return run
+
+
+def diff_tokens(changes: DataFrame, max_len: int = 512, msg_len: int = 64, tokenizer: Callable[[Column], Column] = _tokens, tokenize: Callable[[list[str]], list[list[str]]] | None = None) -> DataFrame:
+    """``changes`` with ``tokens`` (message, added and removed lines between markers, padded) and ``attention_mask``. ``tokenizer``: string column to array column; or ``tokenize``: a Python function from normalized texts to their tokens."""
+    lines = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    if tokenize:
+        texts = F.transform(F.concat(F.array(F.coalesce("msg", F.lit(""))), lines("added_code"), lines("removed_code")), lambda t: normalize_code(F.coalesce(t, F.lit(""))))
+        rows = changes.withColumn("__tokens", batch_tokenizer(tokenize)(texts))
+        n = F.size(lines("added_code"))
+        msg, added, removed = F.get("__tokens", F.lit(0)), F.slice("__tokens", F.lit(2), n), F.slice("__tokens", n + 2, F.size(lines("removed_code")))
+    else:
+        rows, msg, added, removed = changes, tokenizer(F.col("msg")), F.transform(lines("added_code"), tokenizer), F.transform(lines("removed_code"), tokenizer)
+    joined = lambda parts, marker: F.flatten(F.transform(parts, lambda x, i: F.concat(F.when(i > 0, F.array(F.lit(marker))).otherwise(F.array().cast("array<string>")), x)))
+    body = F.concat(F.slice(msg, 1, msg_len), F.array(F.lit("[ADD]")), joined(added, "[ADD]"), F.array(F.lit("[DEL]")), joined(removed, "[DEL]"))
     full = F.concat(F.array(F.lit("[CLS]")), F.slice(body, 1, max_len - 2), F.array(F.lit("[SEP]")))
-    out = changes.withColumn("tokens", full)
+    out = rows.withColumn("tokens", full).drop("__tokens")
     pad = F.lit(max_len) - F.size("tokens")
     mask = F.concat(F.transform("tokens", lambda _: F.lit(1)), F.array_repeat(F.lit(0), pad))
     return out.withColumn("attention_mask", mask).withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit("[PAD]"), pad)))

@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from defectflow.dataset import batch_tokenizer
+
 ADD, DEL = "[ADD]", "[DEL]"
 
 
-def line_tokens(lines: DataFrame, tokenizer=None) -> DataFrame:
-    """``commit_id, idx, changed_type, token``: a row for each token of each changed line. ``tokenizer``: column to array column, words by default."""
-    tokens = tokenizer(F.col("changed_line")) if tokenizer else F.split(F.trim(F.col("changed_line")), r"\s+")
+def line_tokens(lines: DataFrame, tokenizer=None, tokenize=None) -> DataFrame:
+    """``commit_id, idx, changed_type, token``: a row for each token of each changed line. ``tokenizer``: column to array column, words by default; or ``tokenize``: a Python function from texts to their tokens."""
+    if tokenize:
+        tokens = F.get(batch_tokenizer(tokenize)(F.array(F.coalesce("changed_line", F.lit("")))), F.lit(0))
+    else:
+        tokens = tokenizer(F.col("changed_line")) if tokenizer else F.split(F.trim(F.col("changed_line")), r"\s+")
     out = lines.select("commit_id", "idx", "changed_type", F.explode(tokens).alias("token"))
     return out.withColumn("token", F.replace("token", F.lit("Ġ"), F.lit(""))).where("token <> ''")
 

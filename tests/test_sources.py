@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from defectflow import line_metrics, sources, splits
+from defectflow import dataset, line_metrics, sources, splits
 
 
 def flat(document):
@@ -86,3 +86,19 @@ def test_line_report_by_group(spark):
     got = {r["test_project"]: r["top5"] for r in line_metrics.line_report(ranked, preds, attention, group_cols=["test_project"]).collect()}
     assert got == {"p0": pytest.approx(1 / 3), "p1": pytest.approx(2 / 3)}
     assert line_metrics.line_report(ranked, preds, attention).count() == 1
+
+
+def halves(texts):
+    """A tokenizer of subwords: each word in two parts."""
+    return [[p for w in t.split() for p in (w[: len(w) // 2 + 1], "Ġ" + w[len(w) // 2 + 1 :]) if p.strip("Ġ")] for t in texts]
+
+
+def test_tokenizers_in_python(spark):
+    rows = [("a", "fix it", ["int foo = 1;", ""], ["return;"]), ("b", None, None, []), ("c", "m" * 9, ["x"] * 40, None)]
+    changes = spark.createDataFrame(rows, "commit_hash string, msg string, added_code array<string>, removed_code array<string>")
+    got = {r["commit_hash"]: r for r in dataset.diff_tokens(changes, 16, 3, tokenize=halves).collect()}
+    assert got["a"]["tokens"][:5] == ["[CLS]", "fi", "Ġx", "it", "[ADD]"] and got["a"]["tokens"][-1] == "[SEP]" and "[DEL]" in got["a"]["tokens"]
+    assert got["b"]["tokens"] == ["[CLS]", "[ADD]", "[DEL]", "[SEP]"] + ["[PAD]"] * 12 and sum(got["b"]["attention_mask"]) == 4
+    assert len(got["c"]["tokens"]) == 16 and got["c"]["tokens"][-1] == "[SEP]"
+    lines = spark.createDataFrame([(1, 0, "added", "abcd ef"), (1, 1, "added", None)], "commit_id int, idx int, changed_type string, changed_line string")
+    assert [r["token"] for r in line_metrics.line_tokens(lines, tokenize=halves).collect()] == ["abc", "d", "ef"]
