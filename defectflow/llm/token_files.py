@@ -7,8 +7,8 @@ vector in unary with a one for each offset. ``select`` finds the i-th one throug
 without a table of 64-bit offsets: about 2 + log2(u/n) bits a document. The documents' ids, less the block's first one, are a second such sequence. All readers go through ``select``.
 
 Encoding runs in tasks that each hold a range of (``doc_id``, text). Texts are cut where the tokenizer's own split always falls (at
-white space), and each distinct piece is encoded once for a bounded cache, by the tokenizers library. The cuts are used only for a
-byte-level tokenizer with its usual split and without normalizer; texts with a special token's string, and other tokenizers, are encoded whole.
+white space), over the bytes of many texts at once, and each distinct piece is encoded once for a bounded cache, by the tokenizers library; the ids of all
+pieces are then gathered by number. The cuts are used only for a byte-level tokenizer with its usual split and without normalizer; texts with a special token's string, and other tokenizers, are encoded whole.
 
 Defined results: a null or empty text is one end id; documents of the same ``doc_id`` follow by text; null ids come first; an empty table gives no
 blocks and no rows; further columns don't matter.
@@ -21,30 +21,42 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from defectflow.llm.common import pieces, shared_dir
+from defectflow.llm.common import shared_dir
 
 END_ID = 0
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
-CACHE = 400_000
+CACHE = 600_000
 JOINED = 2000
-#: Pieces as the byte-level split has them, but for most splits inside of a run without white space: cut is only between a letter or digit and a mark.
-_PIECES = re.compile(r" ?[^\W_]++(?![^\s,.;:!?])| ?\S+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f]")  # white space for Python only
+#: Bytes of text that a task encodes at a time.
+SLICE = 2_000_000
+#: A cut may fall between two bytes that share a bit: 1 no white space, white space; 2 letter or digit, mark; 4 end of a longer character, mark.
+_BEFORE, _AFTER = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+_BEFORE[0x21:0x7F] = 1
+_BEFORE[0x80:] = 1 | 4
+_BEFORE[[c for c in range(0x80) if chr(c).isalnum()]] |= 2
+_AFTER[[0x20, *range(0x09, 0x0E)]] = 1
+_AFTER[list(b",.;:!?")] = 2 | 4
+#: Middle bytes of all white space of three bytes.
+_SPACE_MIDDLE = np.zeros(256, bool)
+_SPACE_MIDDLE[[0x80, 0x81, 0x9A, 0xA0]] = True
 BLOCK = (
     "part int, block int, base long, bits int, ids binary, n long, low_bits int, low binary, high binary, samples binary, "
     "nulls int, first long, id_low_bits int, id_low binary, id_high binary, id_samples binary"
 )
+_ARROW = pa.schema([(name, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in map(str.split, BLOCK.split(", "))])
 WIDEST = 1 << 62
 
 
@@ -97,8 +109,38 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) | low
 
 
+def _solid(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each of these bytes is surely no white space (control characters and some marks count as unsure)."""
+    out = _BEFORE[raw[at]] > 0
+    high = np.flatnonzero(raw[at] >= 0x80)
+    last, one, two = raw[at[high]], raw[np.maximum(at[high] - 1, 0)], raw[np.maximum(at[high] - 2, 0)]
+    out[high] = ~((one == 0xC2) & (last <= 0xA0) | (two >= 0xE1) & (two <= 0xE3) & _SPACE_MIDDLE[one])
+    return out
+
+
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where the split falls whatever stands around: before white space, after a single line end or tab, between a letter or digit and a mark."""
+    at = np.flatnonzero(_BEFORE[raw[:-1]] & _AFTER[raw[1:]]) + 1
+    here = raw[at]
+    sure = np.ones(len(at), bool)
+    high = np.flatnonzero(raw[at - 1] >= 0x80)
+    last, one = raw[at[high] - 1], raw[np.maximum(at[high] - 2, 0)]
+    sure[high] = np.where(_AFTER[here[high]] == 1, _solid(raw, at[high] - 1), (one == 0xC3) & (last != 0x97) & (last != 0xB7))  # letters of Latin-1
+    single = at[sure & (here < 0x20)]
+    single = single[single + 1 < len(raw)] + 1
+    return np.concatenate([at[sure], single[(raw[single] > 0x20) & (raw[single] < 0x7F)]])
+
+
+def _binary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds of texts without nulls."""
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.zeros(0, np.uint8), bounds - bounds[0]
+
+
 class Encoder:
-    """Texts to ids as bytes. A Python worker keeps one, with its cache, for all its tasks."""
+    """Texts to ids. A Python worker keeps one, with its cache, for all its tasks."""
 
     def __init__(self, tokenizer: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -110,50 +152,81 @@ class Encoder:
         self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not about.get("normalizer")
         self.special = [t["content"] for t in about.get("added_tokens", [])]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = "H" if self.kind is np.uint16 else "I"
         #: Bytes of each id's token, to find pieces in an encoding of many; a special token with a blank might arise between two pieces.
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())]) if self.cuts else None
         self.joins = self.cuts and not any(re.search(r"\s", s) for s in self.special)
-        self.cache: dict[str, bytes] = {}
+        #: Each cached piece's number; its ids stand in ``pool`` from ``starts`` on.
+        self.cache: dict[bytes, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.most = cache
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece_ids(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces. Words with a blank before them are encoded many at a time: the split falls at each blank."""
-        plain = [p for p in new if p[0] == " " and not p[1:2].isspace() and len(p) > 1] if self.joins else []
-        out, size = {}, np.dtype(self.kind).itemsize
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece_ids(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, and where each one's start and how many they are. Pieces between two blanks are encoded many at a time: the split falls at each blank."""
+        raw, bounds = _binary(new)
+        starts, sizes, pool, held = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [], 0
+        joined = (_AFTER[raw[bounds[:-1]]] == 1) & _solid(raw, bounds[1:] - 1) if self.joins and len(new) else np.zeros(len(new), bool)
+        alone = [np.flatnonzero(~joined)]
+        plain = np.flatnonzero(joined)
+        raw, bounds = _binary(new.take(pa.array(plain)))
         for at in range(0, len(plain), JOINED):
             group = plain[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)[0].ids, self.kind)
-            reached = np.cumsum(self.widths[ids])
-            ends = np.cumsum([len(p.encode("utf-8", "replace")) for p in group])
+            ends = bounds[at : at + JOINED + 1]
+            text = raw[ends[0] : ends[-1]].tobytes().decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            reached, ends = np.cumsum(self.widths[ids]), ends[1:] - ends[0]
             cut = np.searchsorted(reached, ends)
             if len(ids) and reached[-1] == ends[-1] and (reached[cut] == ends).all():
-                data, b = ids.tobytes(), ((cut + 1) * size).tolist()
-                out.update(zip(group, (data[x:y] for x, y in zip([0, *b], b, strict=False)), strict=True))
-        rest = [p for p in new if p not in out]
-        out.update(zip(rest, self._ids(rest), strict=True))
-        return out
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """None if the text must stay whole."""
-        return None if not self.cuts or _ODD.search(text) or any(s in text for s in self.special) else _PIECES.findall(text)
+                starts[group] = held + np.concatenate([[0], cut[:-1] + 1])
+                sizes[group] = np.diff(cut, prepend=-1)
+                pool.append(ids)
+                held += len(ids)
+            else:
+                alone.append(group)
+        alone = np.concatenate(alone)
+        ids = [np.frombuffer(x, self.kind) for x in self._ids([p.decode("utf-8", "replace") for p in new.take(pa.array(alone)).to_pylist()])]
+        sizes[alone] = [len(x) for x in ids]
+        starts[alone] = held + np.cumsum(sizes[alone]) - sizes[alone]
+        return np.concatenate([np.zeros(0, self.kind), *pool, *ids]), starts, sizes
+
+    def encode_all(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with ``end_id`` after it, and each text's end in them.
+        The first pieces seen stay cached, the frequent ones among them; once the cache is full, new ones last for this call."""
+        raw, bounds = _binary(texts)
+        at = np.zeros(len(raw) + 1, bool)
+        if self.cuts and len(raw):
+            at[_cuts(raw)] = True
+        for special in self.special if self.cuts else ():
+            for i in np.flatnonzero(pc.match_substring(texts.cast(pa.large_binary()), special).to_numpy(zero_copy_only=False)):
+                at[bounds[i] : bounds[i + 1]] = False  # stays whole
+        at[bounds] = True
+        begins = np.flatnonzero(at[:-1])
+        offsets = np.append(begins, len(raw)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = len(self.cache)
+        number = np.fromiter(map(self.cache.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        fresh, starts, sizes = self._piece_ids(found.dictionary.take(pa.array(new)))
+        number[new] = known + np.arange(len(new))
+        pool, starts, sizes = np.concatenate([self.pool, fresh]), np.concatenate([self.starts, starts + len(self.pool)]), np.concatenate([self.sizes, sizes])
+        if known + len(new) <= self.most:
+            self.cache.update(zip(map(distinct.__getitem__, new.tolist()), range(known, known + len(new)), strict=True))
+            self.pool, self.starts, self.sizes = pool, starts, sizes
+        # The end is one more piece after each text.
+        pool, starts, sizes = np.append(pool, np.array([end_id or 0], self.kind)), np.append(starts, len(pool)), np.append(sizes, int(end_id is not None))
+        counts = np.searchsorted(begins, bounds[1:])
+        order = np.insert(number[found.indices.to_numpy()], counts, len(starts) - 1)
+        long = sizes[order]
+        reached = np.cumsum(long)
+        ids = pool[np.repeat(starts[order] - reached + long, long) + np.arange(reached[-1] if len(reached) else 0)]
+        return ids, reached[counts + np.arange(len(counts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The first pieces seen stay cached, the frequent ones among them; once the cache is full, new ones last for this call."""
-        cut = [self._pieces(t) for t in texts]
-        known = self.cache
-        fresh = self._piece_ids(list(set().union(*(one for one in cut if one)).difference(known)))
-        full = len(known) + len(fresh) > self.most
-        known.update(fresh)
-        whole = iter(self._ids([t for t, one in zip(texts, cut, strict=True) if one is None]))
-        out = [next(whole) if one is None else b"".join(map(known.__getitem__, one)) for one in cut]
-        if full:
-            for piece in fresh:
-                del known[piece]
-        return out
+        ids, ends = self.encode_all(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
 
 
 @functools.lru_cache(1)
@@ -161,15 +234,28 @@ def encoder_of(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
-def _block(part: int, number: int, base: int, docs: list, ids: list[bytes], kind: type) -> dict:
-    ends = np.cumsum([len(x) for x in ids]) // np.dtype(kind).itemsize
-    ef = EliasFano.encode(ends)
-    named = [d for d in docs if d is not None]
-    names = EliasFano.encode(np.array([d - named[0] for d in named], np.int64))
-    return {
-        "part": part, "block": number, "base": base, "bits": np.dtype(kind).itemsize * 8, "ids": b"".join(ids), "n": ef.n, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples.tobytes(),
-        "nulls": len(docs) - len(named), "first": named[0] if named else 0, "id_low_bits": names.low_bits, "id_low": names.low, "id_high": names.high, "id_samples": names.samples.tobytes(),
+def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_id and text of rows whose texts have about ``limit`` bytes together (a longer text stays whole), for bounded memory."""
+    for batch in batches:
+        names, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+        _, bounds = _binary(texts)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
+            yield names.slice(at, to - at), texts.slice(at, to - at)
+            at = to
+
+
+def _block(part: int, number: int, base: int, names: list[pa.Array], ids: list[np.ndarray], ends: list[np.ndarray]) -> pa.RecordBatch:
+    docs, ids, ef = pa.chunked_array(names), np.concatenate(ids), EliasFano.encode(np.concatenate(ends))
+    named = docs.drop_null().to_numpy()
+    first = int(named[0]) if len(named) else 0
+    sequence = EliasFano.encode(named - first)
+    row = {
+        "part": part, "block": number, "base": base, "bits": ids.dtype.itemsize * 8, "ids": ids.tobytes(), "n": ef.n, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples.tobytes(),
+        "nulls": docs.null_count, "first": first, "id_low_bits": sequence.low_bits, "id_low": sequence.low, "id_high": sequence.high, "id_samples": sequence.samples.tobytes(),
     }
+    return pa.RecordBatch.from_pylist([row], _ARROW)
 
 
 def _read_block(b) -> tuple[np.ndarray, list[int], list[int | None]]:
@@ -184,31 +270,32 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
-        end = np.array([end_id], encoder.kind).tobytes()
-        width, part = len(end), TaskContext.get().partitionId()
-        number, base, held, ids, names = 0, 0, 0, [], []
-        for frame in pieces(frames, limit=1_000_000):
-            coded = encoder.encode(frame["text"].fillna("").tolist())
-            for name, one in zip(frame["doc_id"], coded, strict=True):
-                name = None if pd.isna(name) else int(name)
-                known = next((x for x in names if x is not None), name)
-                if name is not None and name - known >= WIDEST:  # ids too far apart for one sequence
-                    yield pd.DataFrame([_block(part, number, base, names, ids, encoder.kind)])
-                    number, base, held, ids, names = number + 1, base + held, 0, [], []
-                names.append(name)
-                ids.append(one + end)
-                held += len(one) // width + 1
-                if held >= block_ids:
-                    yield pd.DataFrame([_block(part, number, base, names, ids, encoder.kind)])
-                    number, base, held, ids, names = number + 1, base + held, 0, [], []
-        if ids:
-            yield pd.DataFrame([_block(part, number, base, names, ids, encoder.kind)])
+        part, number, base, held, first, block = TaskContext.get().partitionId(), 0, 0, 0, None, ([], [], [])
+        for names, texts in _slices(batches, SLICE):
+            ids, ends = encoder.encode_all(texts, end_id)
+            at, done = 0, 0  # documents and ids that are in a block
+            while at < len(names):
+                rest = names.slice(at).drop_null()
+                first = int(rest[0].as_py()) if first is None and len(rest) else first
+                to = min(len(names), int(np.searchsorted(ends, done + block_ids - held)) + 1)
+                if len(rest) and first + WIDEST <= rest[-1].as_py():  # ids too far apart for one sequence
+                    to = min(to, len(names) - len(rest) + int(np.searchsorted(rest.to_numpy(), first + WIDEST)))
+                if to > at:
+                    for part_of, one in zip(block, (names.slice(at, to - at), ids[done : ends[to - 1]], ends[at:to] - done + held), strict=True):
+                        part_of.append(one)
+                    held += int(ends[to - 1]) - done
+                    at, done = to, int(ends[to - 1])
+                if held >= block_ids or at < len(names):
+                    yield _block(part, number, base, *block)
+                    number, base, held, first, block = number + 1, base + held, 0, None, ([], [], [])
+        if held:
+            yield _block(part, number, base, *block)
 
     # Ranges are cut by the beginning of the text, in the order of whole texts.
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(partitions, "doc_id", F.left("text", F.lit(24))).sortWithinPartitions("doc_id", "text")
-    ranged.mapInPandas(run, BLOCK).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(run, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -217,7 +304,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     # One row for each range of doc_id: as many as write_tokens had tasks, whatever the number of documents.
     sizes = blocks.select("part", (F.octet_length("ids") * 8 / F.col("bits")).cast("long").alias("ids_here")).groupBy("part").agg(F.sum("ids_here").alias("ids_here"))
     before = sizes.select("part", (F.sum("ids_here").over(W.orderBy("part")) - F.col("ids_here")).alias("before"))
-    return blocks.join(before, "part").withColumn("start", F.col("before") + F.col("base")).drop("before")
+    # Without the hint Spark takes the sums for as large as the blocks, and shuffles those.
+    return blocks.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("base")).drop("before")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
