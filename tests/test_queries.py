@@ -32,3 +32,12 @@ def test_query(spark, sf_dir, name):
 
 def test_entry(spark, sf_dir):
     assert entry.entry(spark).count() > 0
+
+
+def test_contexts_of_blank_texts(spark, tmp_path):
+    texts = ["a", "", "  ", " " * 600 + "x", "+", "-", None, "++ a", "\n", "é" * 600, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = plans.QUERIES["e4_without_context"](spark, str(tmp_path)).select("commit_hash", "context", "predicted", "reason")
+    assert sorted(map(tuple, got.collect())) == sorted(db.execute(f"SELECT commit_hash, context, predicted, reason FROM ({plans.ORACLE_SQL['e4_without_context']})").fetchall())
