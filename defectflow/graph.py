@@ -9,7 +9,9 @@ import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ EXITS = {"try_statement", "if_statement", "catch_clause", "finally_clause", "try
 BRANCHING = {"if_statement", "try_statement", "try_with_resources_statement"}
 
 EDGES = "project string, commit_hash string, file_path string, src int, dst int, edge_type string"
+LINKS = "array<struct<source:int,target:int,key:string>>"
 
 
 def def_use_sets(identifiers: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,6 +74,26 @@ def _per_graph(nodes: DataFrame, columns: list[str], edges: DataFrame | None, wa
     return held.mapInPandas(run, schema)
 
 
+def _tuples(lists: pa.Array) -> Iterator[list[tuple]]:
+    """The structs of each list as tuples."""
+    whole = list(zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True))
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
+    return (whole[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+
+def _links(walk: Callable[[list, list], Iterator[tuple[int, int]]], nodes: Column, links: Column, key: str) -> Column:
+    """``walk(nodes, edges)`` of each file from the arrays of its row, as ``_per_graph`` does from long tables: sorted rows of ``nodes`` and distinct (source, target) of ``links``; the pairs it gives are links."""
+
+    @F.arrow_udf(LINKS)
+    def run(nodes: pa.Array, edges: pa.Array) -> pa.Array:
+        found = [list(walk(sorted(n), sorted(set(e)))) for n, e in zip(_tuples(nodes), _tuples(edges), strict=True)]
+        offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+        source, target = (pa.array([p[i] for pairs in found for p in pairs], pa.int32()) for i in (0, 1))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([source, target, pa.array([key] * len(source), pa.string())], names=["source", "target", "key"]))
+
+    return run(nodes, F.transform(links, lambda x: F.struct(x["source"].cast("int").alias("source"), x["target"].cast("int").alias("target"))))
+
+
 def cdg_nodes(statements: DataFrame) -> DataFrame:
     """Kept statements: graph key, ``node_id``, the statement's ``pos`` and the ``parent_id`` it depends on.
 
@@ -148,44 +171,75 @@ def sibling_links(nodes: DataFrame, cdg: DataFrame) -> DataFrame:
     return chosen.join(children, [*FILE, "node_id"], "left").select(*FILE, "node_id", "next_sibling", "first_child")
 
 
+def siblings(kind: dict[int, str], edges: list[tuple[int, int]]) -> tuple[dict[int, int | None], dict[int, int]]:
+    """``sibling_links`` of one file, by node: what follows and the first child. ``edges`` are distinct."""
+    families, first, below = defaultdict(list), {}, set()
+    for a, b in sorted(edges):
+        first.setdefault(a, b)
+        below.add(b)
+        if b in kind:
+            families[a].append(b)
+    families[-1] = sorted(families[-1] + [v for v in kind if v not in below])
+    after = {}
+    for parent, kids in sorted(families.items()):  # of several parents the last one counts
+        for v, w in zip(kids, [*kids[1:], None], strict=True):
+            branch = w is not None and kind.get(parent) in ("if_statement", "try_statement") and (kind[w] == "else" or "clause" in (kind[w] or ""))
+            after[v] = None if branch else w
+    return after, first
+
+
+def control_flow(kind: dict[int, str], up: dict[int, int | None], after: dict[int, int | None], first: dict[int, int | None], edges: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Control flow of one file, by node: type, parent, next sibling and first child; ``edges`` of control dependence."""
+    kids = defaultdict(list)
+    for a, b in edges:
+        kids[a].append(b)
+
+    def ancestors(v):
+        while (v := up.get(v)) is not None:
+            yield v
+
+    found = set()
+    for v, k in kind.items():
+        found.add((v, first.get(v)))
+        if k in ("break_statement", "continue_statement"):
+            target = next((a for a in ancestors(v) if kind[a] in BREAKABLE), None)
+            found.add((v, after.get(target) if k == "break_statement" else target))
+        if k in BRANCHING:
+            found |= {(v, c) for c in kids[v] if kind.get(c) == "else" or "clause" in kind.get(c, "")}
+        if k in ("while_statement", "do_statement"):
+            found.add((v, after[v]))
+        if k == "switch_expression":
+            case = first.get(v)
+            while case is not None:
+                found.add((v, case))
+                case = after.get(case)
+        if after[v] is not None:
+            found.add((v, after[v]))
+            continue
+        for a in ancestors(v):
+            if kind[a] in LOOPS:
+                found.add((v, a))
+            if kind[a] in EXITS and after[a] is not None:
+                found.add((v, after[a]))
+                break
+    yield from sorted(x for x in found if x[1] is not None)
+
+
+def flow_links(nodes: Column, links: Column) -> Column:
+    """``cfg_edges`` within a file's row, as links: from ``nodes`` (``id, node_type, parent_id``) and the links of control dependence; siblings follow from both. Nothing is shuffled."""
+
+    def walk(rows, edges):
+        kind, up = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+        yield from control_flow(kind, up, *siblings(kind, edges), edges)
+
+    return _links(walk, F.transform(nodes, lambda x: F.struct(x["id"], x["node_type"], x["parent_id"])), links, "CFG")
+
+
 def cfg_edges(nodes: DataFrame, cdg: DataFrame, siblings: DataFrame) -> DataFrame:
     """Control flow. ``nodes`` with ``parent_id``; ``cdg`` with the else-chain edges, ``siblings`` derived from both."""
 
     def walk(rows, edges):
-        kind, up, after, first = ({r[0]: r[i] for r in rows} for i in (1, 2, 3, 4))
-        kids = defaultdict(list)
-        for a, b in edges:
-            kids[a].append(b)
-
-        def ancestors(v):
-            while (v := up.get(v)) is not None:
-                yield v
-
-        found = set()
-        for v, k in kind.items():
-            found.add((v, first[v]))
-            if k in ("break_statement", "continue_statement"):
-                target = next((a for a in ancestors(v) if kind[a] in BREAKABLE), None)
-                found.add((v, after.get(target) if k == "break_statement" else target))
-            if k in BRANCHING:
-                found |= {(v, c) for c in kids[v] if kind.get(c) == "else" or "clause" in kind.get(c, "")}
-            if k in ("while_statement", "do_statement"):
-                found.add((v, after[v]))
-            if k == "switch_expression":
-                case = first[v]
-                while case is not None:
-                    found.add((v, case))
-                    case = after.get(case)
-            if after[v] is not None:
-                found.add((v, after[v]))
-                continue
-            for a in ancestors(v):
-                if kind[a] in LOOPS:
-                    found.add((v, a))
-                if kind[a] in EXITS and after[a] is not None:
-                    found.add((v, after[a]))
-                    break
-        yield from ((a, b, "CFG") for a, b in sorted(x for x in found if x[1] is not None))
+        yield from ((a, b, "CFG") for a, b in control_flow(*({r[0]: r[i] for r in rows} for i in (1, 2, 3, 4)), edges))
 
     full = nodes.select(*FILE, "node_id", "node_type", "parent_id").join(siblings, [*FILE, "node_id"])
     return _per_graph(full, ["node_id", "node_type", "parent_id", "next_sibling", "first_child"], cdg, walk, EDGES)
@@ -278,6 +332,12 @@ def reaching_definitions(rows: list[tuple[int, list[str], list[str]]], edges: li
     yield from sorted(found)
 
 
+def data_links(nodes: Column, links: Column) -> Column:
+    """``ddg_edges`` within a file's row, as links: from ``nodes`` (``id, def_set, use_set``) and the links of control flow. Nothing is shuffled."""
+    empty = F.array().cast("array<string>")
+    return _links(reaching_definitions, F.transform(nodes, lambda x: F.struct(x["id"], F.coalesce(x["def_set"], empty).alias("d"), F.coalesce(x["use_set"], empty).alias("u"))), links, "DDG")
+
+
 def ddg_edges(nodes: DataFrame, cfg: DataFrame) -> DataFrame:
     """Data dependence: definitions that reach a use over control flow, each path ending at its first definition backwards; none from a statement to itself."""
 

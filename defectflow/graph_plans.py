@@ -5,7 +5,9 @@ An order stands in for a source file: its line items are statements, item i depe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,18 +17,51 @@ from defectflow import dataset, graph, retrieval, slicing, sources, splits
 KINDS = ["if_statement", "else", "field_declaration", "while_statement", "break_statement", "continue_statement", "expression_statement"]
 
 
+ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
+
+
+def _file() -> list[Column]:
+    order = F.col("l_orderkey")
+    return [F.lit("p").alias("project"), F.floor(order / 4).cast("string").alias("commit_hash"), order.cast("string").alias("file_path"), (order % 4).cast("int").alias("file_ord")]
+
+
+def _statement(c: Callable[[str], Column], i: Column) -> list[Column]:
+    """The statement of a line item: columns from its columns by name and its place from 1."""
+    start, row = i * 2, lambda r: F.concat(F.lit("r"), r, F.lit(" // c"), c("l_suppkey"), F.lit("\n"))
+    lines = F.transform(F.sequence(start, start + (c("l_partkey") % 2).cast("int")), lambda r: F.when((c("l_suppkey") % 7 == 0) & (r % 2 == 1), F.lit("\n")).otherwise(row(r)))
+    return [
+        F.get(F.array(*map(F.lit, KINDS)), c("l_linenumber") % 7).alias("node_type"), F.array((c("l_partkey") % 5).cast("string")).alias("def_set"), F.array((c("l_suppkey") % 5).cast("string")).alias("use_set"),
+        (c("l_returnflag") == "R").alias("changed"), start.alias("start_row"), (start + c("l_partkey") % 2).cast("int").alias("end_row"), lines.alias("source_lines"), *(c(x).alias(x) for x in ("l_partkey", "l_suppkey", "l_returnflag")),
+    ]
+
+
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("node_id", F.row_number().over(order))
-    kind = F.get(F.array(*map(F.lit, KINDS)), F.col("l_linenumber") % 7)
-    start, row = F.col("node_id") * 2, lambda r: F.concat(F.lit("r"), r, F.lit(" // c"), F.col("l_suppkey"), F.lit("\n"))
-    lines = F.transform(F.sequence(start, start + (F.col("l_partkey") % 2).cast("int")), lambda r: F.when((F.col("l_suppkey") % 7 == 0) & (r % 2 == 1), F.lit("\n")).otherwise(row(r)))
-    return li.select(
-        F.lit("p").alias("project"), F.floor(F.col("l_orderkey") / 4).cast("string").alias("commit_hash"), F.col("l_orderkey").cast("string").alias("file_path"),
-        (F.col("l_orderkey") % 4).cast("int").alias("file_ord"), "node_id", kind.alias("node_type"), F.array((F.col("l_partkey") % 5).cast("string")).alias("def_set"),
-        F.array((F.col("l_suppkey") % 5).cast("string")).alias("use_set"), (F.col("l_returnflag") == "R").alias("changed"),
-        start.alias("start_row"), (start + F.col("l_partkey") % 2).cast("int").alias("end_row"), lines.alias("source_lines"), "l_partkey", "l_suppkey", "l_returnflag",
-    )
+    li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("node_id", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER)))
+    return li.select(*_file(), "node_id", *_statement(F.col, F.col("node_id")))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each file: its key, ``file_ord`` and ``nodes``, the statements of ``_nodes`` (``id`` first) in order. Line items are shuffled once; what queries derive from a file's arrays stays in its row."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.struct(*ORDER, "l_returnflag").alias("x"))
+    held = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("items"))
+    return held.select(*_file(), F.transform("items", lambda x, i: F.struct((i + 1).alias("id"), *_statement(lambda name: x[name], i + 1))).alias("nodes"))
+
+
+def _kept(nodes: Column, *fields: str) -> Column:
+    """Nodes with some of their fields."""
+    return F.transform(nodes, lambda x: F.struct(*(x[f].alias(f) for f in ("id", *fields))))
+
+
+def _links(nodes: Column, where: Callable[[Column], Column], source: Callable[[Column], Column], target: Callable[[Column], Column], kind: str) -> Column:
+    return F.transform(F.filter(nodes, lambda x: where(x["id"])), lambda x: F.struct(source(x["id"]).cast("int").alias("source"), target(x["id"]).cast("int").alias("target"), F.lit(kind).alias("key")))
+
+
+def _cdg_links(nodes: Column) -> Column:
+    return _links(nodes, lambda i: i > 1, lambda i: F.floor(i / 2), lambda i: i, "CDG")
+
+
+def _cfg_links(nodes: Column) -> Column:
+    return F.concat(_links(nodes, lambda i: i > 1, lambda i: i - 1, lambda i: i, "CFG"), _links(nodes, lambda i: i % 3 == 0, lambda i: i, lambda i: F.floor(i / 2), "CFG"))
 
 
 def _edge(nodes: DataFrame, src, dst, kind: str) -> DataFrame:
@@ -76,9 +111,10 @@ def g4_sibling_links(spark, d):
 
 
 def g5_cfg_edges(spark, d):
-    n = _nodes(spark, d)
-    parents = n.withColumn("parent_id", F.when(F.col("node_id") > 1, F.floor(F.col("node_id") / 2).cast("int")))
-    return graph.cfg_edges(parents, _cdg(n), graph.sibling_links(n, _cdg(n))).select("file_path", "src", "dst")
+    f, nodes = _files(spark, d), F.col("nodes")
+    parents = F.transform(nodes, lambda x: F.struct(x["id"], x["node_type"], F.when(x["id"] > 1, F.floor(x["id"] / 2).cast("int")).alias("parent_id")))
+    flow = f.select("file_path", F.inline(graph.flow_links(parents, _cdg_links(nodes))))
+    return flow.select("file_path", F.col("source").alias("src"), F.col("target").alias("dst"))
 
 
 def g6_ddg_edges(spark, d):
