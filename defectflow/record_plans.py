@@ -3,21 +3,35 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectflow import dataset, graph, records, retrieval, slicing, splits
 from defectflow.diffs import FILE
-from defectflow.graph_plans import _NODES, _PLAIN, _SLICES, _cdg, _cfg, _nodes
+from defectflow.graph_plans import _NODES, _PLAIN, _SLICES, _cdg, _cdg_links, _cfg, _cfg_links, _files, _kept, _nodes
 from defectflow.text_plans import _COMMENTS, _NORMAL
 
 
+def _code(flag: Column, suppkey: Column) -> Column:
+    return F.concat(F.when(flag == "R", "+").otherwise("-"), F.when(suppkey % 4 == 0, " // c").otherwise(F.concat(F.lit(" v"), suppkey)))
+
+
 def _changed(n: DataFrame) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "R", "added").when(F.col("l_returnflag") == "A", "deleted")
-    code = F.concat(F.when(F.col("l_returnflag") == "R", "+").otherwise("-"), F.when(F.col("l_suppkey") % 4 == 0, " // c").otherwise(F.concat(F.lit(" v"), F.col("l_suppkey"))))
-    return n.select(*FILE, kind.alias("change_type"), (F.col("start_row") + 1).alias("line_no"), code.alias("code")).where("change_type is not null")
+    return n.select(*FILE, kind.alias("change_type"), (F.col("start_row") + 1).alias("line_no"), _code(F.col("l_returnflag"), F.col("l_suppkey")).alias("code")).where("change_type is not null")
+
+
+def _lines(nodes: Column, where: Callable[[Column], Column]) -> Column:
+    """Changed lines of some statements of a file's row: ``line_no, code``, sorted."""
+    return F.transform(F.filter(nodes, where), lambda x: F.struct((x["start_row"] + 1).alias("line_no"), _code(x["l_returnflag"], x["l_suppkey"]).alias("code")))
+
+
+def _all_links(nodes: Column) -> Column:
+    """All edges of a file's row, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.concat(_cdg_links(nodes), _cfg_links(nodes), graph.data_links(_kept(nodes, "def_set", "use_set"), _cfg_links(nodes)))))
 
 
 def _edges(n: DataFrame) -> DataFrame:
@@ -90,16 +104,12 @@ def c8_mark_changed_rows(spark, d):
     return slicing.mark_changed_rows(n, _changed(n)).select("file_path", "node_id", F.array_join("source_lines", "").alias("text"))
 
 
-def _index(n: DataFrame) -> DataFrame:
-    """Buggy lines of added lines of even statements, by commit."""
-    files = n.where("changed and node_id % 2 = 0").groupBy(*FILE).agg(F.sort_array(F.collect_list(F.col("start_row") + 1)).alias("lines"))
-    return files.groupBy("project", "commit_hash").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_path", "lines")))).alias("files"))
-
-
 def c9_graph_dataset(spark, d):
-    n = _nodes(spark, d)
-    inner = n.select(*FILE, "node_id", "node_type", "start_row", "end_row", "source_lines", "def_set", "use_set")
-    r = records.graph_dataset(_changed(n), inner, _edges(n), _index(n))
+    nodes = F.col("nodes")
+    wrong = _lines(nodes, lambda x: x["changed"] & (x["id"] % 2 == 0))["line_no"]
+    f = _files(spark, d).select(*FILE, "nodes", _lines(nodes, lambda x: x["l_returnflag"] == "R").alias("a"), _lines(nodes, lambda x: x["l_returnflag"] == "A").alias("r"), wrong.alias("b"))
+    changed = f.where((F.size("a") > 0) | (F.size("r") > 0)).withColumns({"add_lines": F.col("a.line_no"), "add_codes": F.col("a.code"), "remove_codes": F.col("r.code"), "buggy_lines": F.when(F.size("b") > 0, F.col("b")), "links": _all_links(nodes)})
+    r = records.file_records(changed.withColumn("nodes", _kept(nodes, "node_type", "start_row", "end_row", "source_lines", "def_set", "use_set")).drop("a", "r", "b"))
     ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     links = F.array_join(F.array_sort(F.transform("relate_graph.links", lambda x: F.concat_ws(" ", x["source"], x["target"], x["key"]))), ",")
     nodes = F.array_join(F.transform("relate_graph.nodes", lambda x: F.concat(x["id"], F.lit(":"), F.array_join(x["source_lines"], ""))), "")

@@ -23,7 +23,11 @@ def graph_dataset(lines: DataFrame, nodes: DataFrame, edges: DataFrame, index: D
     in the slices around the added lines, with ``+`` before those lines; the label is 1 for files in the index. A file without added lines, statements or slice gives an empty record
     (no path, no graph, no nodes, label 0). Each input is shuffled once, by file; all else happens in the row of a file."""
     wrong = index.select("project", "commit_hash", F.explode("files").alias("file_path", "buggy_lines"))
-    files = changed_line_arrays(lines).join(slicing.file_graphs(nodes, edges), FILE, "left").join(wrong, FILE, "left")
+    return file_records(changed_line_arrays(lines).join(slicing.file_graphs(nodes, edges), FILE, "left").join(wrong, FILE, "left"))
+
+
+def file_records(files: DataFrame) -> DataFrame:
+    """``graph_dataset`` of rows that hold a file each: ``add_lines, add_codes, remove_codes`` (``changed_line_arrays``), ``nodes`` and ``links`` (``slicing.file_graphs``) and ``buggy_lines``, null for a file that isn't in the index. Nothing is shuffled."""
     listed = lambda c: F.coalesce(c, F.array().cast("array<int>"))
     no_links = F.array().cast(files.schema["links"].dataType)
     whole = files.withColumns({"nodes": F.coalesce("nodes", F.array().cast(files.schema["nodes"].dataType)), "links": F.coalesce("links", no_links), "label": F.col("buggy_lines").isNotNull().cast("int")})
