@@ -34,10 +34,6 @@ def _all_links(nodes: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(_cdg_links(nodes), _cfg_links(nodes), graph.data_links(_kept(nodes, "def_set", "use_set"), _cfg_links(nodes)))))
 
 
-def _edges(n: DataFrame) -> DataFrame:
-    return slicing.typed_edges(_cdg(n), _cfg(n), graph.ddg_edges(n, _cfg(n)))
-
-
 def _parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes and edges in one table, to compare both."""
     own = nodes.select("file_path", F.col("node_id").cast("int").alias("src"), F.lit(-1).alias("dst"), F.col("node_type").alias("kind"))
@@ -117,9 +113,9 @@ def c9_graph_dataset(spark, d):
 
 
 def k1_buggy_knowledge(spark, d):
-    n = _nodes(spark, d)
-    buggy = _changed(n.where("changed and node_id % 2 = 0"))
-    return retrieval.buggy_knowledge(buggy, n, _edges(n)).select("hash", "file_path", "slicing", F.array_join("diff", "|").alias("diff"), "desc")
+    nodes = F.col("nodes")
+    f = _files(spark, d).select(*FILE, "nodes", _lines(nodes, lambda x: x["changed"] & (x["id"] % 2 == 0)).alias("changed")).where(F.size("changed") > 0)
+    return retrieval.file_knowledge(f.withColumns({"links": _all_links(nodes), "nodes": _kept(nodes, "node_type", "start_row", "end_row", "source_lines")})).select("hash", "file_path", "slicing", F.array_join("diff", "|").alias("diff"), "desc")
 
 
 def k2_clean_knowledge(spark, d):

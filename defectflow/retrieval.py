@@ -171,7 +171,11 @@ def buggy_knowledge(buggy: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
 
     Each input is shuffled once, by file; slice and text come from the arrays of a file's row."""
     listed = F.sort_array(F.collect_list(F.struct("line_no", "code")))
-    files = buggy.groupBy(*FILE).agg(listed.alias("changed")).join(slicing.file_graphs(nodes, edges), FILE, "left")
+    return file_knowledge(buggy.groupBy(*FILE).agg(listed.alias("changed")).join(slicing.file_graphs(nodes, edges), FILE, "left"))
+
+
+def file_knowledge(files: DataFrame) -> DataFrame:
+    """``buggy_knowledge`` of rows that hold a file each: ``changed`` (its buggy lines, sorted: ``line_no, code``), ``nodes`` and ``links`` (``slicing.file_graphs``). Nothing is shuffled."""
     cut = slicing.cut(F.col("nodes"), F.col("links"), F.col("changed.line_no"), F.array().cast("array<int>"))
     known = files.withColumns({c: F.coalesce(c, F.array().cast(files.schema[c].dataType)) for c in ("nodes", "links")}).withColumn("cut", cut)
     return known.select(

@@ -12,7 +12,7 @@ HEAD = "project string, commit_hash string, file_path string"
 KINDS = ["if_statement", "else", "try_statement", "catch_clause", "while_statement", "break_statement", "continue_statement", "switch_expression", "expression_statement"]
 
 
-@pytest.mark.parametrize("name", ["g5_cfg_edges", "c9_graph_dataset"])
+@pytest.mark.parametrize("name", ["g5_cfg_edges", "c9_graph_dataset", "k1_buggy_knowledge"])
 def test_line_items_are_shuffled_once(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
