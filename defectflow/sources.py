@@ -100,7 +100,8 @@ def read_graph_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_graph_records(records: DataFrame, path: str) -> None:
-    records.write.option("ignoreNullFields", "false").json(path)
+    """JSON Lines, compressed (gzip), since names and types of nodes recur in each record; ``read_graph_records`` knows by the files' names. A file is read by one task: it holds what one task wrote."""
+    records.write.options(ignoreNullFields="false", compression="gzip").json(path)
 
 
 def zip_changes(df: DataFrame) -> DataFrame:

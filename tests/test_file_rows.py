@@ -1,11 +1,13 @@
 """Operators on a file's row against those on long tables, and how often queries on them shuffle."""
 
+import glob
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from defectflow import graph, plans
+from defectflow import graph, plans, sources
 from defectflow.diffs import FILE
 
 HEAD = "project string, commit_hash string, file_path string"
@@ -17,6 +19,22 @@ def test_line_items_are_shuffled_once(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_written_records_are_shuffled_once_compressed_and_whole(spark, sf_dir, tmp_path, monkeypatch):
+    written = {}
+
+    def write(records, path, was=sources.write_graph_records):
+        written.update(plan=records._jdf.queryExecution().executedPlan().toString(), path=path)
+        was(records, path)
+
+    monkeypatch.setattr(sources, "write_graph_records", write)
+    n = plans.QUERIES["s3_graph_records"](spark, sf_dir).count()
+    assert written["plan"].count("Exchange") == 1
+    back = sources.read_graph_records(spark, written["path"])
+    back.write.json(str(tmp_path / "plain"))
+    size = lambda folder: sum(os.path.getsize(p) for p in glob.glob(f"{folder}/part-*"))
+    assert n == back.count() == spark.read.json(str(tmp_path / "plain")).count() > 0 and size(written["path"]) < size(tmp_path / "plain") / 4
+
+
 def trees(seed, files=40):
     """Statements with a parent above, and further edges of control dependence from nodes above."""
     rng = random.Random(seed)
