@@ -89,10 +89,11 @@ def c6_slice_lines(spark, d):
 
 
 def c7_render_slice(spark, d):
-    n = _nodes(spark, d)
-    lines = slicing.slice_lines(n, n.where("node_id % 3 > 0"))
-    marks = [slicing.render_slice(lines, _changed(n), m).select("file_path", F.lit(m).alias("mark"), "slice") for m in ("target", "reference")]
-    return marks[0].unionByName(marks[1])
+    nodes = F.col("nodes")
+    rows = F.transform(_lines(nodes, lambda x: x["l_returnflag"] == "R"), lambda x: x["line_no"] - 1)
+    f = _files(spark, d).select("file_path", slicing.lines_of(F.filter(nodes, lambda x: x["id"] % 3 > 0)).alias("lines"), rows.alias("rows"))
+    marks = [F.struct(F.lit(m).alias("mark"), slicing.render_lines(F.col("lines"), F.col("rows"), m).alias("slice")) for m in ("target", "reference")]
+    return f.select("file_path", F.inline(F.when(F.size("lines") > 0, F.array(*marks))))
 
 
 def c8_mark_changed_rows(spark, d):
