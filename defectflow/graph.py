@@ -74,6 +74,10 @@ def _per_graph(nodes: DataFrame, columns: list[str], edges: DataFrame | None, wa
     return held.mapInPandas(run, schema)
 
 
+#: Files of a batch that are Python objects at a time.
+FILES = 256
+
+
 def _tuples(lists: pa.Array) -> Iterator[list[tuple]]:
     """The structs of each list as tuples."""
     whole = list(zip(*(c.to_pylist() for c in lists.flatten().flatten()), strict=True))
@@ -84,13 +88,16 @@ def _tuples(lists: pa.Array) -> Iterator[list[tuple]]:
 def _links(walk: Callable[[list, list], Iterator[tuple[int, int]]], nodes: Column, links: Column, key: str) -> Column:
     """``walk(nodes, edges)`` of each file from the arrays of its row, as ``_per_graph`` does from long tables: sorted rows of ``nodes`` and distinct (source, target) of ``links``; the pairs it gives are links."""
 
-    @F.arrow_udf(LINKS)
-    def run(nodes: pa.Array, edges: pa.Array) -> pa.Array:
+    def some(nodes: pa.Array, edges: pa.Array) -> pa.Array:
         found = [list(walk(sorted(n), sorted(set(e)))) for n, e in zip(_tuples(nodes), _tuples(edges), strict=True)]
         offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
         source, target = (pa.array([p[i] for pairs in found for p in pairs], pa.int32()) for i in (0, 1))
         return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([source, target, pa.array([key] * len(source), pa.string())], names=["source", "target", "key"]))
 
+    @F.arrow_udf(LINKS)
+    def run(nodes: pa.Array, edges: pa.Array) -> pa.Array:
+        return pa.concat_arrays([some(nodes.slice(at, FILES), edges.slice(at, FILES)) for at in range(0, len(nodes), FILES) or [0]])
+
     return run(nodes, F.transform(links, lambda x: F.struct(x["source"].cast("int").alias("source"), x["target"].cast("int").alias("target"))))
 
 

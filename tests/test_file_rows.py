@@ -51,8 +51,9 @@ def trees(seed, files=40):
     return nodes, sorted(edges)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_flow_in_a_row_as_by_long_tables(spark, seed):
+@pytest.mark.parametrize(("seed", "files"), [(1, 256), (2, 3)])
+def test_flow_in_a_row_as_by_long_tables(spark, monkeypatch, seed, files):
+    monkeypatch.setattr(graph, "FILES", files)
     nodes, edges = trees(seed)
     n = spark.createDataFrame(nodes, f"{HEAD}, node_id int, node_type string, parent_id int")
     cdg = spark.createDataFrame(edges, f"{HEAD}, src int, dst int").withColumn("edge_type", F.lit("CDG"))
